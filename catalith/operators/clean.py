@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from catalith import fixed
 from catalith.functions import text as tx
 from catalith.functions import values as vl
-from catalith.operators.dedup import EXAMPLES, dedup_report, is_text, remove_duplicates
+from catalith.operators.dedup import EXAMPLES, dedup_counters, is_text, remove_duplicates
 from catalith.operators.reports import count_where, long_report, union_reports
 
 
@@ -166,29 +166,39 @@ def _numeric_counters(df: DataFrame, prefix: str) -> list:
     return counters
 
 
-def clean(
+def deduplicated(
     df: DataFrame, order: str = "row_pos", last_year: int = fixed.LAST_GENUINE_YEAR
 ) -> DataFrame:
-    """The whole stage. ``order`` is the column that holds the input position."""
+    """The stage up to and with duplicates; numbers are still as they came."""
     return (
         df.transform(rename_headers)
         .transform(standardize_strings)
         .transform(parse_release_dates, last_year)
         .transform(remove_duplicates, order)
-        .transform(validate_numerics)
     )
 
 
-def cleaning_report(
+def clean(
     df: DataFrame, order: str = "row_pos", last_year: int = fixed.LAST_GENUINE_YEAR
+) -> DataFrame:
+    """The whole stage. ``order`` is the column that holds the input position."""
+    return validate_numerics(deduplicated(df, order, last_year))
+
+
+def cleaning_report(
+    df: DataFrame,
+    order: str = "row_pos",
+    last_year: int = fixed.LAST_GENUINE_YEAR,
+    kept: DataFrame | None = None,
 ) -> DataFrame:
     """Counters of the stage for raw input ``df``.
 
-    One pass each over the raw rows, the key groups and the kept rows.
+    One pass over the raw rows and one over those kept. Pass ``kept``, the stored
+    result of :func:`deduplicated`, to spare doing that again.
     """
     renamed = rename_headers(df)
-    dated = parse_release_dates(standardize_strings(renamed), last_year)
-    kept = remove_duplicates(dated, order)
+    kept = deduplicated(df, order, last_year) if kept is None else kept
+    rows_in = df.select(F.count(F.lit(1)).alias("n")).scalar()
     everything = F.count(F.lit(1))
     marked = _with_standard_text(renamed, "_new_")
     raw_counters = [
@@ -199,12 +209,12 @@ def cleaning_report(
     if "release_date" in renamed.columns:
         marked = _with_parsed_date(marked)
         raw_counters += _dates_counters(last_year)
+    kept_counters = [
+        *dedup_counters(kept, rows_in),
+        ("rows_out", "", everything, None),
+        *_numeric_counters(kept, "_number_"),
+    ]
     return union_reports(
         long_report(marked, "cleaning", raw_counters),
-        dedup_report(dated, order),
-        long_report(
-            _with_numbers(kept, "_number_"),
-            "cleaning",
-            [("rows_out", "", everything, None), *_numeric_counters(kept, "_number_")],
-        ),
+        long_report(_with_numbers(kept, "_number_"), "cleaning", kept_counters),
     )

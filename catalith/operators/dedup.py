@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from catalith.functions.text import title_key
 from catalith.functions.values import to_number
-from catalith.operators.reports import long_report
+from catalith.operators.reports import count_where
 
 EXAMPLES = 10
 
@@ -59,10 +59,13 @@ def keep_first(df: DataFrame, keys: Sequence[Column], order: Sequence[Column]) -
 
     The rank filter sits directly on the window, so each task drops all but one
     row per key before the shuffle: a key that holds a third of the table sends
-    one row per task.
+    one row per task. A digest leads the key, since sorting compares it first and
+    seldom has to go on to long strings.
     """
-    ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    return ranked.where(F.col("_rank") == 1).drop("_rank")
+    digested = df.withColumn("_digest", F.xxhash64(*keys))
+    group = Window.partitionBy("_digest", *keys).orderBy(*order)
+    ranked = digested.withColumn("_rank", F.row_number().over(group))
+    return ranked.where(F.col("_rank") == 1).drop("_rank", "_digest")
 
 
 def remove_duplicates(df: DataFrame, order: str = "row_pos") -> DataFrame:
@@ -94,26 +97,18 @@ def keep_one_text(df: DataFrame, text: str, order: str) -> DataFrame:
     return kept.drop("_key", "_blank")
 
 
-def dedup_report(df: DataFrame, order: str = "row_pos") -> DataFrame:
-    """Rows removed and rows without a key.
+def dedup_counters(kept: DataFrame, rows_in: Column) -> list:
+    """Rows removed and rows without a key, told from the rows that were kept.
 
-    Groups are counted, not ranked: partial counts make hot keys harmless.
+    All rows without a key are kept, so nothing has to be grouped again.
     """
-    groups = (
-        _marked(df, order)
-        .groupBy("_key", "_year", "_has_key")
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
-    extra = F.when(F.col("_has_key"), F.col("_n") - 1).otherwise(0)
-    keyless = F.when(~F.col("_has_key"), F.col("_n")).otherwise(0)
-    return long_report(
-        groups,
-        "cleaning",
-        [
-            ("duplicates_removed", "", F.coalesce(F.sum(extra), F.lit(0)), None),
-            ("rows_missing_dedup_key", "", F.coalesce(F.sum(keyless), F.lit(0)), None),
-        ],
-    )
+    key = title_key(F.col("title")) if "title" in kept.columns else F.lit("")
+    year = F.col("release_year") if "release_year" in kept.columns else F.lit(None)
+    keyless = (key == "") | year.isNull()
+    return [
+        ("duplicates_removed", "", F.first(rows_in) - F.count(F.lit(1)), None),
+        ("rows_missing_dedup_key", "", count_where(keyless), None),
+    ]
 
 
 def dropped_examples(df: DataFrame, order: str = "row_pos", n: int = EXAMPLES) -> DataFrame:

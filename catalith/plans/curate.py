@@ -65,11 +65,12 @@ def curate(
     """
     run_at = run_at or dt.datetime.now(dt.timezone.utc)
     raw = settle(raw, "raw")
-    cleaned = settle(cleaning.clean(raw, order), "cleaned")
+    kept = settle(cleaning.deduplicated(raw, order), "kept")
+    cleaned = cleaning.validate_numerics(kept)
     medians = impute.medians(cleaned)
     augmented = settle(features.augment(impute.impute(cleaned, medians)), "augmented")
     reports = [
-        cleaning.cleaning_report(raw, order),
+        cleaning.cleaning_report(raw, order, kept=kept),
         impute.imputation_report(cleaned, medians),
         features.augmentation_report(augmented),
     ]

@@ -13,6 +13,21 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 100_000
 
 
+# Settings the operators want where the session says nothing else. The JVM does
+# not compile methods beyond 8000 bytes; past that size Spark should split the
+# code of a wide projection rather than fuse it.
+PREFERRED = {"spark.sql.codegen.hugeMethodLimit": "8000"}
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    """Apply the preferred settings to a session that was built elsewhere."""
+    given = {key for key, _ in spark.sparkContext.getConf().getAll()}
+    for key, value in PREFERRED.items():
+        if key not in given:
+            spark.conf.set(key, value)
+    return spark
+
+
 def build_session(app: str = "catalith", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators are written for."""
     builder = (
@@ -23,7 +38,7 @@ def build_session(app: str = "catalith", master: str | None = None, **conf: str)
     )
     if master:
         builder = builder.master(master)
-    for key, value in conf.items():
+    for key, value in {**PREFERRED, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 

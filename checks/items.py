@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from catalith.session import tune
+
 _MONTHS = "JanFebMarAprMayJunJulAugSepOctNovDec"
 
 # column, rule; {div} is the engine's integer division.
@@ -94,7 +96,7 @@ _RULES = (
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    part = tune(spark).read.parquet(f"{sf_dir}/part.parquet")
     return part.selectExpr(*[f"{rule.format(div='div')} AS `{name}`" for name, rule in _RULES])
 
 

@@ -15,7 +15,7 @@ from catalith.operators import clean, dedup, features, impute, nearest, search,
 from catalith.operators import titles, traffic, upsert, validate
 from catalith.operators.embed import embed_documents, hashing_model
 from catalith.plans.curate import load, prepare
-from catalith.session import scratch_path, settle
+from catalith.session import scratch_path, settle, tune
 from catalith.sources.export import export_rows
 from catalith.sources.snapshots import SnapshotTable
 from catalith.streaming import traffic as stream
@@ -33,7 +33,7 @@ _NUMBERS = list(fixed.NUMERIC_BOUNDS)
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return tune(spark).read.parquet(f"{sf}/{name}.parquet")
 
 
 def _standard(spark: SparkSession, sf: str) -> DataFrame:
