@@ -848,7 +848,7 @@ WHERE rank <= 10""",
         "exact_quantiles": "WITH log AS ({}) {}".format(
             _LOG,
             " UNION ALL ".join(
-                f"SELECT tool, {p} AS p, round(quantile_cont(seconds, {p}), 6) AS quantile, "
+                f"SELECT tool, {p} AS p, round(quantile_cont(seconds, {p}), 9) AS quantile, "
                 "count(*) AS n FROM log GROUP BY tool"
                 for p in (0.5, 0.95, 0.99)
             ),
@@ -868,10 +868,10 @@ FROM (SELECT *, time_bucket(INTERVAL 1 DAY, ts) AS window_start, row_number() OV
   PARTITION BY user_id, time_bucket(INTERVAL 1 DAY, ts) ORDER BY ts, request_id) AS place
   FROM log) WHERE place > 4""",
         "load_run_summary": f"""WITH log AS ({_LOG})
-SELECT count(*) AS requests, round(avg(CAST(failed AS INT)), 6) AS failed_share,
-  round((count(*) FILTER (WHERE NOT failed) + count(seconds)) / (2.0 * count(*)), 6)
+SELECT count(*) AS requests, round(avg(CAST(failed AS INT)), 9) AS failed_share,
+  round((count(*) FILTER (WHERE NOT failed) + count(seconds)) / (2.0 * count(*)), 9)
     AS checks_share,
-  round(quantile_cont(seconds, 0.95), 6) AS p95_seconds,
+  round(quantile_cont(seconds, 0.95), 9) AS p95_seconds,
   quantile_cont(seconds, 0.95) < 0.5 AS p95_ok, avg(CAST(failed AS INT)) < 0.05 AS failed_ok,
   (count(*) FILTER (WHERE NOT failed) + count(seconds)) / (2.0 * count(*)) > 0.95 AS checks_ok
 FROM log""",

@@ -466,7 +466,7 @@ def latency_histogram(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def exact_quantiles(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(traffic.exact_quantiles(_log(spark, sf)), "quantile")
+    return _rounded(traffic.exact_quantiles(_log(spark, sf)), "quantile", digits=9)
 
 
 def alerts(spark: SparkSession, sf: str) -> DataFrame:
@@ -486,7 +486,7 @@ def quota_rejections(spark: SparkSession, sf: str) -> DataFrame:
 
 def load_run_summary(spark: SparkSession, sf: str) -> DataFrame:
     found = traffic.load_run_summary(_log(spark, sf))
-    return _rounded(found, "failed_share", "checks_share", "p95_seconds")
+    return _rounded(found, "failed_share", "checks_share", "p95_seconds", digits=9)
 
 
 def _streamed(
