@@ -45,7 +45,7 @@ def main() -> None:
     corpus = settle(registered.corpus(spark, sf), "corpus")
     vectors = settle(spark.read.parquet(f"{sf}/embeddings.parquet"), "vectors")
     named = vectors.withColumnRenamed("vec_id", "id")
-    source = [float(x) for x in named.where("id = 7").first()["embedding"]]
+    source = search.vector_of(named, 7)
     index = scratch_path(spark, "index")
     nearest.write_vector_index(named, index)
     hundred = registered._batch_requests(spark, sf).orderBy("query_id").limit(100)

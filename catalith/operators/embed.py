@@ -26,24 +26,25 @@ class HashingModel:
 
     def __init__(self, dim: int) -> None:
         self.dim = dim
-        self._known: dict[str, tuple[int, int]] = {}
+        self._known: dict[str, int] = {}
 
-    def _place(self, word: str) -> tuple[int, int]:
-        place = self._known.get(word)
-        if place is None:
+    def _slot(self, word: str) -> int:
+        """Twice the place of a word, plus one where it counts positively."""
+        slot = self._known.get(word)
+        if slot is None:
             digest = hashlib.md5(word.encode()).hexdigest()
-            place = (int(digest[:8], 16) % self.dim, 1 if int(digest[8:10], 16) % 2 else -1)
+            slot = 2 * (int(digest[:8], 16) % self.dim) + int(digest[8:10], 16) % 2
             if len(self._known) < 1_000_000:
-                self._known[word] = place
-        return place
+                self._known[word] = slot
+        return slot
 
     def __call__(self, texts: list[str]) -> list[list[float]]:
-        vectors = np.zeros((len(texts), self.dim))
-        for row, text in enumerate(texts):
-            for word in text.split():
-                at, sign = self._place(word)
-                vectors[row, at] += sign
-        return vectors.tolist()
+        vectors = []
+        for text in texts:
+            slots = np.fromiter(map(self._slot, text.split()), dtype=np.int64)
+            counts = np.bincount(slots, minlength=2 * self.dim)
+            vectors.append((counts[1::2] - counts[0::2]).astype(float).tolist())
+        return vectors
 
 
 def hashing_model(dim: int) -> ModelFactory:
@@ -55,7 +56,7 @@ def embed_batches(model: Model, texts: list[str], dim: int, batch: int) -> list[
     vectors: list[list[float]] = []
     for start in range(0, len(texts), max(1, batch)):
         asked = texts[start : start + max(1, batch)]
-        answer = [[float(x) for x in vector] for vector in model(asked)]
+        answer = [list(map(float, vector)) for vector in model(asked)]
         if len(answer) != len(asked):
             raise ValueError(f"got {len(answer)} vectors for {len(asked)} inputs")
         for vector in answer:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from catalith import fixed
-from catalith.functions.vectors import cosine_similarity, literal_vector, norm
+from catalith.functions.vectors import norm
 from catalith.session import settle
 
 BLOCK_ROWS = 2048
@@ -39,14 +39,17 @@ _SLACK = 1e-6
 Match = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
-def vectors_of(table: pa.Table, column: str = "embedding") -> np.ndarray:
-    """The vectors of an Arrow table as a float64 matrix; mixed lengths raise."""
-    lists = table.column(column).combine_chunks()
+def matrix_of(lists: pa.Array) -> np.ndarray:
+    """An Arrow list column as a float64 matrix; mixed lengths raise."""
     lengths = pc.unique(pc.list_value_length(lists))
     if len(lengths) > 1:
         raise ValueError(f"vectors of different lengths: {lengths.to_pylist()}")
     values = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return values.reshape(table.num_rows, -1)
+    return values.reshape(len(lists), -1)
+
+
+def vectors_of(table: pa.Table, column: str = "embedding") -> np.ndarray:
+    return matrix_of(table.column(column).combine_chunks())
 
 
 def unit_rows(vectors: np.ndarray) -> np.ndarray:
@@ -58,6 +61,39 @@ def _norms(vectors: np.ndarray) -> np.ndarray:
     return np.sqrt((vectors * vectors).sum(axis=1))
 
 
+def cosines(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Query by row: cosine similarity, or the mark of a row without a direction.
+
+    Products of equal vectors may differ in the last bits with their place in the
+    matrix. Ties must not, hence the rounding.
+    """
+    scale = _norms(queries)[:, None] * _norms(rows)[None, :]
+    scores = np.full(scale.shape, _NO_DIRECTION)
+    np.divide(queries @ rows.T, scale, out=scores, where=scale > 0)
+    return scores.round(_SCORE_DIGITS)
+
+
+def similarity_to(embedding: Column, vector: Sequence[float]) -> Column:
+    """Cosine similarity of a column to one given vector, scored batch by batch.
+
+    NULL for a row without a vector or without a direction.
+    """
+    query = np.array([list(vector)], dtype=np.float64)
+
+    @F.arrow_udf(T.DoubleType())
+    def score(lists: pa.Array) -> pa.Array:
+        given = pc.is_valid(lists).to_numpy(zero_copy_only=False)
+        answer = np.full(len(lists), _NO_DIRECTION)
+        if given.any():
+            rows = matrix_of(lists.drop_null())
+            if rows.shape[1] != query.shape[1]:
+                raise ValueError(f"vectors of length {rows.shape[1]}, not {query.shape[1]}")
+            answer[given] = cosines(query, rows)[0]
+        return pa.array(answer, mask=answer == _NO_DIRECTION)
+
+    return score(embedding)
+
+
 def _best_per_query(at: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> Match:
     """The first ``k`` of every query, by score and then id."""
     order = np.lexsort((ids, -scores, at))
@@ -79,17 +115,10 @@ def best_matches(
 ) -> Match:
     """Best ``k`` rows of each query, merged with what was found before."""
     names = np.asarray(ids.to_pylist())
-    query_norms, row_norms = _norms(queries), _norms(rows)
     step = max(1, _SLICE_CELLS // max(1, len(queries)))
     for start in range(0, len(rows), step):
         part = slice(start, start + step)
-        scale = query_norms[:, None] * row_norms[None, part]
-        scores = np.divide(
-            queries @ rows[part].T, scale, out=np.full(scale.shape, _NO_DIRECTION), where=scale > 0
-        )
-        # Products of equal vectors may differ in the last bits with their place
-        # in the matrix; ties must not.
-        scores = scores.round(_SCORE_DIGITS)
+        scores = cosines(queries, rows[part])
         if allowed is not None:
             scores[~allowed[:, part]] = _EXCLUDED
         least = np.full(len(queries), _EXCLUDED)
@@ -243,9 +272,13 @@ def all_neighbours(corpus: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> D
     vectors = corpus.where(F.col("embedding").isNotNull() & (norm(F.col("embedding")) > 0)).select(
         "id", "embedding"
     )
-    copies = Window.partitionBy("embedding").orderBy("id")
+    # The digest spares sorts and joins most comparisons of whole vectors.
+    vectors = vectors.withColumn("_digest", F.xxhash64("embedding"))
+    copies = Window.partitionBy("_digest", "embedding").orderBy("id")
     leaders = settle(
-        vectors.withColumn("_copy", F.row_number().over(copies)).where(F.col("_copy") <= most),
+        vectors.withColumn("_copy", F.row_number().over(copies))
+        .where(F.col("_copy") <= most)
+        .drop("_digest"),
         "leaders",
     )
     firsts = leaders.where(F.col("_copy") == 1)
@@ -325,9 +358,9 @@ def all_neighbours(corpus: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> D
         .groupBy("query_id")
         .agg(F.sort_array(F.collect_list(F.struct("_rank", "id", "similarity"))).alias("_list"))
         .join(planned.select("query_id", "embedding"), "query_id")
-        .select("embedding", "_list")
+        .select(F.xxhash64("embedding").alias("_digest"), "embedding", "_list")
     )
-    own = vectors.join(lists, "embedding").select(
+    own = vectors.join(lists, ["_digest", "embedding"]).select(
         "id",
         F.posexplode(
             F.slice(F.filter("_list", lambda near: near["id"] != F.col("id")), 1, k)
@@ -394,9 +427,7 @@ def search_vector_index(
         return (
             rows.where(F.col("_cell").isin(*[int(c) for c in chosen]))
             .drop("_cell")
-            .withColumn(
-                "similarity", cosine_similarity(F.col("embedding"), literal_vector(vector))
-            )
+            .withColumn("similarity", similarity_to(F.col("embedding"), vector))
             .orderBy(F.col("similarity").desc_nulls_last(), "id")
             .limit(k)
         )

@@ -12,13 +12,13 @@ from pyspark.sql import functions as F
 
 from catalith import fixed
 from catalith.functions import sentences
-from catalith.functions.vectors import cosine_similarity, literal_vector
 from catalith.operators.embed import embed_queries
 from catalith.operators.nearest import (
     best_matches,
     match_schema,
     match_table,
     rank_in_blocks,
+    similarity_to,
     vectors_of,
 )
 from catalith.session import fits_broadcast
@@ -74,14 +74,10 @@ def as_results(
     return df.select(*extra, *[values.get(c, F.col(c)).alias(c) for c in fixed.RESULT_COLUMNS])
 
 
-def _nearest_first(df: DataFrame, vector: Column, k: int) -> DataFrame:
-    """Scored once, then a bounded sort in every task (``TakeOrderedAndProject``).
-
-    The vector is a column first, as it may be a scalar subquery.
-    """
+def _nearest_first(df: DataFrame, vector: Sequence[float], k: int) -> DataFrame:
+    """Scored once, then a bounded sort in every task (``TakeOrderedAndProject``)."""
     return (
-        df.withColumn("_query", vector)
-        .withColumn("_score", cosine_similarity(F.col("embedding"), F.col("_query")))
+        df.withColumn("_score", similarity_to(F.col("embedding"), vector))
         .orderBy(F.col("_score").desc_nulls_last(), "id")
         .limit(k)
     )
@@ -89,22 +85,21 @@ def _nearest_first(df: DataFrame, vector: Column, k: int) -> DataFrame:
 
 def hybrid_search(
     corpus: DataFrame,
-    vector: Column | Sequence[float],
+    vector: Sequence[float],
     filters: Filters = Filters(),
     top_k: int = fixed.TOP_K_DEFAULT,
     most: int = fixed.TOP_K_MAX,
 ) -> DataFrame:
     """Filter, rank by cosine similarity, keep ``top_k``. Filters come first."""
-    query = vector if isinstance(vector, Column) else literal_vector(vector)
-    found = _nearest_first(
-        corpus.where(filters.condition()), query, clamp_top_k(top_k, most)
-    )
+    kept = corpus.where(filters.condition())
+    found = _nearest_first(kept, vector, clamp_top_k(top_k, most))
     return as_results(found, F.col("_score"), "semantic")
 
 
-def vector_of(corpus: DataFrame, item_id) -> Column:
-    """Scalar subquery: the vector of one item, NULL when it has none."""
-    return corpus.where(F.col("id") == F.lit(item_id)).select("embedding").scalar()
+def vector_of(corpus: DataFrame, item_id) -> list[float] | None:
+    """The vector of one item; None for an unknown id or a missing vector."""
+    row = corpus.where(F.col("id") == F.lit(item_id)).select("embedding").head()
+    return None if row is None or row["embedding"] is None else list(row["embedding"])
 
 
 def similar_items(
@@ -113,19 +108,12 @@ def similar_items(
     top_k: int = fixed.TOP_K_SIMILAR,
     most: int = fixed.TOP_K_MAX,
 ) -> DataFrame:
-    """Nearest items to a stored one, itself left out.
-
-    The source vector is a scalar subquery, evaluated once; an unknown id or a
-    missing vector gives no rows.
-    """
+    """Nearest items to a stored one, itself left out; none without its vector."""
     source = vector_of(corpus, item_id)
-    found = _nearest_first(
-        corpus.where(
-            F.col("embedding").isNotNull() & (F.col("id") != F.lit(item_id)) & source.isNotNull()
-        ),
-        source,
-        clamp_top_k(top_k, most),
-    )
+    others = corpus.where(F.col("embedding").isNotNull() & (F.col("id") != F.lit(item_id)))
+    if source is None:
+        return as_results(corpus.where(F.lit(False)), F.lit(None), "semantic")
+    found = _nearest_first(others, source, clamp_top_k(top_k, most))
     return as_results(found, F.col("_score"), "semantic")
 
 
@@ -278,6 +266,7 @@ def search_many(
         F.col("imdb_rating").cast("double").alias("imdb_rating"),
         F.col("mpaa_rating").cast("string").alias("mpaa_rating"),
     )
+    most = wanted.agg(F.max("_k")).first()[0] or 1  # none is asked for more
     few = fits_broadcast(asked, broadcast_queries)
     scored = _rank_broadcast(asked, rows, most) if few else _rank_grid(asked, rows, most)
     order = Window.partitionBy("query_id").orderBy(F.col("similarity").desc_nulls_last(), "id")

@@ -116,13 +116,16 @@ def repeated_keys(df: DataFrame) -> DataFrame:
 def snapshot_changes(
     before: DataFrame, after: DataFrame, ignore: Sequence[str] = ("updated_at",)
 ) -> DataFrame:
-    """Rows in only one of two snapshots, counted by side."""
+    """Rows in only one of two snapshots, counted by side.
+
+    Both are counted against each other in one shuffle of row digests.
+    """
     columns = [c for c in before.columns if c not in ignore]
-    gone = before.select(columns).exceptAll(after.select(columns))
-    come = after.select(columns).exceptAll(before.select(columns))
-    return (
-        gone.select(F.lit("removed").alias("side"))
-        .unionByName(come.select(F.lit("added").alias("side")))
-        .groupBy("side")
-        .agg(F.count(F.lit(1)).alias("n"))
+    digest = F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
+    rows = before.select(digest.alias("row"), F.lit(-1).alias("n")).unionByName(
+        after.select(digest.alias("row"), F.lit(1).alias("n"))
     )
+    balance = rows.groupBy("row").agg(F.sum("n").alias("n")).where(F.col("n") != 0)
+    return balance.groupBy(
+        F.when(F.col("n") > 0, "added").otherwise("removed").alias("side")
+    ).agg(F.sum(F.abs("n")).alias("n"))

@@ -282,7 +282,7 @@ def rerun_changes(spark: SparkSession, sf: str) -> DataFrame:
 # Search
 
 
-def _query_vector(spark: SparkSession, sf: str) -> Column:
+def _query_vector(spark: SparkSession, sf: str) -> list[float]:
     return search.vector_of(_vectors(spark, sf), 7)
 
 
@@ -327,7 +327,7 @@ def knn_index(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "vector-index")
     vectors = _vectors(spark, sf)
     nearest.write_vector_index(vectors, path)
-    source = vectors.where(F.col("id") == 11).first()["embedding"]
+    source = search.vector_of(vectors, 11)
     found = nearest.search_vector_index(spark, path, source, 10)
     return _rounded(found.select("id", "label", "similarity"), "similarity")
 

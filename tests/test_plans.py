@@ -7,6 +7,7 @@ import pytest
 
 from catalith.operators import search
 from catalith.operators.embed import hashing_model
+from catalith.plans.catalog import Catalog
 from catalith.plans.curate import curate
 from catalith.session import scratch_path
 from catalith.sources.export import write_report
@@ -100,3 +101,35 @@ def test_entry(spark):
 
     found = entry.entry(spark)
     assert found.count() > 0
+
+
+def test_catalog_answers(spark, tmp_path):
+    records = [
+        {"Title": f"Film {i}", "Release Date": f"Jan 1 {1990 + i % 10}", "Major Genre": genre,
+         "MPAA Rating": "R", "IMDB Rating": 5 + i % 5}
+        for i, genre in enumerate(["Drama", "Action"] * 8)
+    ]
+    table = SnapshotTable(spark, scratch_path(spark, "table"))
+    curate(read_raw(spark, write_lines(tmp_path, records)), table, hashing_model(16), dim=16)
+    catalog = Catalog(table.read(), hashing_model(16), dim=16)
+
+    found = rows(catalog.search_movies_by_description("highly rated drama of the 90s", top_k=99))
+    assert found and all(r["major_genre"] == "Drama" and r["imdb_rating"] >= 7.5 for r in found)
+    given = rows(catalog.search_movies_by_description("drama", genre_filter="Action", top_k=2))
+    assert [r["major_genre"] for r in given] == ["Action"] * 2
+    one = rows(catalog.get_movie_by_title("film 3"))[0]
+    assert rows(catalog.get_movie_by_id(one["id"]))[0]["title"] == "Film 3"
+    assert rows(catalog.get_movie_by_id("x")) == []
+    near = rows(catalog.get_similar_movies(one["id"]))
+    assert len(near) == 5 and one["id"] not in {r["id"] for r in near}
+    assert rows(catalog.get_similar_movies("x")) == []
+    assert [r["major_genre"] for r in catalog.list_genres().collect()] == ["Action", "Drama"]
+    assert rows(catalog.get_dataset_stats())[0]["total_movies"] == 16
+    for bad in (dict(query=""), dict(query="x", decade=1700), dict(query="x", min_imdb_rating=11.0)):
+        with pytest.raises(ValueError):
+            catalog.search_movies_by_description(**bad)
+
+    asked = spark.createDataFrame([(1, "drama", 3), (2, "", 3)], "query_id int, query string, top_k int")
+    answers, refused = catalog.answer(asked)
+    assert {r["query_id"] for r in rows(answers)} == {1} and answers.count() == 3
+    assert [r["query_id"] for r in rows(refused)] == [2]
