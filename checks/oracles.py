@@ -439,7 +439,7 @@ def _sentence_filters(source: str) -> str:
     short = f"CASE WHEN {two} >= 20 THEN 1900 + {two} ELSE 2000 + {two} END"
     return f"""SELECT query_id, query, {genre} AS genre_filter,
   coalesce({four}, {named}, {short}) AS decade,
-  CASE WHEN {says(fixed.HIGH_RATING_PHRASE)} THEN 7.5 END AS min_imdb_rating,
+  CASE WHEN {says(fixed.HIGH_RATING_PHRASE)} THEN CAST(7.5 AS DOUBLE) END AS min_imdb_rating,
   {label} AS mpaa_rating FROM {source}"""
 
 
@@ -730,7 +730,7 @@ FROM corpus a JOIN corpus c USING (id) WHERE a.row_pos % 3 <> 2""",
     END AS reason FROM events) WHERE reason IS NOT NULL""",
         "title_exact": after(
             "corpus",
-            f"SELECT {_result('1.0', 'exact')} FROM corpus WHERE lower(title) = 'hot gear' "
+            f"SELECT {_result('CAST(1.0 AS DOUBLE)', 'exact')} FROM corpus WHERE lower(title) = 'hot gear' "
             "ORDER BY release_year, id LIMIT 1",
         ),
         "title_fuzzy": after(
@@ -848,7 +848,7 @@ WHERE rank <= 10""",
         "exact_quantiles": "WITH log AS ({}) {}".format(
             _LOG,
             " UNION ALL ".join(
-                f"SELECT tool, {p} AS p, round(quantile_cont(seconds, {p}), 9) AS quantile, "
+                f"SELECT tool, CAST({p} AS DOUBLE) AS p, round(quantile_cont(seconds, {p}), 9) AS quantile, "
                 "count(*) AS n FROM log GROUP BY tool"
                 for p in (0.5, 0.95, 0.99)
             ),
