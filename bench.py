@@ -16,7 +16,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from catalith.operators import clean, features, impute, nearest, search, titles, traffic  # noqa: E402
-from catalith.operators.embed import embed_documents  # noqa: E402
+from catalith.operators.embed import embed_documents, spread  # noqa: E402
 from catalith.session import build_session, scratch_path, settle  # noqa: E402
 from checks import queries as registered  # noqa: E402
 from checks.items import items  # noqa: E402
@@ -72,7 +72,7 @@ def main() -> None:
         "impute": lambda: impute.impute(cleaned),
         "clean_impute_augment": pipeline,
         "cleaning_report": lambda: clean.cleaning_report(raw, kept=kept),
-        "embed_documents": lambda: embed_documents(documents, text="text", dim=64),
+        "embed_documents": lambda: embed_documents(spread(documents), text="text", dim=64),
         "upsert_items": lambda: registered.upsert_items(spark, sf),
         "nl_search": lambda: registered.nl_search(spark, sf),
         "dedup_documents": lambda: registered.dedup_documents(spark, sf),

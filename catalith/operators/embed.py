@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -14,6 +15,10 @@ from pyspark.sql import types as T
 from catalith import fixed
 from catalith.functions.text import with_prefix
 
+# Texts one task embeds at most, and the fewest that are worth a task.
+ROWS_PER_TASK = 20_000
+LEAST_ROWS = 256
+
 Model = Callable[[list[str]], Sequence[Sequence[float]]]
 ModelFactory = Callable[[], Model]
 
@@ -93,8 +98,16 @@ def embedding_of(
     return run(text)
 
 
-def prefixed(df: DataFrame, text: str, out: str, prefix: str) -> DataFrame:
-    return df.withColumn(out, with_prefix(F.col(text), prefix))
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows out evenly before they go to the model.
+
+    A model call costs far more than moving its text, and a few large files would
+    keep most cores idle. Tasks stay small enough to be worth redoing.
+    """
+    rows = df.count()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    tasks = max(math.ceil(rows / ROWS_PER_TASK), min(cores, math.ceil(rows / LEAST_ROWS)))
+    return df.repartition(max(1, tasks))
 
 
 def embed_documents(

@@ -377,26 +377,31 @@ def all_neighbours(corpus: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> D
 def write_vector_index(corpus: DataFrame, path: str, block_rows: int = 1_000_000) -> None:
     """Store embedded rows by cell, so that a search reads only the cells it needs.
 
-    A large cell is written by several tasks into files of bounded length.
+    A cell is written in parts of about ``block_rows`` rows, each by its own task.
     """
+    spark = corpus.sparkSession
     rows = corpus.where(F.col("embedding").isNotNull())
     directed = rows.where(norm(F.col("embedding")) > 0).select("id", "embedding")
     pivots = pick_pivots(directed, directed.count())
     placed = settle(with_cells(rows, Cells(pivots)), "placed")
-    cells = placed.groupBy("_cell").agg(
-        F.count(F.lit(1)).alias("n"), F.max("_distance").alias("radius")
+    members = (
+        placed.groupBy("_cell")
+        .agg(F.count(F.lit(1)).alias("n"), F.max("_distance").alias("radius"))
+        .collect()  # one row per pivot
     )
-    spark = corpus.sparkSession
-    schema = "_cell int, pivot array<double>"
-    named = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(pivots)], schema)
-    cells.join(named, "_cell").write.parquet(f"{path}/cells")
+    parts = [1] * len(pivots)
+    for row in members:
+        parts[row["_cell"]] = math.ceil(row["n"] / block_rows)
+    spark.createDataFrame(
+        [(r["_cell"], r["n"], r["radius"], pivots[r["_cell"]].tolist()) for r in members],
+        "_cell int, n bigint, radius double, pivot array<double>",
+    ).write.parquet(f"{path}/cells")
     (
         placed.drop("_distance")
-        .withColumn("_salt", _block_of("id", 5, F.lit(64)))
-        .repartition("_cell", "_salt")
-        .drop("_salt")
+        .withColumn("_part", _block_of("id", 5, _by_cell(parts)))
+        .repartition(sum(parts), "_cell", "_part")
+        .drop("_part")
         .write.partitionBy("_cell")
-        .option("maxRecordsPerFile", block_rows)
         .parquet(f"{path}/rows")
     )
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from catalith import fixed
 from catalith.operators import clean as cleaning
 from catalith.operators import features, impute, upsert
-from catalith.operators.embed import ModelFactory, embed_documents
+from catalith.operators.embed import ModelFactory, embed_documents, spread
 from catalith.operators.reports import union_reports
 from catalith.session import build_session, scratch_path, settle
 from catalith.sources.export import write_report
@@ -41,7 +41,11 @@ def load(
     run_at: dt.datetime,
     order: str = "row_pos",
 ) -> tuple[int, DataFrame]:
-    """Merge embedded rows into the table; the new version and the load report."""
+    """Merge embedded rows into the table; the new version and the load report.
+
+    The rows should be stored: they are read once for the load and once for its
+    report.
+    """
     batch = settle(upsert.bind(upsert.loadable(rows, order), pipeline_version), "batch")
     version = table.write(upsert.merge(table.read(), batch, run_at))
     report = upsert.load_report(rows, table.read(version), pipeline_version)
@@ -76,7 +80,8 @@ def curate(
     ]
     if table is None:
         return CurationRun(augmented, union_reports(*reports))
-    embedded = settle(embed_documents(augmented, factory=model, dim=dim, batch=batch), "embedded")
+    embedded = embed_documents(spread(augmented), factory=model, dim=dim, batch=batch)
+    embedded = settle(embedded, "embedded")
     version, report = load(embedded, table, pipeline_version, run_at, order)
     return CurationRun(embedded, union_reports(*reports, report), version)
 

@@ -13,7 +13,7 @@ from catalith.functions.text import with_prefix
 from catalith.functions.vectors import parse_vector
 from catalith.operators import clean, dedup, features, impute, nearest, search, stats
 from catalith.operators import titles, traffic, upsert, validate
-from catalith.operators.embed import embed_documents, hashing_model
+from catalith.operators.embed import embed_documents, hashing_model, spread
 from catalith.plans.curate import load, prepare
 from catalith.session import scratch_path, settle, tune
 from catalith.sources.export import export_rows
@@ -182,9 +182,8 @@ def _sum(vector: Column, weight: Callable[[Column, Column], Column]) -> Column:
 
 
 def embedded_texts(spark: SparkSession, sf: str) -> DataFrame:
-    rows = embed_documents(
-        table(spark, sf, "documents").select("doc_id", "text"), text="text", dim=DIM
-    )
+    documents = table(spark, sf, "documents").select("doc_id", "text")
+    rows = embed_documents(spread(documents), text="text", dim=DIM)
     v = F.col("embedding")
     return rows.select(
         "doc_id",

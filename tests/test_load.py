@@ -158,3 +158,18 @@ def test_export_parses_text_vectors_and_refuses_bad_input(spark):
     with pytest.raises(ValueError, match="no embedded rows"):
         export.write_export(text.where("embedding is null"), scratch_path(spark, "none"), 3)
     assert export.embedded_count(text) == 1
+
+
+def test_search_filters_reach_the_scan_of_the_stored_table(spark, table):
+    from catalith.operators import search
+
+    load(spark.createDataFrame(FIRST, SCHEMA), table, "0.1.0", DAY1)
+    found = search.hybrid_search(
+        table.read(), [1.0, 2.0], search.Filters("Drama", 1990, mpaa_rating="R")
+    )
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    pushed = plan[plan.index("PushedFilters") : plan.index("ReadSchema")]
+    for filter_ in ("EqualTo(decade,1990)", "EqualTo(major_genre,Drama)", "EqualTo(mpaa_rating,R)"):
+        assert filter_ in pushed
+    assert "augmented_text" not in plan[plan.index("ReadSchema") :]
+    assert "TakeOrderedAndProject" in plan and "Exchange" not in plan
