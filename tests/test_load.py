@@ -164,6 +164,7 @@ def test_search_filters_reach_the_scan_of_the_stored_table(spark, table):
     from catalith.operators import search
 
     load(spark.createDataFrame(FIRST, SCHEMA), table, "0.1.0", DAY1)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
     found = search.hybrid_search(
         table.read(), [1.0, 2.0], search.Filters("Drama", 1990, mpaa_rating="R")
     )
