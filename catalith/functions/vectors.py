@@ -2,16 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def literal_vector(values: Sequence[float]) -> Column:
-    return F.lit([float(v) for v in values]).cast("array<double>")
-
-
 def dot(left: Column, right: Column) -> Column:
     products = F.zip_with(left, right, lambda x, y: x.cast("double") * y.cast("double"))
     return F.aggregate(products, F.lit(0.0), lambda total, x: total + x)

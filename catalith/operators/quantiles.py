@@ -1,7 +1,8 @@
 """Exact quantiles per group, without gathering a group in one task.
 
 Values are first counted, which shrinks every group to its distinct values. A
-group that still has too many is narrowed to the ranges its ranks fall in.
+group that still has too many is narrowed to the ranges its ranks fall in, until
+it has few.
 """
 
 from __future__ import annotations
@@ -118,19 +119,21 @@ def group_quantiles(
             .join(sizes.alias("s"), _same("v", "s", keys))
             .select("v.*", "s._total", F.lit(0).cast("bigint").alias("_before"))
         )
-        # First by magnitude, then evenly inside the magnitude that was hit.
+        # First by magnitude, then again and again evenly between the least and
+        # the most of the bins that were hit, until what is left is small.
         number = F.col(value).cast("double")
-        magnitude = F.signum(number) * F.floor(F.log1p(F.abs(number)) * _BINS_PER_UNIT)
-        rows = settle(
-            _narrowed(rows, keys, value, magnitude, probabilities, "_magnitude"), "narrowed"
-        )
         span = F.col("_most") - F.col("_least")
-        even = F.when(
-            span > 0, F.floor((number - F.col("_least")) / span * _EQUAL_BINS)
-        ).otherwise(0)
-        within = [*keys, "_magnitude"]
-        rows = _narrowed(rows, within, value, even, probabilities, "_even")
-        within = [*within, "_even"]
+        bins = F.signum(number) * F.floor(F.log1p(F.abs(number)) * _BINS_PER_UNIT)
+        evenly = F.floor((number - F.col("_least")) / span * _EQUAL_BINS)
+        within = list(keys)
+        while largest > window_values:
+            name = f"_bin{len(within)}"
+            narrowed = _narrowed(rows, within, value, bins, probabilities, name)
+            rows = settle(narrowed, "narrowed")
+            within.append(name)
+            left = rows.groupBy(*within).agg(F.count(F.lit(1)).alias("_n"))
+            largest = left.agg(F.max("_n")).first()[0]
+            bins = F.when(span > 0, evenly).otherwise(0)
 
     low, high = F.min(value).cast("double"), F.max(value).cast("double")
     return (

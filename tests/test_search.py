@@ -285,3 +285,14 @@ def test_violations_are_counted(corpus):
     found = search.hybrid_search(corpus, [1.0, 0.0])
     audit = rows(stats.filter_violations(found, search.Filters("Action", 1990, 7.0, "R")))
     assert audit == [{"rows": 5, "violations": 4}]
+
+
+def test_column_form_of_the_cosine(spark):
+    from catalith.functions.vectors import cosine_similarity
+
+    df = spark.createDataFrame(
+        [([1.0, 0.0], [1.0, 0.5]), ([0.0, 0.0], [1.0, 1.0]), (None, [1.0, 1.0])],
+        "a array<float>, b array<float>",
+    )
+    got = [r[0] for r in df.select(cosine_similarity(F.col("a"), F.col("b"))).collect()]
+    assert got == [pytest.approx(0.8944272), None, None]
