@@ -18,7 +18,7 @@ from catalith.session import settle
 
 # Similarity levels searched one after the other; a query leaves at the first
 # level that finds something, which is then its best match overall.
-LEVELS = (0.6, fixed.TRIGRAM_THRESHOLD)
+LEVELS = (0.75, 0.5, fixed.TRIGRAM_THRESHOLD)
 # Catalog titles of one trigram that are matched in one task.
 POSTINGS_PER_TASK = 20_000
 
@@ -74,69 +74,109 @@ def _with_grams(df: DataFrame, title: str, out: str) -> DataFrame:
     return df.withColumn(out, F.sort_array(trigrams(F.col(title)))).where(F.size(out) > 0)
 
 
-def _postings(
-    sets: DataFrame, key: str, frequencies: DataFrame, level: float, keep: list[str]
-) -> DataFrame:
-    """One row per trigram of the prefix of each set.
+def _gram_codes(sets: DataFrame, key: str) -> DataFrame:
+    """``gram, code, times``: numbers for the trigrams in use, the rarest lowest."""
+    counts = (
+        sets.select(F.explode(key).alias("gram"))
+        .groupBy("gram")
+        .agg(F.count(F.lit(1)).alias("times"))
+    )
+    return counts.orderBy("times", "gram").withColumn("code", F.monotonically_increasing_id())
 
-    Two sets of similarity ``level`` share one of the first
-    ``size - ceil(level * size) + 1`` trigrams of each, in any one order of all
-    trigrams; rarest first makes those few. (Prefix filter of Bayardo et al.,
-    "Scaling Up All Pairs Similarity Search", WWW 2007.)
+
+def _coded(sets: DataFrame, key: str, codes: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Each set as ``size`` and its known trigrams ``grams``, rarest first.
+
+    Trigrams the catalog does not hold count in the size only.
     """
-    # The slack keeps rounding from making a prefix too short.
-    length = F.size(key) - F.ceil(F.size(key) * level - 1e-9) + 1
     return (
         sets.select(key, *keep, F.explode(key).alias("gram"))
-        .join(frequencies, "gram", "left")
+        .join(codes, "gram", "left")
         .groupBy(key, *keep)
         .agg(
             F.sort_array(
-                F.collect_list(F.struct(F.coalesce("times", F.lit(0)).alias("times"), "gram"))
-            ).alias("_rarest")
-        )
-        .withColumn("_rarest", F.slice("_rarest", F.lit(1), length.cast("int")))
-        .select(
-            key,
-            *keep,
-            F.transform("_rarest", lambda entry: entry["gram"]).alias(f"{key}_prefix"),
-            F.inline("_rarest"),
+                F.collect_list(F.when(F.col("code").isNotNull(), F.struct("code", "times")))
+            ).alias("grams")
         )
-        .where(F.col("times") > 0)
-        .withColumn("_parts", F.ceil(F.col("times") / POSTINGS_PER_TASK).cast("int"))
-        .drop("times")
+        .withColumn("size", F.size(key))
     )
 
 
-def _best_sets(
-    asked: DataFrame, held: DataFrame, frequencies: DataFrame, level: float
-) -> DataFrame:
+def _postings(coded: DataFrame, key: str, level: float, keep: Sequence[str] = ()) -> DataFrame:
+    """One row per known trigram in the prefix of each set.
+
+    Two sets of similarity ``level`` share one of the first
+    ``size - ceil(level * size) + 1`` trigrams of each, in any one order of all
+    trigrams; rarest first makes those few. (Prefix filter of Bayardo et al.,
+    "Scaling Up All Pairs Similarity Search", WWW 2007.) Unknown trigrams are the
+    rarest, and come before the known ones. ``left`` counts the trigrams of the
+    set that follow.
+    """
+    # The slack keeps rounding from making a prefix too short.
+    length = F.col("size") - F.ceil(F.col("size") * level - 1e-9) + 1
+    unknown = F.col("size") - F.size("grams")
+    known = F.greatest(F.lit(0), (length - unknown).cast("int"))
+    codes = F.transform("grams", lambda gram: gram["code"])
+    return coded.select(
+        key,
+        *keep,
+        "size",
+        codes.alias("codes"),
+        F.posexplode(F.slice("grams", F.lit(1), known)).alias("_at", "_gram"),
+    ).select(
+        key,
+        *keep,
+        "size",
+        "codes",
+        (F.size("codes") - F.col("_at") - 1).alias("left"),
+        F.col("_gram.code").alias("code"),
+        F.ceil(F.col("_gram.times") / POSTINGS_PER_TASK).cast("int").alias("parts"),
+    )
+
+
+def _best_sets(asked: DataFrame, held: DataFrame, level: float) -> DataFrame:
     """``asked_set, held_set, similarity``: the best held set of each asked one.
 
     Candidates are scored where they are joined, and a task sends on one row per
     asked set. The catalog side of a frequent trigram is spread over several
     tasks, with the asked side repeated for each.
     """
-    left = (
-        _postings(asked, "asked_set", frequencies, level, [])
-        .withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
-        .drop("_parts")
+    wanted = (
+        _postings(asked, "asked_set", level)
+        .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        .drop("parts")
+        .alias("a")
     )
-    right = (
-        _postings(held, "held_set", frequencies, level, ["first"])
-        .withColumn("_part", F.pmod(F.xxhash64("held_set"), F.col("_parts")).cast("int"))
-        .drop("_parts")
+    offered = (
+        _postings(held, "held_set", level, ["first"])
+        .withColumn("part", F.pmod(F.xxhash64("held_set"), F.col("parts")).cast("int"))
+        .drop("parts")
+        .alias("h")
     )
-    asked_size, held_size = F.size("asked_set"), F.size("held_set")
+    asked_size, held_size = F.col("a.size"), F.col("h.size")
     comparable = (held_size >= asked_size * level - 1e-9) & (asked_size >= held_size * level - 1e-9)
-    # Both prefixes are in the same order, so a pair counts at its first shared
-    # trigram and nowhere else.
-    shared = F.element_at(F.array_intersect("asked_set_prefix", "held_set_prefix"), 1)
+    # At the first trigram two sets share, what follows bounds what they share in
+    # all. A pair that passes nowhere else passes there, and only the best counts.
+    needed = (asked_size + held_size) * (level / (1 + level)) - 1e-9
+    enough = F.least(F.col("a.left"), F.col("h.left")) + 1 >= needed
+    shared = F.size(F.array_intersect("a.codes", "h.codes"))
     best_first = F.struct(-F.col("similarity"), F.col("first"))
     return (
-        left.join(right, ["gram", "_part"])
-        .where(comparable & (shared == F.col("gram")))
-        .withColumn("similarity", set_similarity(F.col("asked_set"), F.col("held_set")))
+        wanted.join(
+            offered,
+            (F.col("a.code") == F.col("h.code"))
+            & (F.col("a.part") == F.col("h.part"))
+            & comparable
+            & enough,
+        )
+        .select(
+            "asked_set",
+            "held_set",
+            "first",
+            (asked_size + held_size).alias("_sizes"),
+            shared.alias("_shared"),
+        )
+        .withColumn("similarity", F.col("_shared") / (F.col("_sizes") - F.col("_shared")))
         .where(F.col("similarity") >= level)
         .groupBy("asked_set")
         .agg(F.min_by(F.struct("held_set", "similarity"), best_first).alias("_best"))
@@ -174,16 +214,14 @@ def title_match(
         ),
         "gram-sets",
     )
-    frequencies = settle(
-        sets.select(F.explode("held_set").alias("gram"))
-        .groupBy("gram")
-        .agg(F.count(F.lit(1)).alias("times")),
-        "gram-counts",
+    codes = settle(_gram_codes(sets, "held_set"), "gram-codes")
+    offered = settle(_coded(sets, "held_set", codes, ["first"]), "offered")
+    open_sets = settle(
+        _coded(missed.select("asked_set").distinct(), "asked_set", codes), "asked"
     )
-    open_sets = missed.select("asked_set").distinct()
     matches = None
     for level in sorted(levels, reverse=True):
-        best = settle(_best_sets(open_sets, sets, frequencies, level), "best")
+        best = settle(_best_sets(open_sets, offered, level), "best")
         open_sets = open_sets.join(best, "asked_set", "left_anti")
         matches = best if matches is None else matches.unionByName(best)
     fuzzy = (

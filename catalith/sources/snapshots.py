@@ -52,8 +52,8 @@ class SnapshotTable:
         """Store the whole table as the next snapshot and commit it.
 
         Files are sorted by the columns searches filter on, so a search skips
-        row groups by their statistics. Two writers that choose the same number collide on its folder, and the
-        second fails.
+        row groups by their statistics. Two writers that choose the same number
+        collide on its folder, and the second fails.
         """
         taken = self._numbers(committed=False)
         version = (taken[-1] if taken else 0) + 1
