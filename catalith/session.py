@@ -79,6 +79,44 @@ def settle(df: DataFrame, name: str = "settled") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """A job's own folder below the shared one, given back when the job ends.
+
+    Use it as a context manager, or call ``remove`` once nothing reads the tables any more.
+    """
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark = spark
+        self.path = scratch_path(spark, name)
+
+    def settle(self, df: DataFrame, name: str) -> DataFrame:
+        """Like ``settle``, in this folder."""
+        path = f"{self.path}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, df: DataFrame) -> None:
+        """Remove one table of this folder that is not needed any more."""
+        for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+            if f"/{self.path.rstrip('/').rsplit('/', 1)[-1]}/" in folder:
+                delete_path(self.spark, folder)
+
+    def remove(self) -> None:
+        delete_path(self.spark, self.path)
+
+    def __enter__(self) -> "Scratch":
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.remove()
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder wherever it lies."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Count up to the bound, never further."""
     return df.select(F.lit(1)).limit(rows + 1).count() <= rows
