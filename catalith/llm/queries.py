@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalith.llm import chat, decontam, pii, quality_rules, urls
+from catalith.llm import chat, decontam, jaccard, pii, quality_rules, tokens, urls
 from catalith.llm.common import read
-from catalith.session import settle
+from catalith.session import scratch_path, settle
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -60,6 +61,28 @@ def op3_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
+    like = jaccard.Likeness(size=3, num=90, den=100)
+    linked = jaccard.join(read(spark, sf, "documents").select("doc_id", "text"), like)
+    return linked.select("doc_id", "n_shingles", "component_id")
+
+
+def token_digests(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """Write all texts as token ids, read them back, and say what was read."""
+    folder = scratch_path(spark, "tokens")
+    tokens.write(docs, folder, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return tokens.read(spark, folder).select(
+        "doc_id",
+        "start",
+        F.floor(F.length("ids") / 4).cast("long").alias("n_tokens"),
+        F.crc32("ids").alias("ids_crc32"),
+    )
+
+
+def op5_token_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return token_digests(spark, read(spark, sf, "documents").select("doc_id", "text"))
+
+
 #: The rules of the query, host and path.
 URL_RULES = [
     urls.Rule("allow", "com", "/"),
@@ -117,6 +140,8 @@ def queries() -> dict[str, Query]:
         "op1_pii": op1_pii,
         "op2_decontamination": op2_decontamination,
         "op3_quality_rules": op3_quality_rules,
+        "op4_ngram_jaccard": op4_ngram_jaccard,
+        "op5_token_ids": op5_token_ids,
         "op7_url_filters": op7_url_filters,
         "op8_chat_formatting": op8_chat_formatting,
     }
