@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalith.llm import chat, decontam, jaccard, pii, quality_rules, tokens, urls
+from catalith.llm import chat, decontam, jaccard, line_crf, mixing, pii, quality_rules, tokens, urls
 from catalith.llm.common import read
 from catalith.session import scratch_path, settle
 
@@ -135,6 +135,41 @@ def op8_chat_formatting(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op9_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read(spark, sf, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    labelled = read(spark, sf, "labels").where(~held_out)
+    chain = line_crf.learn(docs, labelled.select("doc_id", F.col("quality").alias("label")))
+    scored = line_crf.score(docs, chain, keep_text=False)
+    return scored.select(
+        "doc_id",
+        held_out.alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
+#: Domains of labelled documents, and the shares of tokens they are to have.
+MIX_TARGETS = {"good": 0.85, "poor": 0.10, "toxic": 0.05}
+
+
+def labelled_domains(spark: SparkSession, sf: str) -> DataFrame:
+    domain = F.when(F.col("quality") == 0, "poor").when(F.col("toxic") == 1, "toxic")
+    return read(spark, sf, "labels").select("doc_id", domain.otherwise("good").alias("domain"))
+
+
+def op10_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read(spark, sf, "documents").select("doc_id", "text")
+    mixed = mixing.mix(docs, labelled_domains(spark, sf), MIX_TARGETS, keep_text=False)
+    return mixed.select(
+        "doc_id",
+        "n_tokens",
+        *(F.get("posterior", F.lit(k)).alias(f"p_{name}") for k, name in enumerate(MIX_TARGETS)),
+        "rate",
+        "copies",
+    )
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_pii": op1_pii,
@@ -144,4 +179,6 @@ def queries() -> dict[str, Query]:
         "op5_token_ids": op5_token_ids,
         "op7_url_filters": op7_url_filters,
         "op8_chat_formatting": op8_chat_formatting,
+        "op9_quality_classifier": op9_quality_classifier,
+        "op10_mixing": op10_mixing,
     }
