@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalith.llm import chat, decontam, jaccard, line_crf, mixing, pii, quality_rules, tokens, urls
+from catalith.llm import chat, decontam, jaccard, line_crf, mixing, pii, quality_rules, secrets, tokens, urls
 from catalith.llm.common import read
 from catalith.session import scratch_path, settle
 
@@ -83,6 +83,19 @@ def op5_token_ids(spark: SparkSession, sf: str) -> DataFrame:
     return token_digests(spark, read(spark, sf, "documents").select("doc_id", "text"))
 
 
+def op6_secret_scans(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read(spark, sf, "documents").select("doc_id", "text", "source")
+    spans = F.transform(
+        "secrets", lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string"))
+    )
+    return secrets.scan(docs).select(
+        "doc_id",
+        "n_proposed",
+        F.size("secrets").cast("long").alias("n_secrets"),
+        F.array_join(spans, ",").alias("spans"),
+    )
+
+
 #: The rules of the query, host and path.
 URL_RULES = [
     urls.Rule("allow", "com", "/"),
@@ -177,6 +190,7 @@ def queries() -> dict[str, Query]:
         "op3_quality_rules": op3_quality_rules,
         "op4_ngram_jaccard": op4_ngram_jaccard,
         "op5_token_ids": op5_token_ids,
+        "op6_secret_scans": op6_secret_scans,
         "op7_url_filters": op7_url_filters,
         "op8_chat_formatting": op8_chat_formatting,
         "op9_quality_classifier": op9_quality_classifier,
