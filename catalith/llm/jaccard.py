@@ -10,7 +10,8 @@
    group, the union's entry: the smallest and largest set and the best position.
 4. A class is compared with the matrix. A group qualifies when length and position leave
    enough room for the overlap; only the members of qualifying groups that hold the
-   token are opened, bounded one by one, and verified on the whole sets.
+   token are opened, bounded one by one, bounded again by the counts of their tokens in 64
+   ranges, and verified on the whole sets.
 5. Connected components over all links.
 
 Nothing is missed: the groups of step 2 only save work, since links between groups are
@@ -40,14 +41,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catalith.llm.components import components
-from catalith.llm.shingles import mix, shingle_sets
+from catalith.llm.shingles import shingle_sets
 from catalith.session import Scratch, settle
 
 #: Cells of the rarity table, and of the bit table that picks texts.
 RARITY_BITS = 21
 PICK_BITS = 24
 _SLICES = 16
-_SKETCH = 32
+_RANGES = 64
 _KEYS = 4
 _U = np.uint64
 
@@ -86,7 +87,7 @@ def _fingerprints(found: np.ndarray) -> tuple[int, int]:
 
 _PROFILE = (
     "doc_id {id}, mark long, n int, fa long, fb long, keys array<long>,"
-    " sketch array<tinyint>, cell int, counts binary"
+    " spread array<int>, cell int, counts binary"
 )
 
 
@@ -94,15 +95,12 @@ def _bits(found: np.ndarray, bits: int) -> np.ndarray:
     return (found >> _U(64 - bits)).astype(np.int64)
 
 
-def _sketch(found: np.ndarray, bins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Minimal hashes of four ranges, and a byte for the minimum of each of 32 (0: none)."""
-    at = np.searchsorted(found, bins)
-    filled = np.diff(np.append(at, len(found))) > 0
-    low = found[np.minimum(at, len(found) - 1)]
-    marks = np.where(filled, mix(low) % _U(127) + _U(1), _U(0))
-    first = at[:: _SKETCH // _KEYS]
+def _outline(found: np.ndarray, ranges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Minimal hashes of four parts, and the number of tokens in each of 64 ranges."""
+    at = np.searchsorted(found, ranges)
+    first = at[:: _RANGES // _KEYS]
     keys = found[first[first < np.append(first[1:], len(found))]]
-    return keys.astype(np.int64), marks.astype(np.int8)
+    return keys.astype(np.int64), np.diff(np.append(at, len(found))).astype(np.int32)
 
 
 def _profile(size: int, id_type: pa.DataType):
@@ -114,12 +112,12 @@ def _profile(size: int, id_type: pa.DataType):
         ("fa", pa.int64()),
         ("fb", pa.int64()),
         ("keys", pa.list_(pa.int64())),
-        ("sketch", pa.list_(pa.int8())),
+        ("spread", pa.list_(pa.int32())),
         ("cell", pa.int32()),
         ("counts", pa.binary()),
     ]
     schema = pa.schema(types)
-    bins = np.arange(_SKETCH, dtype=_U) << _U(59)
+    ranges = np.arange(_RANGES, dtype=_U) << _U(58)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(1 << RARITY_BITS, np.uint32)
@@ -130,7 +128,7 @@ def _profile(size: int, id_type: pa.DataType):
                     rows.append((0, None, None, None, None))
                     continue
                 np.add.at(seen, _bits(found, RARITY_BITS), 1)
-                rows.append((len(found), *_fingerprints(found), *_sketch(found, bins)))
+                rows.append((len(found), *_fingerprints(found), *_outline(found, ranges)))
             columns = zip(*rows, strict=True) if rows else ((),) * 5
             made = [
                 pa.array(list(column), kind)
@@ -247,30 +245,27 @@ def _verified(pairs: DataFrame, tokens: DataFrame, like: Likeness) -> DataFrame:
     return both.where(common * like.den >= union * like.num).select("u", "v")
 
 
-def _leaders(classes: DataFrame, like: Likeness) -> DataFrame:
-    """Pairs of a class and the leader of one of its minimal hashes that look similar.
+def _bounded(pairs: DataFrame, classes: DataFrame, like: Likeness) -> DataFrame:
+    """Pairs ``u, v`` whose counts of tokens in each range leave room for the overlap."""
+    a = classes.select(F.col("id").alias("u"), F.col("n").alias("a"), F.col("spread").alias("s"))
+    b = classes.select(F.col("id").alias("v"), F.col("n").alias("b"), F.col("spread").alias("t"))
+    common = F.aggregate(
+        F.zip_with("s", "t", lambda x, y: F.least(x, y)), F.lit(0), lambda n, x: n + x
+    )
+    both = pairs.join(a, "u").join(b, "v")
+    both = both.where(like.lengths_fit(F.col("a"), F.col("b")))
+    return both.where(like.room(F.col("a"), F.col("b"), common)).select("u", "v")
 
-    The leader is the class with most copies. Sketches drop pairs that are surely too
-    different; what they drop wrongly, the matrix finds.
-    """
+
+def _leaders(classes: DataFrame) -> DataFrame:
+    """Pairs of a class and the leader of one of its minimal hashes: the class with most copies."""
     keyed = classes.select("id", "copies", F.explode("keys").alias("key"))
     best = keyed.groupBy("key").agg(
         F.max(F.struct("copies", (-F.col("id")).alias("id"))).alias("best"), F.count("*").alias("n")
     )
     led = best.where("n > 1").select("key", (-F.col("best.id")).alias("v"))
-    pairs = keyed.join(led, "key").where("id <> v").select(F.col("id").alias("u"), "v").distinct()
-    a = classes.select(F.col("id").alias("u"), F.col("n").alias("a"), F.col("sketch").alias("s"))
-    b = classes.select(F.col("id").alias("v"), F.col("n").alias("b"), F.col("sketch").alias("t"))
-    near = F.zip_with("s", "t", lambda x, y: ((x == y) & (x != 0)).cast("int"))
-    used = F.zip_with("s", "t", lambda x, y: ((x != 0) | (y != 0)).cast("int"))
-    added = lambda c: F.aggregate(c, F.lit(0), lambda n, x: n + x)
-    return (
-        pairs.join(a, "u")
-        .join(b, "v")
-        .where(like.lengths_fit(F.col("a"), F.col("b")))
-        .where(added(near) * like.den >= added(used) * (like.num - like.den // 5))
-        .select("u", "v")
-    )
+    pairs = keyed.join(led, "key").where("id <> v")
+    return pairs.select(F.col("id").alias("u"), "v").distinct()
 
 
 def _opened(postings: DataFrame, like: Likeness) -> DataFrame:
@@ -332,11 +327,11 @@ def join(
             rows.where("n > 0")
             .groupBy("fa", "fb")
             .agg(
-                F.min(F.struct("doc_id", "mark")).alias("first"),
+                F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("first"),
                 F.count("*").alias("copies"),
                 F.max("n").alias("n"),
                 F.any_value("keys").alias("keys"),
-                F.any_value("sketch").alias("sketch"),
+                F.any_value("spread").alias("spread"),
             )
             .withColumn("id", F.monotonically_increasing_id()),
             "classes",
@@ -357,7 +352,7 @@ def join(
             whole = whole.join(named.join(ids, "id", "left_semi"), ["fa", "fb"])
             return whole.groupBy("id").agg(F.any_value("tokens").alias("tokens"))
 
-        led = scratch.settle(_leaders(classes, like), "leaders")
+        led = scratch.settle(_bounded(_leaders(classes), classes, like), "leaders")
         found = sets_of(led, True, "prefixes")
         links = scratch.settle(_verified(led, tokens_of(found, led), like), "links")
         grouped = components(links)
@@ -384,7 +379,7 @@ def join(
             posted.join(shared.where("low <> high").select("token"), "token", "left_semi"), "shared"
         )
         scratch.drop(posted)
-        opened = scratch.settle(_opened(postings, like), "opened")
+        opened = scratch.settle(_bounded(_opened(postings, like), classes, like), "opened")
         more = _verified(opened, tokens_of(sets_of(opened, False, "sets"), opened), like)
         joined = components(links.union(scratch.settle(more, "more")))
         member = classes.join(joined.withColumnRenamed("node", "id"), "id", "left").select(
