@@ -39,20 +39,31 @@ _U = np.uint64
 _COUNTS = np.array([c for c, _ in SELECTORS], np.int64)
 _BITS = np.array([b for _, b in SELECTORS], np.int64)
 _FULL = _U((1 << 60) - 1)
+#: The distinct widths: numbers below a limit need no more bits than its place among them says.
+_WIDTHS = sorted(set(_BITS.tolist()))
+_LIMITS = np.array([1 << bits for bits in _WIDTHS[:-1]] + [(1 << 60) - 1], _U)
+_SMALL = np.searchsorted(_LIMITS, np.arange(1 << 16, dtype=_U), "right").astype(np.uint8)
+_LEVEL = [_WIDTHS.index(bits) for bits in _BITS.tolist()]
 
 
 def _choices(values: np.ndarray) -> np.ndarray:
     """The selector to take at each place; 16 for an escape."""
     n = len(values)
+    if values.max() < len(_SMALL):
+        width = _SMALL[values.astype(np.int64)]
+    else:
+        width = np.searchsorted(_LIMITS, values, "right").astype(np.uint8)
     best = np.full(n, 15, np.int8)
-    best[values >= _FULL] = 16
-    if values.max() < 1 << 31:
-        values = values.astype(np.int32)
+    best[width > 14] = 16
+    held = np.cumsum(np.bincount(width, minlength=16))
     border = np.zeros(n, bool)
     border[BLOCK::BLOCK] = True
     for selector in range(14, -1, -1):
-        count, bits = SELECTORS[selector]
-        fits = values < values.dtype.type(min(1 << bits, np.iinfo(values.dtype).max))
+        count = SELECTORS[selector][0]
+        level = _LEVEL[selector]
+        if held[level] < count:
+            continue
+        fits = width <= level
         # Runs of numbers that fit, within a block: the word may start in any that has room.
         turn = np.flatnonzero((fits[1:] != fits[:-1]) | border[1:]) + 1
         starts, ends = np.append(0, turn), np.append(turn, n)

@@ -23,7 +23,9 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,8 +38,8 @@ from catalith.llm import simple8b
 
 #: A chunk is closed once it holds so many ids.
 CHUNK_IDS = 1 << 18
-#: Words, and stems of words, that a task remembers.
-MEMORY = 300_000
+#: Words that a task remembers.
+MEMORY = 600_000
 _ALNUM = frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
 _MARKS = bytes(b for b in range(33, 127) if b not in _ALNUM)
 
@@ -81,9 +83,9 @@ class Encoder:
         self.by_words = found == _BY_WORDS
         special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.odd = re.compile(b"|".join([b"\x00", *map(re.escape, special)])).search
+        self.firsts = list({b"\x00", *(s[:1] for s in special)})
         self.spelling = _printable_bytes()
         self.words: dict[bytes, bytes] = {}
-        self.stems: dict[bytes, bytes] = {}
         self.tails: dict[bytes, bytes] = {b"": b""}
 
     def ids(self, text: str) -> bytes:
@@ -93,40 +95,42 @@ class Encoder:
         """Ids of a word without marks at its end."""
         if stem.isalpha():  # a-z: one piece, spelled as it is
             tokens = self.model.tokenize(stem.decode())
-        else:
-            text = stem.decode()
-            # Letters below U+0250 have one lower case each; above, the library decides.
-            lower = text.lower() if max(text) < "\u0250" and "\u0130" not in text else text
-            if not (lower.isalpha() and lower == lower.lower() and max(lower) < "\u0250"):
-                return self.ids(text)
-            if not unicodedata.is_normalized("NFC", lower):
-                return self.ids(text)
-            spelled = lower.encode().decode("latin-1").translate(self.spelling)
+        elif max(stem) < 0xC8:
+            # Letters below U+0200 have one lower case each, but for U+0130.
+            text = stem.decode().lower()
+            if not text.isalpha() or b"\xc4\xb0" in stem or not unicodedata.is_normalized("NFC", text):
+                return self.ids(stem.decode())
+            spelled = text.encode().decode("latin-1").translate(self.spelling)
             tokens = self.model.tokenize(spelled)
-        return np.array([t.id for t in tokens], "<u4").tobytes()
+        else:
+            return self.ids(stem.decode())
+        found = array("I", [t.id for t in tokens])
+        if sys.byteorder == "big":
+            found.byteswap()
+        return found.tobytes()
 
     def _learn(self, word: bytes) -> bytes:
         """Ids of a word not remembered: those of the word without the marks at its end, and of these.
 
-        Marks after a letter or digit are a piece of their own, and ASCII letters are
-        lower-cased by the encoder, so both parts come from few different ones.
+        Marks after a letter or digit are a piece of their own, so both parts come from few
+        different ones.
         """
-        if self.odd(word):
-            return self.ids(word.decode())
+        for first in self.firsts:
+            if first in word and self.odd(word):
+                return self.ids(word.decode())
         stem = word.rstrip(_MARKS)
+        tail = b""
         if not stem:
-            stem, tail = word, b""
-        else:
+            stem = word
+        elif len(stem) < len(word):
             tail = word[len(stem) :]
-            if tail and stem[-1] >= 128 and not stem.decode()[-1].isalpha():
+            if stem[-1] >= 128 and not stem.decode()[-1].isalpha():
                 stem, tail = word, b""
-        if stem.isascii():
-            stem = stem.lower()
-        ids = self.stems.get(stem)
+        ids = self.words.get(stem) if stem is not word else None
         if ids is None:
             ids = self._piece(stem)
-            if len(self.stems) < MEMORY:
-                self.stems[stem] = ids
+            if len(self.words) < MEMORY:
+                self.words[stem] = ids
         if tail:
             marks = self.tails.get(tail)
             if marks is None:
@@ -134,8 +138,8 @@ class Encoder:
                 if len(self.tails) < 10_000:
                     self.tails[tail] = marks
             ids += marks
-        if len(self.words) < MEMORY:
-            self.words[word] = ids
+            if len(self.words) < MEMORY:
+                self.words[word] = ids
         return ids
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
@@ -145,11 +149,15 @@ class Encoder:
             if not self.by_words:
                 yield self.ids(text.decode()) + self.end
                 continue
-            words = text.split()
+            # ASCII letters count in lower case, unless a special token is spelled by them.
+            words = (text if self.odd(text) else text.lower()).split()
             parts = list(map(known, words))
-            if None in parts:
-                parts = [ids if ids is not None else learn(w) for ids, w in zip(parts, words)]
-            parts.append(self.end)
+            parts.append(None)
+            at = parts.index(None)
+            while at < len(words):
+                parts[at] = learn(words[at])
+                at = parts.index(None, at + 1)
+            parts[at] = self.end
             yield b"".join(parts)
 
 
