@@ -266,11 +266,11 @@ def find(
     made = {name.lower() for name in _MADE}
     names = [c for c in docs.columns if c.lower() not in made]
     given = docs.select(*(f"`{c}`" for c in names))
-    blocks = [
-        Windows(ids, texts, window, gram) for ids, texts in _blocks(items, item_id, item_text)
-    ] or [Windows([], [], window, gram)]
-    now = given
-    for number, windows in enumerate(blocks):
+    blocks = _blocks(items, item_id, item_text)
+    block_now, block_next = next(blocks, ([], [])), next(blocks, None)
+    now, number = given, 0
+    while block_now is not None:  # the driver holds a block and the next one
+        windows = Windows(*block_now, window, gram)
         if len(windows.shingles):
             block = spark.sparkContext.broadcast(windows)
             counted = given.select(f"`{text}`").mapInArrow(
@@ -283,12 +283,14 @@ def find(
         else:
             seen = np.zeros(0, np.int64)
         windows.choose(seen)
-        through = [c for c in names if keep_text or c != text or number < len(blocks) - 1]
+        through = [c for c in names if keep_text or c != text or block_next is not None]
         schema = T.StructType([given.schema[c] for c in through])
         schema = schema.add("n_words", "long").add("hits", T.DataType.fromDDL(_HITS))
         now = now.mapInArrow(
             _search(spark.sparkContext.broadcast(windows), text, through, number == 0), schema
         )
+        number += 1
+        block_now, block_next = block_next, next(blocks, None)
     places = F.array_sort(F.transform("hits", lambda h: F.struct(h["start"], h["end"])))
     zero = F.lit(0).cast("long")
     covered = F.aggregate(

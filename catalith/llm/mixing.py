@@ -12,8 +12,9 @@ the cells, the other fits the regression. The model is a table of fixed size.
 
 Fit: with tokens n, probabilities p and rates w, domain totals are ``sum(n w p)``. Each
 step is one pass that sums these totals and moves every rate by ``-p . G^-1 (totals -
-targets)``, cut at zero, where ``G = sum(n p p')``. That is projected gradient descent on the
-least squares of the gaps in the norm of ``G^-1``, for which the step length 1 always converges.
+targets)``, cut at zero, where ``G = sum(n p p')`` and a little on its diagonal. That is
+projected gradient descent on the least squares of the gaps in the norm of ``G^-1``, for
+which the step length 1 always converges.
 It starts at rate 1, so a document's rate departs from 1 only as far as its domains need.
 The driver holds a few numbers per domain, whatever the table.
 
@@ -42,6 +43,8 @@ CELLS = 1 << 14
 #: A cell counts if its rate in a domain differs from the others' by so many standard errors.
 LEAST_SHOWN = 3.5
 STEPS = 40
+#: Added to ``G``, relative to its diagonal: where domains cannot be told apart, rates stay near 1.
+RIDGE = 0.02
 CLOSE = 1e-6
 _MADE = ("n_tokens", "posterior", "rate", "copies")
 _HIDDEN = ("_mix_words", "_mix_cells", "_mix_shape")
@@ -185,10 +188,12 @@ def learn(
         gap = np.log((counts + 0.5) / (sizes + 1.0)) - np.log(
             (every - counts + 0.5) / (whole - sizes + 1.0)
         )
-        error = np.sqrt(1 / (counts + 0.5) + 1 / (every - counts + 0.5))
-        model = Classifier(domains, np.where(np.abs(gap) > LEAST_SHOWN * error, gap, 0.0))
+        share = (every + 0.5) / (whole + 1.0)
+        error = np.sqrt(share * (1 - share) * (1 / (sizes + 1.0) + 1 / (whole - sizes + 1.0)))
+        apart = np.abs((counts + 0.5) / (sizes + 1.0) - (every - counts + 0.5) / (whole - sizes + 1.0))
+        model = Classifier(domains, np.where(apart > LEAST_SHOWN * error, gap, 0.0))
         seen = model.inputs(rows.where(~first)).select("_mix_domain", "_mix_x").collect()
-        x = np.array([r["_mix_x"] for r in seen], float).reshape(len(seen), -1)
+        x = np.array([r["_mix_x"] for r in seen], float).reshape(len(seen), len(model.slope))
         model.fit(x, np.array([place[r["_mix_domain"]] for r in seen], int))
     return model
 
@@ -212,7 +217,8 @@ def fit_rates(
     share = np.array(targets, float) / sum(targets)
     lead = int(share.argmax())
     goal = share * (budget if budget is not None else headroom * has[lead] / share[lead])
-    solve = np.linalg.pinv(gram, rcond=1e-9)
+    damped = gram + RIDGE * np.diag(np.diag(gram)) + 1e-9 * np.eye(k)
+    solve = np.linalg.inv(damped)
     now = members.withColumn("rate", F.lit(1.0))
     rate, reached = F.col("rate"), has
     for step in range(1, STEPS + 1):

@@ -41,6 +41,8 @@ class Kind:
     #: Words (a pattern, any case) that raise the score by 0.3.
     context: str
     base: bool = True
+    #: No such character may stand right before or after a match.
+    apart: str = ""
 
 
 _LOCAL = "[A-Za-z0-9._%+-]"
@@ -77,19 +79,21 @@ KINDS = (
     ),
     Kind(
         "iban",
-        r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+        r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?",
         "",
         0.7,
         "iban|account|bank|konto|compte|cuenta",
         base=False,
+        apart="[A-Za-z0-9]",
     ),
     Kind(
         "ssn",
-        r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+        r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
         "-",
         0.4,
         "ssn|social security|tax id",
         base=False,
+        apart="[0-9-]",
     ),
 )
 
@@ -148,6 +152,11 @@ def _findings(kind: Kind, order: int) -> Column:
     pieces, matches, offsets = (F.col(f"_pii_{part}{order}") for part in "pmo")
 
     def build(pair: Column, offset: Column) -> Column:
+        # At the start of a text nothing stands before; else, an empty piece means the last match.
+        open_before = F.when(pair["piece"] == "", offset == 0).otherwise(
+            ~F.right(pair["piece"], F.lit(1)).rlike(kind.apart)
+        )
+        alone = open_before & ~F.left(pair["after"], F.lit(1)).rlike(kind.apart)
         start = offset + F.char_length(pair["piece"])
         before = F.lower(F.right(pair["piece"], F.lit(CONTEXT)))
         score = F.lit(kind.score) + F.when(before.rlike(kind.context), 0.3).otherwise(0.0)
@@ -158,15 +167,24 @@ def _findings(kind: Kind, order: int) -> Column:
             F.lit(kind.name).alias("kind"),
             pair["found"].alias("found"),
             F.round(score, 2).alias("score"),
+            (alone if kind.apart else F.lit(True)).alias("alone"),
         )
 
+    around = F.zip_with(
+        pieces,
+        F.slice(pieces, F.lit(2), F.size(matches)),
+        lambda p, a: F.struct(p.alias("piece"), a.alias("after")),
+    )
     pairs = F.zip_with(
-        pieces, matches, lambda p, m: F.struct(p.alias("piece"), m.alias("found"))
+        around,
+        matches,
+        lambda p, m: F.struct(p["piece"].alias("piece"), p["after"].alias("after"), m.alias("found")),
     )
     made = F.zip_with(F.slice(pairs, F.lit(1), F.size(matches)), offsets, build)
     passes = F.filter(
         made,
-        lambda x: _confirmed(kind.name, x["found"])
+        lambda x: x["alone"]
+        & _confirmed(kind.name, x["found"])
         & (F.lit(kind.base) | (x["score"] >= LEAST_SCORE)),
     )
     return F.when(F.size(matches) > 0, passes).otherwise(F.filter(made, lambda x: F.lit(False)))
