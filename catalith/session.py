@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,9 +63,40 @@ def scratch_root(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+_SCOPES: list["Scope"] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{scratch_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path below the shared folder, or below the open scope's."""
+    root = _SCOPES[-1].path if _SCOPES else scratch_root(spark)
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+class Scope:
+    """While it is open, all scratch tables go to its folder, which is removed at its end."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark = spark
+        self.path = scratch_path(spark, name)
+        self._outside = f"{self.path}-kept"
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """Write a result beside the folder, so that it outlasts the scope."""
+        path = f"{self._outside}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession, name: str) -> Iterator[Scope]:
+    """Give back what a job puts down on its way; ``keep`` what it returns."""
+    scope = Scope(spark, name)
+    _SCOPES.append(scope)
+    try:
+        yield scope
+    finally:
+        _SCOPES.remove(scope)
+        delete_path(spark, scope.path)
 
 
 def settle(df: DataFrame, name: str = "settled") -> DataFrame:
