@@ -17,9 +17,10 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from catalith.operators import clean, features, impute, nearest, search, titles, traffic  # noqa: E402
 from catalith.operators.embed import embed_documents, spread  # noqa: E402
-from catalith.session import build_session, scratch_path, settle  # noqa: E402
+from catalith.session import build_session, settle  # noqa: E402
 from checks import queries as registered  # noqa: E402
 from checks.items import items  # noqa: E402
+from checks.model import hashing_model  # noqa: E402
 
 RUNS = 3
 
@@ -46,8 +47,7 @@ def main() -> None:
     vectors = settle(spark.read.parquet(f"{sf}/embeddings.parquet"), "vectors")
     named = vectors.withColumnRenamed("vec_id", "id")
     source = search.vector_of(named, 7)
-    index = scratch_path(spark, "index")
-    nearest.write_vector_index(named, index)
+    stored = settle(named, "stored")
     hundred = registered._batch_requests(spark, sf).orderBy("query_id").limit(100)
     hundred = settle(hundred, "queries")
     asked = spark.read.parquet(f"{sf}/part.parquet").selectExpr(
@@ -64,15 +64,17 @@ def main() -> None:
         "hybrid_search": lambda: search.hybrid_search(corpus, source, registered._FILTERS),
         "similar_items": lambda: search.similar_items(corpus, registered._bolt(corpus)),
         "hybrid_search_batch_100": lambda: search.search_many(corpus, hundred),
-        "knn_all_10": lambda: nearest.all_neighbours(named, 10),
-        "knn_index_10": lambda: nearest.search_vector_index(spark, index, source, 10),
+        "knn_all_10": lambda: nearest.similar_many(stored, stored, 10),
+        "knn_index_10": lambda: nearest.nearest_rows(stored, source, 10),
         "title_lookup": lambda: titles.title_lookup(corpus, "Hott Gear"),
         "title_match_batch": lambda: titles.title_match(corpus, asked),
         "clean": lambda: clean.clean(raw),
         "impute": lambda: impute.impute(cleaned),
         "clean_impute_augment": pipeline,
         "cleaning_report": lambda: clean.cleaning_report(raw, kept=kept),
-        "embed_documents": lambda: embed_documents(spread(documents), text="text", dim=64),
+        "embed_documents": lambda: embed_documents(
+            spread(documents), text="text", factory=hashing_model(64), dim=64
+        ),
         "upsert_items": lambda: registered.upsert_items(spark, sf),
         "nl_search": lambda: registered.nl_search(spark, sf),
         "dedup_documents": lambda: registered.dedup_documents(spark, sf),

@@ -65,20 +65,32 @@ RATING_ALIASES = {
 # Fixed value: newest genuine release year; a later one was encoded +100.
 LAST_GENUINE_YEAR = 2011
 
-# Date layouts tried in this order. The first is the layout of the raw table;
-# the others are the explicit list that stands in for open-ended inference.
+# Date layouts tried in this order. The first is the layout of the raw table; the others
+# stand in for open-ended inference. Cleaning takes another list as a parameter.
 DATE_LAYOUTS = (
     "MMM d yyyy",
     "yyyy-MM-dd",
     "yyyy/MM/dd",
+    "yyyyMMdd",
     "M/d/yyyy",
+    "M-d-yyyy",
+    "M/d/yy",
     "MMMM d yyyy",
     "MMM d, yyyy",
     "MMMM d, yyyy",
+    "MMM-d-yyyy",
     "d MMM yyyy",
     "d MMMM yyyy",
+    "d-MMM-yyyy",
+    "d.M.yyyy",
+    "MMMM yyyy",
+    "MMM yyyy",
+    "yyyy-MM",
+    "yyyy",
+    "yyyy-MM-dd HH:mm",
     "yyyy-MM-dd HH:mm:ss",
     "yyyy-MM-dd'T'HH:mm:ss",
+    "yyyy-MM-dd'T'HH:mm:ssXXX",
 )
 
 # Inclusive bounds, None where a side is open.

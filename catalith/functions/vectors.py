@@ -6,21 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def dot(left: Column, right: Column) -> Column:
-    products = F.zip_with(left, right, lambda x, y: x.cast("double") * y.cast("double"))
-    return F.aggregate(products, F.lit(0.0), lambda total, x: total + x)
-
-
-def norm(vector: Column) -> Column:
-    squares = lambda total, x: total + x.cast("double") * x.cast("double")
-    return F.sqrt(F.aggregate(vector, F.lit(0.0), squares))
-
-
-def cosine_similarity(left: Column, right: Column) -> Column:
-    """1 - cosine distance; NULL when a vector has no direction."""
-    return F.try_divide(dot(left, right), norm(left) * norm(right))
-
-
 def parse_vector(text: Column, dim: int) -> Column:
     """A float array from ``"[a,b,...]"``; any other length fails the job."""
     body = F.regexp_replace(F.trim(text), r"\A\[|\]\z", "")

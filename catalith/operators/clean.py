@@ -6,6 +6,8 @@ as a filled cell there.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -79,18 +81,24 @@ def _strings_counters(df: DataFrame, prefix: str) -> list:
     return counters
 
 
-def _with_parsed_date(df: DataFrame) -> DataFrame:
+def _with_parsed_date(
+    df: DataFrame, layouts: Sequence[str] = fixed.DATE_LAYOUTS
+) -> DataFrame:
     """``_raw``, the collapsed date text, and ``_date``, what it says."""
     raw = tx.collapse_spaces(F.col("release_date").cast("string"))
-    return df.withColumn("_raw", raw).withColumn("_date", vl.parse_date(F.col("_raw")))
+    return df.withColumn("_raw", raw).withColumn("_date", vl.parse_date(F.col("_raw"), layouts))
 
 
-def parse_release_dates(df: DataFrame, last_year: int = fixed.LAST_GENUINE_YEAR) -> DataFrame:
+def parse_release_dates(
+    df: DataFrame,
+    last_year: int = fixed.LAST_GENUINE_YEAR,
+    layouts: Sequence[str] = fixed.DATE_LAYOUTS,
+) -> DataFrame:
     """``release_date`` as a date with its century put right, and ``release_year``."""
     if "release_date" not in df.columns:
         return df
     return (
-        _with_parsed_date(df)
+        _with_parsed_date(df, layouts)
         .withColumn("release_date", vl.undo_century(F.col("_date"), last_year))
         .withColumn("release_year", F.year("release_date"))
         .drop("_raw", "_date")
@@ -99,8 +107,10 @@ def parse_release_dates(df: DataFrame, last_year: int = fixed.LAST_GENUINE_YEAR)
 
 def _dates_counters(last_year: int) -> list:
     raw, date = F.col("_raw"), F.col("_date")
+    first = vl.parse_date(raw, fixed.DATE_LAYOUTS[:1])
     return [
         ("dates_parsed", "", count_where(date.isNotNull()), None),
+        ("dates_by_fallback", "", count_where(date.isNotNull() & first.isNull()), None),
         ("dates_unparseable", "", count_where((raw != "") & date.isNull()), None),
         ("dates_century_corrected", "", count_where(F.year(date) > last_year), None),
     ]

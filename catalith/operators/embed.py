@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,52 +23,19 @@ Model = Callable[[list[str]], Sequence[Sequence[float]]]
 ModelFactory = Callable[[], Model]
 
 
-class HashingModel:
-    """Deterministic stand-in for a served model: signed counts of hashed words.
-
-    Components are whole numbers, so products of two vectors are exact.
-    """
-
-    def __init__(self, dim: int) -> None:
-        self.dim = dim
-        self._known: dict[str, int] = {}
-
-    def _slot(self, word: str) -> int:
-        """Twice the place of a word, plus one where it counts positively."""
-        slot = self._known.get(word)
-        if slot is None:
-            digest = hashlib.md5(word.encode()).hexdigest()
-            slot = 2 * (int(digest[:8], 16) % self.dim) + int(digest[8:10], 16) % 2
-            if len(self._known) < 1_000_000:
-                self._known[word] = slot
-        return slot
-
-    def __call__(self, texts: list[str]) -> list[list[float]]:
-        vectors = []
-        for text in texts:
-            slots = np.fromiter(map(self._slot, text.split()), dtype=np.int64)
-            counts = np.bincount(slots, minlength=2 * self.dim)
-            vectors.append((counts[1::2] - counts[0::2]).astype(float).tolist())
-        return vectors
-
-
-def hashing_model(dim: int) -> ModelFactory:
-    return lambda: HashingModel(dim)
-
-
-def embed_batches(model: Model, texts: list[str], dim: int, batch: int) -> list[list[float]]:
-    """One vector per text, ``batch`` texts per call; a wrong answer raises."""
-    vectors: list[list[float]] = []
+def embed_batches(model: Model, texts: list[str], dim: int, batch: int) -> np.ndarray:
+    """A row per text, ``batch`` texts per call; a wrong answer raises."""
+    parts = []
     for start in range(0, len(texts), max(1, batch)):
         asked = texts[start : start + max(1, batch)]
-        answer = [list(map(float, vector)) for vector in model(asked)]
+        answer = model(asked)
         if len(answer) != len(asked):
-            raise ValueError(f"got {len(answer)} vectors for {len(asked)} inputs")
-        for vector in answer:
-            if len(vector) != dim:
-                raise ValueError(f"embedding length {len(vector)} is not {dim}")
-        vectors.extend(answer)
-    return vectors
+            raise ValueError(f"{len(asked)} texts came back as {len(answer)} vectors")
+        for length in {len(vector) for vector in answer}:
+            if length != dim:
+                raise ValueError(f"a vector has {length} numbers, not {dim}")
+        parts.append(np.asarray(answer, dtype=np.float32))
+    return np.concatenate(parts) if parts else np.zeros((0, dim), np.float32)
 
 
 def embedding_of(
@@ -82,18 +49,19 @@ def embedding_of(
     A wrong answer fails the task, and Spark's task retry is the retry.
     """
 
-    @F.pandas_udf(T.ArrayType(T.FloatType(), containsNull=False))
-    def run(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(T.ArrayType(T.FloatType(), containsNull=False))
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = None
-        for texts in series:
-            given = texts.notna()
-            found = pd.Series([None] * len(texts), index=texts.index, dtype=object)
-            asked = texts[given].tolist()
+        for texts in parts:
+            asked = texts.drop_null().to_pylist()
+            found = np.zeros((0, dim), np.float32)
             if asked:
                 model = model or factory()
-                answers = embed_batches(model, asked, dim, batch)
-                found[given] = pd.Series(answers, index=texts.index[given], dtype=object)
-            yield found
+                found = embed_batches(model, asked, dim, batch)
+            given = pc.is_valid(texts).to_numpy(zero_copy_only=False)
+            ends = np.concatenate([[0], np.cumsum(given)]) * dim
+            offsets = pa.array(ends, pa.int32(), mask=np.append(~given, False))
+            yield pa.ListArray.from_arrays(offsets, pa.array(found.ravel(), pa.float32()))
 
     return run(text)
 
@@ -114,14 +82,14 @@ def embed_documents(
     df: DataFrame,
     text: str = "augmented_text",
     out: str = "embedding",
-    factory: ModelFactory | None = None,
+    *,
+    factory: ModelFactory,
     dim: int = fixed.EMBEDDING_DIM,
     batch: int = fixed.EMBEDDING_BATCH,
     prefix: str = fixed.DOCUMENT_PREFIX,
 ) -> DataFrame:
     """Adds the vector of a text column, prefixed for documents."""
-    model = factory or hashing_model(dim)
-    return df.withColumn(out, embedding_of(with_prefix(F.col(text), prefix), model, dim, batch))
+    return df.withColumn(out, embedding_of(with_prefix(F.col(text), prefix), factory, dim, batch))
 
 
 def embed_queries(df: DataFrame, text: str = "query", **options) -> DataFrame:

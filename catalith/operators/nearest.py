@@ -1,40 +1,35 @@
-"""Nearest neighbours by cosine similarity, exact, for whole tables.
-
-Vectors are grouped in cells around pivots taken from the data. By the triangle
-inequality a cell can be skipped for a query when even its closest possible
-member is farther than ``k`` neighbours already known. What remains is scored in
-blocks of bounded size, and only the best ``k`` of a block leave the task.
-(Cells and bounds follow Lu et al., "Efficient Processing of k Nearest Neighbor
-Joins using MapReduce", VLDB 2012.)
+"""Nearest rows by cosine similarity, exact, for tables of queries and of rows.
+
+Queries are stored once, in blocks of bounded size that group equal filters. Rows stay
+where they lie: a task streams its rows past a block, scores only those that pass a
+query's filters, and sends on its best ``k`` per query. No vector of the corpus is
+shuffled. The best of all tasks are found in two steps.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable, Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from catalith import fixed
-from catalith.functions.vectors import norm
 from catalith.session import settle
 
-BLOCK_ROWS = 2048
-MOST_PIVOTS = 1024
+#: Queries that go to the tasks at once.
+QUERY_BLOCK = 4096
+#: Parts in which a query's finds are ranked before all of them are.
+PARTS = 16
 # Scores below every cosine: a row without a direction ranks last, one that a
 # filter excludes does not rank.
 _NO_DIRECTION = -2.0
 _EXCLUDED = -np.inf
 _SCORE_DIGITS = 12
 _SLICE_CELLS = 1 << 22
-# Slack for rounding in distance bounds.
-_SLACK = 1e-6
 
 Match = tuple[np.ndarray, np.ndarray, np.ndarray]
 
@@ -52,11 +47,6 @@ def vectors_of(table: pa.Table, column: str = "embedding") -> np.ndarray:
     return matrix_of(table.column(column).combine_chunks())
 
 
-def unit_rows(vectors: np.ndarray) -> np.ndarray:
-    lengths = np.linalg.norm(vectors, axis=1, keepdims=True)
-    return np.divide(vectors, lengths, out=np.zeros_like(vectors), where=lengths > 0)
-
-
 def _norms(vectors: np.ndarray) -> np.ndarray:
     return np.sqrt((vectors * vectors).sum(axis=1))
 
@@ -155,294 +145,157 @@ def match_schema(queries: DataFrame, rows: DataFrame) -> T.StructType:
     )
 
 
-def _score_blocks(
-    queries: DataFrame,
-    rows: DataFrame,
-    keys: Sequence[str],
-    k: int,
-    mask: Callable[[pa.Table, pa.Table], np.ndarray] | None = None,
-) -> DataFrame:
-    """Best ``k`` rows per query within every block that both sides share."""
-
-    schema = match_schema(queries, rows)
-
-    def score(asked: pa.Table, block: pa.Table) -> pa.Table:
-        if not asked.num_rows or not block.num_rows:
-            return match_table(
-                (np.array([], dtype=np.int64), np.array([]), np.array([])),
-                asked.column("query_id").combine_chunks(),
-                block.schema.field("id").type,
-            )
-        allowed = mask(asked, block) if mask else None
-        best = best_matches(vectors_of(asked), block.column("id"), vectors_of(block), k, allowed)
-        return match_table(
-            best, asked.column("query_id").combine_chunks(), block.schema.field("id").type
-        )
-
-    return queries.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInArrow(score, schema)
-
-
-def _block_of(ident: str, seed: int, blocks: Column | int) -> Column:
-    """Which of ``blocks`` equal parts a row belongs to."""
-    count = blocks if isinstance(blocks, Column) else F.lit(blocks)
-    return F.pmod(F.xxhash64(F.col(ident), F.lit(seed)), count.cast("bigint")).cast("int")
-
-
-def _every_block(blocks: Column | int) -> Column:
-    count = blocks if isinstance(blocks, Column) else F.lit(blocks)
-    return F.explode(F.sequence(F.lit(0), count.cast("int") - 1))
-
-
-def rank_in_blocks(
-    queries: DataFrame,
-    rows: DataFrame,
-    k: int,
-    mask: Callable[[pa.Table, pa.Table], np.ndarray] | None = None,
-    block_rows: int = BLOCK_ROWS,
-) -> DataFrame:
-    """Score two tables of any size in a grid of blocks of bounded size."""
-    chunks = max(1, math.ceil(queries.count() / block_rows))
-    blocks = max(1, math.ceil(rows.count() / block_rows))
-    left = queries.withColumn("_chunk", _block_of("query_id", 1, chunks)).withColumn(
-        "_block", _every_block(blocks)
-    )
-    right = rows.withColumn("_block", _block_of("id", 2, blocks)).withColumn(
-        "_chunk", _every_block(chunks)
-    )
-    return _score_blocks(left, right, ["_block", "_chunk"], k, mask)
-
-
-class Cells:
-    """Pivots and, per cell, how far its members reach from its pivot."""
-
-    def __init__(self, pivots: np.ndarray, radii: np.ndarray | None = None) -> None:
-        self.pivots = unit_rows(pivots)
-        self.radii = radii
-
-    def distances(self, vectors: np.ndarray) -> np.ndarray:
-        """Chord length between directions, a metric that orders like the cosine."""
-        return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (unit_rows(vectors) @ self.pivots.T)))
-
-    def reachable(self, vectors: np.ndarray, similarity: np.ndarray) -> np.ndarray:
-        """Query by cell: can the cell hold a row at least this similar?"""
-        known = similarity > _NO_DIRECTION
-        reach = np.where(known, np.sqrt(np.maximum(0.0, 2.0 - 2.0 * similarity)), np.inf)
-        return self.distances(vectors) - self.radii[None, :] <= reach[:, None] + _SLACK
-
-
-def pick_pivots(vectors: DataFrame, total: int) -> np.ndarray:
-    """A bounded number of vectors, chosen by hash and thus repeatable."""
-    wanted = min(MOST_PIVOTS, max(1, round(math.sqrt(total) / 2)))
-    chosen = vectors.orderBy(F.xxhash64("embedding"), "id").limit(wanted).select("embedding")
-    return vectors_of(chosen.toArrow())
-
-
-def with_cells(df: DataFrame, cells: Cells) -> DataFrame:
-    """Adds ``_cell``, the nearest pivot, and ``_distance`` to it."""
-
-    @F.pandas_udf("cell int, distance double")
-    def place(vectors: pd.Series) -> pd.DataFrame:
-        distances = cells.distances(np.stack(vectors.to_numpy()).astype(np.float64))
-        nearest = distances.argmin(axis=1)
-        return pd.DataFrame(
-            {"cell": nearest.astype(np.int32), "distance": distances[range(len(nearest)), nearest]}
-        )
-
-    return df.withColumn("_place", place("embedding")).select(
-        *df.columns,
-        F.col("_place.cell").alias("_cell"),
-        F.col("_place.distance").alias("_distance"),
-    )
-
+#: Columns of a query that a row must equal, and the row's column.
+EQUAL = {"genre_filter": "major_genre", "decade": "decade", "mpaa_rating": "mpaa_rating"}
+_FLOOR = ("min_imdb_rating", "imdb_rating")
+
+
+class _Group:
+    """Queries of a block with the same equality filters."""
+
+    def __init__(self, places: np.ndarray, wanted: dict[str, object]) -> None:
+        self.places, self.wanted = places, wanted
+
+    def rows(self, codes: dict[str, tuple[np.ndarray, dict]], size: int) -> np.ndarray:
+        """Rows of a batch that pass the filters."""
+        keep = np.ones(size, bool)
+        for column, value in self.wanted.items():
+            have, known = codes[column]
+            keep &= have == known.get(value, -2)
+        return np.flatnonzero(keep)
+
+
+def _groups(asked: pa.Table) -> list[_Group]:
+    names = [n for n in EQUAL if n in asked.column_names]
+    if not names:
+        return [_Group(np.arange(asked.num_rows), {})]
+    found: dict[tuple, list[int]] = {}
+    for place, values in enumerate(zip(*(asked.column(n).to_pylist() for n in names))):
+        found.setdefault(values, []).append(place)
+    return [
+        _Group(np.array(places), {EQUAL[n]: v for n, v in zip(names, values) if v is not None})
+        for values, places in found.items()
+    ]
+
+
+def _score(block, k: int):
+    """Best ``k`` rows of a task per query of the block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked: pa.Table = block.value
+        vectors = vectors_of(asked)
+        groups = _groups(asked)
+        wanted, has = _FLOOR
+        floors = None
+        if wanted in asked.column_names:
+            floors = np.array([np.nan if v is None else v for v in asked.column(wanted).to_pylist()])
+        best: Match | None = None
+        id_type = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            id_type = batch.schema.field("id").type
+            codes = {}
+            for column in {c for g in groups for c in g.wanted}:
+                coded = pc.dictionary_encode(batch.column(column))
+                known = {v: i for i, v in enumerate(coded.dictionary.to_pylist())}
+                codes[column] = (coded.indices.fill_null(-1).to_numpy(zero_copy_only=False), known)
+            ratings = None
+            if floors is not None and not np.isnan(floors).all():
+                given = batch.column(has).cast(pa.float64())
+                ratings = given.to_numpy(zero_copy_only=False)
+            rows = matrix_of(batch.column("embedding"))
+            hits = [] if best is None else [best]
+            for group in groups:
+                at = group.rows(codes, batch.num_rows)
+                if not len(at):
+                    continue
+                allowed = None
+                if ratings is not None:
+                    floor = floors[group.places]
+                    allowed = np.isnan(floor)[:, None] | (ratings[at][None, :] >= floor[:, None])
+                ids = pa.chunked_array([batch.column("id").take(pa.array(at))])
+                place, found, scores = best_matches(vectors[group.places], ids, rows[at], k, allowed)
+                hits.append((group.places[place], found, scores))
+            if hits:
+                joined = tuple(np.concatenate(part) for part in zip(*hits))
+                best = _best_per_query(*joined, k)
+        if best is not None:
+            yield from match_table(best, asked.column("query_id").combine_chunks(), id_type).to_batches()
 
-def _by_cell(values: Sequence[int]) -> Column:
-    """The value for the row's cell, out of a list as long as the pivots."""
-    return F.element_at(F.lit([int(v) for v in values]), F.col("_cell") + 1)
+    return run
 
 
-def all_neighbours(corpus: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """``id, rank, neighbour_id, similarity``: the ``k`` nearest of every vector.
+def rank_many(queries: DataFrame, rows: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
+    """``query_id, rank, id, similarity`` of the best ``k`` rows of every query.
 
-    Equal vectors are looked up once. No more than ``k + 1`` of them, those with
-    the smallest ids, can be among the nearest of anything, so the others are
-    not scored; they get the list of their group. Vectors without a direction
-    take no part.
+    ``queries`` has ``query_id``, ``embedding`` and any of the filters; ``rows`` has ``id``,
+    ``embedding`` and the columns these compare with. Both should be stored.
     """
-    most = k + 1
-    vectors = corpus.where(F.col("embedding").isNotNull() & (norm(F.col("embedding")) > 0)).select(
-        "id", "embedding"
-    )
-    # The digest spares sorts and joins most comparisons of whole vectors.
-    vectors = vectors.withColumn("_digest", F.xxhash64("embedding"))
-    copies = Window.partitionBy("_digest", "embedding").orderBy("id")
-    leaders = settle(
-        vectors.withColumn("_copy", F.row_number().over(copies))
-        .where(F.col("_copy") <= most)
-        .drop("_digest"),
-        "leaders",
-    )
-    firsts = leaders.where(F.col("_copy") == 1)
-    pivots = pick_pivots(firsts, firsts.count())
-    placed = settle(with_cells(leaders, Cells(pivots)), "placed")
-
-    count = len(pivots)
-    sizes, radii = np.zeros(count, dtype=np.int64), np.zeros(count)
-    members = placed.groupBy("_cell").agg(
-        F.count(F.lit(1)).alias("n"), F.max("_distance").alias("r")
-    )
-    for row in members.collect():  # one row per pivot
-        sizes[row["_cell"]], radii[row["_cell"]] = row["n"], row["r"]
-    blocks = np.maximum(1, np.ceil(sizes / block_rows)).astype(int)
-    cells = Cells(pivots, radii)
-    blocked = placed.withColumn("_block", _block_of("id", 3, _by_cell(blocks)))
-
-    def own_block(table: pa.Table) -> pa.Table:
-        """Bound each first copy by its own block, and list the cells it must visit."""
-        asked = table.filter(pc.equal(table.column("_copy"), 1))
-        if not asked.num_rows:
-            empty = pa.array([], pa.list_(pa.int32()))
-            return pa.table(
-                {"query_id": asked["id"], "embedding": asked["embedding"], "cells": empty}
-            )
-        matrix = vectors_of(asked)
-        at, _, scores = best_matches(matrix, table.column("id"), vectors_of(table), most)
-        bound = np.full(asked.num_rows, _NO_DIRECTION)
-        full = np.bincount(at, minlength=asked.num_rows) >= most
-        least = np.full(asked.num_rows, np.inf)
-        np.minimum.at(least, at, scores)
-        bound[full] = least[full]
-        visits = [np.nonzero(row)[0].astype(np.int32) for row in cells.reachable(matrix, bound)]
-        return pa.table(
-            {
-                "query_id": asked["id"],
-                "embedding": asked["embedding"],
-                "cells": pa.array(visits, pa.list_(pa.int32())),
-            }
-        )
-
-    id_type = corpus.schema["id"].dataType
-    vector_type = corpus.schema["embedding"].dataType
-    planned = settle(
-        blocked.select("_cell", "_block", "id", "embedding", "_copy")
-        .groupBy("_cell", "_block")
-        .applyInArrow(
-            own_block,
-            T.StructType(
-                [
-                    T.StructField("query_id", id_type),
-                    T.StructField("embedding", vector_type),
-                    T.StructField("cells", T.ArrayType(T.IntegerType())),
-                ]
-            ),
+    spark = rows.sparkSession
+    count = queries.count()
+    if queries.select("query_id").distinct().count() != count:
+        raise ValueError("query ids are repeated")
+    filters = [n for n in EQUAL if n in queries.columns]
+    blocks = -(-count // block) or 1
+    stored = settle(
+        queries.repartitionByRange(blocks, *filters, "query_id").withColumn(
+            "_block", F.spark_partition_id()
         ),
-        "planned",
+        "queries",
     )
-    visits = planned.select("query_id", "embedding", F.explode("cells").alias("_cell"))
-    asked_of = np.zeros(count, dtype=np.int64)
-    for row in visits.groupBy("_cell").count().collect():  # one row per pivot
-        asked_of[row["_cell"]] = row["count"]
-    chunks = np.ceil(asked_of / block_rows).astype(int)
-    left = visits.withColumn("_chunk", _block_of("query_id", 4, _by_cell(chunks))).withColumn(
-        "_block", _every_block(_by_cell(blocks))
-    )
-    right = (
-        blocked.select("id", "embedding", "_cell", "_block")
-        .where(_by_cell(chunks) > 0)
-        .withColumn("_chunk", _every_block(_by_cell(chunks)))
-    )
-    scored = _score_blocks(left, right, ["_cell", "_block", "_chunk"], most)
-    order = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "id")
-    lists = (
-        scored.withColumn("_rank", F.row_number().over(order))
-        .where(F.col("_rank") <= most)
-        .groupBy("query_id")
-        .agg(F.sort_array(F.collect_list(F.struct("_rank", "id", "similarity"))).alias("_list"))
-        .join(planned.select("query_id", "embedding"), "query_id")
-        .select(F.xxhash64("embedding").alias("_digest"), "embedding", "_list")
-    )
-    own = vectors.join(lists, ["_digest", "embedding"]).select(
-        "id",
-        F.posexplode(
-            F.slice(F.filter("_list", lambda near: near["id"] != F.col("id")), 1, k)
-        ).alias("_at", "_near"),
-    )
-    return own.select(
-        "id",
-        (F.col("_at") + 1).alias("rank"),
-        F.col("_near.id").alias("neighbour_id"),
-        F.col("_near.similarity").alias("similarity"),
-    )
-
-
-def write_vector_index(corpus: DataFrame, path: str, block_rows: int = 1_000_000) -> None:
-    """Store embedded rows by cell, so that a search reads only the cells it needs.
-
-    A cell is written in parts of about ``block_rows`` rows, each by its own task.
+    scored = spark.createDataFrame([], match_schema(queries, rows))
+    for number in range(blocks):
+        part = stored.where(F.col("_block") == number).drop("_block").toArrow()
+        for start in range(0, part.num_rows, block):
+            asked = part.slice(start, block).combine_chunks()
+            fit = rows
+            for name in filters:  # a filter all queries of the block have reaches the scan
+                values = set(asked.column(name).to_pylist())
+                if None not in values:
+                    fit = fit.where(F.col(EQUAL[name]).isin(*values))
+            found = fit.mapInArrow(
+                _score(spark.sparkContext.broadcast(asked), k), match_schema(queries, rows)
+            )
+            scored = scored.unionByName(found)
+    order = [F.col("similarity").desc_nulls_last(), F.col("id")]
+    salted = scored.withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(PARTS)))
+    first = Window.partitionBy("query_id", "_part").orderBy(*order)
+    kept = salted.withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= k)
+    last = Window.partitionBy("query_id").orderBy(*order)
+    ranked = kept.drop("_part", "_rank").withColumn("rank", F.row_number().over(last))
+    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "id", "similarity")
+
+
+def similar_many(corpus: DataFrame, wanted: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
+    """``id, rank, neighbour_id, similarity``: the ``k`` nearest rows of every wanted ``id``.
+
+    An item is not its own neighbour. An id that is unknown or has no vector has no
+    neighbours. Rows without a direction rank last, without a similarity; an item
+    without one has all its neighbours so. ``corpus`` should be stored.
     """
-    spark = corpus.sparkSession
-    rows = corpus.where(F.col("embedding").isNotNull())
-    directed = rows.where(norm(F.col("embedding")) > 0).select("id", "embedding")
-    pivots = pick_pivots(directed, directed.count())
-    placed = settle(with_cells(rows, Cells(pivots)), "placed")
-    members = (
-        placed.groupBy("_cell")
-        .agg(F.count(F.lit(1)).alias("n"), F.max("_distance").alias("radius"))
-        .collect()  # one row per pivot
-    )
-    parts = [1] * len(pivots)
-    for row in members:
-        parts[row["_cell"]] = math.ceil(row["n"] / block_rows)
-    spark.createDataFrame(
-        [(r["_cell"], r["n"], r["radius"], pivots[r["_cell"]].tolist()) for r in members],
-        "_cell int, n bigint, radius double, pivot array<double>",
-    ).write.parquet(f"{path}/cells")
-    (
-        placed.drop("_distance")
-        .withColumn("_part", _block_of("id", 5, _by_cell(parts)))
-        .repartition(sum(parts), "_cell", "_part")
-        .drop("_part")
-        .write.partitionBy("_cell")
-        .parquet(f"{path}/rows")
+    rows = corpus.where(F.col("embedding").isNotNull()).select("id", "embedding")
+    asked = rows.join(wanted.select("id").distinct(), "id", "left_semi")
+    asked = settle(asked.withColumnRenamed("id", "query_id"), "asked")
+    found = rank_many(asked, rows, k + 1, block).where(F.col("id") != F.col("query_id"))
+    order = Window.partitionBy("query_id").orderBy("rank")
+    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.select(
+        F.col("query_id").alias("id"), "rank", F.col("id").alias("neighbour_id"), "similarity"
     )
 
 
-def search_vector_index(
-    spark: SparkSession,
-    path: str,
+def nearest_rows(
+    rows: DataFrame,
     vector: Sequence[float],
     k: int = fixed.TOP_K_DEFAULT,
     condition: Column | None = None,
 ) -> DataFrame:
-    """The exact ``k`` nearest rows with ``similarity``, reading few cells.
-
-    The nearest cells that hold ``k`` rows give a bound; cells that cannot beat
-    it are pruned as partitions.
-    """
-    stored = spark.read.parquet(f"{path}/cells").orderBy("_cell").collect()  # one row per pivot
-    names = [row["_cell"] for row in stored]
-    cells = Cells(
-        np.array([row["pivot"] for row in stored]), np.array([row["radius"] for row in stored])
+    """The ``k`` rows nearest to one vector, with ``similarity``: a scan and a bounded sort."""
+    rows = rows.where(F.col("embedding").isNotNull())
+    rows = rows if condition is None else rows.where(condition)
+    return (
+        rows.withColumn("similarity", similarity_to(F.col("embedding"), vector))
+        .orderBy(F.col("similarity").desc_nulls_last(), "id")
+        .limit(k)
     )
-    rows = spark.read.parquet(f"{path}/rows")
-    if condition is not None:
-        rows = rows.where(condition)
-    query = np.array([vector], dtype=np.float64)
-
-    def nearest(chosen: Sequence[int]) -> DataFrame:
-        return (
-            rows.where(F.col("_cell").isin(*[int(c) for c in chosen]))
-            .drop("_cell")
-            .withColumn("similarity", similarity_to(F.col("embedding"), vector))
-            .orderBy(F.col("similarity").desc_nulls_last(), "id")
-            .limit(k)
-        )
-
-    by_distance = np.argsort(cells.distances(query)[0], kind="stable")
-    enough = np.cumsum([stored[i]["n"] for i in by_distance])
-    first = by_distance[: int(np.searchsorted(enough, k)) + 1]
-    tried = nearest([names[i] for i in first]).select("similarity").collect()  # at most k rows
-    found = [row["similarity"] for row in tried]
-    whole = len(found) == k and found[-1] is not None
-    bound = np.array([found[-1] if whole else _NO_DIRECTION])
-    reach = cells.reachable(query, bound)[0]
-    return nearest([name for name, near in zip(names, reach) if near])

@@ -5,26 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catalith import fixed
 from catalith.functions import sentences
-from catalith.operators.embed import embed_queries
-from catalith.operators.nearest import (
-    best_matches,
-    match_schema,
-    match_table,
-    rank_in_blocks,
-    similarity_to,
-    vectors_of,
-)
-from catalith.session import fits_broadcast
-
-# Queries answered by one broadcast matrix; more of them go through the grid.
-BROADCAST_QUERIES = 2_000
+from catalith.operators.embed import ModelFactory, embed_queries
+from catalith.operators.nearest import QUERY_BLOCK, nearest_rows, rank_many
+from catalith.session import settle
 
 
 @dataclass(frozen=True)
@@ -52,10 +40,13 @@ class Filters:
         return keep
 
 
-def clamp_top_k(k: Column | int, most: int = fixed.TOP_K_MAX) -> Column | int:
-    if isinstance(k, int):
-        return max(1, min(k, most))
-    return F.greatest(F.lit(1), F.least(k, F.lit(most)))
+def clamp_top_k(
+    k: Column | int | None, most: int = fixed.TOP_K_MAX, default: int = fixed.TOP_K_DEFAULT
+) -> Column | int:
+    """A number of results between 1 and ``most``; a missing one is the default."""
+    if k is None or isinstance(k, int):
+        return max(1, min(default if k is None else k, most))
+    return F.greatest(F.lit(1), F.least(F.coalesce(k, F.lit(default)), F.lit(most)))
 
 
 def as_results(
@@ -74,15 +65,6 @@ def as_results(
     return df.select(*extra, *[values.get(c, F.col(c)).alias(c) for c in fixed.RESULT_COLUMNS])
 
 
-def _nearest_first(df: DataFrame, vector: Sequence[float], k: int) -> DataFrame:
-    """Scored once, then a bounded sort in every task (``TakeOrderedAndProject``)."""
-    return (
-        df.withColumn("_score", similarity_to(F.col("embedding"), vector))
-        .orderBy(F.col("_score").desc_nulls_last(), "id")
-        .limit(k)
-    )
-
-
 def hybrid_search(
     corpus: DataFrame,
     vector: Sequence[float],
@@ -92,8 +74,8 @@ def hybrid_search(
 ) -> DataFrame:
     """Filter, rank by cosine similarity, keep ``top_k``. Filters come first."""
     kept = corpus.where(filters.condition())
-    found = _nearest_first(kept, vector, clamp_top_k(top_k, most))
-    return as_results(found, F.col("_score"), "semantic")
+    found = nearest_rows(kept, vector, clamp_top_k(top_k, most))
+    return as_results(found, F.col("similarity"), "semantic")
 
 
 def vector_of(corpus: DataFrame, item_id) -> list[float] | None:
@@ -110,11 +92,11 @@ def similar_items(
 ) -> DataFrame:
     """Nearest items to a stored one, itself left out; none without its vector."""
     source = vector_of(corpus, item_id)
-    others = corpus.where(F.col("embedding").isNotNull() & (F.col("id") != F.lit(item_id)))
+    others = corpus.where(F.col("id") != F.lit(item_id))
     if source is None:
         return as_results(corpus.where(F.lit(False)), F.lit(None), "semantic")
-    found = _nearest_first(others, source, clamp_top_k(top_k, most))
-    return as_results(found, F.col("_score"), "semantic")
+    k = clamp_top_k(top_k, most, fixed.TOP_K_SIMILAR)
+    return as_results(nearest_rows(others, source, k), F.col("similarity"), "semantic")
 
 
 def canonical_id(value: Column) -> Column:
@@ -165,99 +147,29 @@ def extract_filters(
     return requests.withColumns(resolved)
 
 
-def _coded(values, known: dict) -> np.ndarray:
-    """Position of each value among the known ones; -1 for any other."""
-    return np.array([known.get(v, -1) for v in values.to_pylist()], dtype=np.int64)
-
-
-class _Conditions:
-    """The filters of a set of queries, tested against rows of the corpus."""
-
-    def __init__(self, queries: pa.Table) -> None:
-        self._tests = []
-        for name, column in (
-            ("genre_filter", "major_genre"),
-            ("decade", "decade"),
-            ("mpaa_rating", "mpaa_rating"),
-        ):
-            wanted = queries.column(name).to_pylist()
-            known = {v: i for i, v in enumerate(dict.fromkeys(v for v in wanted if v is not None))}
-            codes = np.array([-2 if v is None else known[v] for v in wanted])
-            self._tests.append((column, known, codes))
-        floors = queries.column("min_imdb_rating").to_pylist()
-        self._floors = np.array([np.nan if v is None else float(v) for v in floors])
-
-    def allowed(self, rows) -> np.ndarray:
-        """Query by row: does the row satisfy every filter of the query?"""
-        size = (len(self._floors), rows.num_rows)
-        keep = np.ones(size, dtype=bool)
-        for column, known, codes in self._tests:
-            if known:
-                have = _coded(rows.column(column), known)
-                keep &= (codes == -2)[:, None] | (codes[:, None] == have[None, :])
-        if not np.isnan(self._floors).all():
-            ratings = rows.column("imdb_rating").to_pylist()
-            have = np.array([np.nan if v is None else float(v) for v in ratings])
-            keep &= np.isnan(self._floors)[:, None] | (have[None, :] >= self._floors[:, None])
-        return keep
-
-
-def _rank_broadcast(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
-    """Score the corpus in place against a broadcast matrix of the queries.
-
-    A task keeps its running best ``k`` per query, whatever the size of its
-    partition, so that is all it sends on.
-    """
-    session = corpus.sparkSession
-    shared = session.sparkContext.broadcast(queries.toArrow())
-
-    def score(batches):
-        asked = shared.value
-        vectors = vectors_of(asked)
-        conditions = _Conditions(asked)
-        best = None
-        for batch in batches:
-            if batch.num_rows:
-                rows = pa.Table.from_batches([batch])
-                allowed = conditions.allowed(rows)
-                best = best_matches(
-                    vectors, rows.column("id"), vectors_of(rows), k, allowed, best
-                )
-                id_type = rows.schema.field("id").type
-        if best is not None:
-            ids = asked.column("query_id").combine_chunks()
-            yield from match_table(best, ids, id_type).to_batches()
-
-    return corpus.mapInArrow(score, match_schema(queries, corpus))
-
-
-def _rank_grid(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
-    """Both sides cut into blocks of bounded size; two blocks meet once."""
-    return rank_in_blocks(
-        queries, corpus, k, lambda asked, rows: _Conditions(asked).allowed(rows)
-    )
-
-
 def search_many(
     corpus: DataFrame,
     queries: DataFrame,
     most: int = fixed.TOP_K_MAX,
-    broadcast_queries: int = BROADCAST_QUERIES,
+    block: int = QUERY_BLOCK,
 ) -> DataFrame:
     """Hybrid search for a table ``query_id, embedding, top_k`` and the four filters.
 
-    Only ids, vectors and filter columns are scored; the result columns are
-    fetched for the winners afterwards.
+    Query ids must be distinct. Only ids, vectors and filter columns are scored; the
+    result columns are fetched for the winners afterwards. A missing ``top_k`` is the default.
     """
-    asked = queries.select(
-        "query_id",
-        "embedding",
-        F.col("genre_filter").cast("string").alias("genre_filter"),
-        F.col("decade").cast("int").alias("decade"),
-        F.col("min_imdb_rating").cast("double").alias("min_imdb_rating"),
-        F.col("mpaa_rating").cast("string").alias("mpaa_rating"),
+    asked = settle(
+        queries.select(
+            "query_id",
+            "embedding",
+            F.col("genre_filter").cast("string").alias("genre_filter"),
+            F.col("decade").cast("int").alias("decade"),
+            F.col("min_imdb_rating").cast("double").alias("min_imdb_rating"),
+            F.col("mpaa_rating").cast("string").alias("mpaa_rating"),
+            clamp_top_k(F.col("top_k"), most).alias("_k"),
+        ),
+        "asked",
     )
-    wanted = queries.select("query_id", clamp_top_k(F.col("top_k"), most).alias("_k"))
     rows = corpus.where(F.col("embedding").isNotNull()).select(
         "id",
         "embedding",
@@ -266,19 +178,12 @@ def search_many(
         F.col("imdb_rating").cast("double").alias("imdb_rating"),
         F.col("mpaa_rating").cast("string").alias("mpaa_rating"),
     )
+    wanted = asked.select("query_id", "_k")
     most = wanted.agg(F.max("_k")).first()[0] or 1  # none is asked for more
-    few = fits_broadcast(asked, broadcast_queries)
-    scored = _rank_broadcast(asked, rows, most) if few else _rank_grid(asked, rows, most)
-    order = Window.partitionBy("query_id").orderBy(F.col("similarity").desc_nulls_last(), "id")
-    best = (
-        scored.withColumn("_rank", F.row_number().over(order))
-        .where(F.col("_rank") <= most)
-        .join(wanted, "query_id")
-        .where(F.col("_rank") <= F.col("_k"))
-        .select("query_id", F.col("_rank").alias("rank"), "id", "similarity")
+    found = rank_many(asked.drop("_k"), rows, most, block)
+    best = settle(
+        found.join(wanted, "query_id").where(F.col("rank") <= F.col("_k")).drop("_k"), "best"
     )
-    if few:
-        best = F.broadcast(best)  # at most broadcast_queries * most narrow rows
     details = corpus.drop("embedding", "similarity")
     return as_results(
         best.join(details, "id"), F.col("similarity"), "semantic", extra=("query_id", "rank")
@@ -288,7 +193,7 @@ def search_many(
 def search_sentences(
     corpus: DataFrame,
     requests: DataFrame,
-    factory=None,
+    factory: ModelFactory,
     dim: int = fixed.EMBEDDING_DIM,
     most: int = fixed.TOP_K_MAX,
     high_rating: float = fixed.HIGH_RATING,

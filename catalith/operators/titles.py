@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from catalith import fixed
 from catalith.functions.text import set_similarity, trigrams
 from catalith.operators.search import as_results
-from catalith.session import settle
+from catalith.session import scratch_scope, settle
 
 # Similarity levels searched one after the other; a query leaves at the first
 # level that finds something, which is then its best match overall.
@@ -187,7 +187,15 @@ def _best_sets(asked: DataFrame, held: DataFrame, level: float) -> DataFrame:
 def title_match(
     corpus: DataFrame, queries: DataFrame, levels: Sequence[float] = LEVELS
 ) -> DataFrame:
-    """Best match for a table ``query_id, title``: exact, else fuzzy, else no row."""
+    """Best match for a table ``query_id, title``: exact, else fuzzy, else no row.
+
+    The result is stored; what is put down on the way is removed.
+    """
+    with scratch_scope(corpus.sparkSession, "title-match") as scope:
+        return scope.keep(_title_match(corpus, queries, levels), "matches")
+
+
+def _title_match(corpus: DataFrame, queries: DataFrame, levels: Sequence[float]) -> DataFrame:
     asked = queries.where(F.col("title").isNotNull()).select(
         "query_id", F.lower("title").alias("wanted")
     )

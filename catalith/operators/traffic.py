@@ -18,6 +18,9 @@ from catalith.operators.reports import count_where
 
 _COUNTERS = tuple(f"_le{i}" for i in range(len(fixed.LATENCY_BOUNDS)))
 
+#: Tasks over which the requests of one busy window are dealt.
+SALTS = 32
+
 
 def requests_of(events: DataFrame) -> DataFrame:
     """The event table read as a request log: value is milliseconds, error a failure."""
@@ -232,7 +235,8 @@ def quota_rejections(
 
     The last request that passes is found with a rank limit, of which each task
     sends on at most ``limit`` rows per window; all later ones are rejected. So
-    no task sorts a busy window as a whole.
+    no task sorts a busy window as a whole. The join that finds these deals a window's
+    requests out over ``SALTS`` tasks, each of which gets a copy of the one row.
     """
     placed = requests.withColumn("window_start", F.window("ts", window)["start"])
     order = Window.partitionBy("user_id", "window_start").orderBy("ts", "request_id")
@@ -246,13 +250,17 @@ def quota_rejections(
             "window_start",
             F.col("ts").alias("_last_ts"),
             F.col("request_id").alias("_last_id"),
+            F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias(
+                "_salt"
+            ),
         )
     )
+    salted = placed.withColumn("_salt", F.pmod(F.xxhash64("request_id"), F.lit(SALTS)))
     later = (F.col("ts") > F.col("_last_ts")) | (
         (F.col("ts") == F.col("_last_ts")) & (F.col("request_id") > F.col("_last_id"))
     )
     return (
-        placed.join(last, ["user_id", "window_start"])
+        salted.join(last, ["user_id", "window_start", "_salt"])
         .where(later)
         .select("request_id", "user_id", "ts", "window_start")
     )

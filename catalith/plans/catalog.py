@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from catalith import fixed
 from catalith.functions.text import with_prefix
 from catalith.operators import search, stats, titles, validate
-from catalith.operators.embed import ModelFactory, embed_batches, hashing_model
+from catalith.operators.embed import ModelFactory, embed_batches
 
 
 @dataclass
@@ -22,7 +22,7 @@ class Catalog:
     """
 
     items: DataFrame
-    model: ModelFactory | None = None
+    model: ModelFactory
     dim: int = fixed.EMBEDDING_DIM
     top_k_max: int = fixed.TOP_K_MAX
     high_rating: float = fixed.HIGH_RATING
@@ -68,8 +68,7 @@ class Catalog:
             .withColumn("_text", with_prefix(F.col("query"), fixed.QUERY_PREFIX))
             .first()
         )
-        model = (self.model or hashing_model(self.dim))()
-        vector = embed_batches(model, [row["_text"]], self.dim, 1)[0]
+        vector = embed_batches(self.model(), [row["_text"]], self.dim, 1)[0].tolist()
         filters = search.Filters(
             row["genre_filter"], row["decade"], row["min_imdb_rating"], row["mpaa_rating"]
         )

@@ -4,19 +4,24 @@ from __future__ import annotations
 
 import argparse
 import datetime as dt
+import importlib
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from catalith import fixed
 from catalith.operators import clean as cleaning
 from catalith.operators import features, impute, upsert
 from catalith.operators.embed import ModelFactory, embed_documents, spread
 from catalith.operators.reports import union_reports
-from catalith.session import build_session, scratch_path, settle
+from catalith.session import build_session, scratch_path, scratch_scope, settle
 from catalith.sources.export import write_report
 from catalith.sources.raw import read_raw
-from catalith.sources.snapshots import SnapshotTable
+from catalith.sources.snapshots import SnapshotTable, StaleBase
+
+#: Times a load merges anew because another was committed first.
+TRIES = 5
 
 
 @dataclass
@@ -40,14 +45,30 @@ def load(
     pipeline_version: str,
     run_at: dt.datetime,
     order: str = "row_pos",
+    vectors: DataFrame | None = None,
+    tries: int = TRIES,
 ) -> tuple[int, DataFrame]:
     """Merge embedded rows into the table; the new version and the load report.
 
     The rows should be stored: they are read once for the load and once for its
-    report.
+    report. Vectors that come apart are joined on ``order`` first; a row or a vector left
+    over fails the load. Only the buckets the batch falls in are read and written again.
+    When another load is committed meanwhile, the batch is merged again on top of it.
     """
+    if vectors is not None:
+        rows = upsert.attach_vectors(rows, vectors, order)
     batch = settle(upsert.bind(upsert.loadable(rows, order), pipeline_version), "batch")
-    version = table.write(upsert.merge(table.read(), batch, run_at))
+    place = table.bucket_of(upsert.item_id(F.col("title"), F.col("release_year")))
+    touched = [r["b"] for r in batch.select(place.alias("b")).distinct().collect()]
+    for left in reversed(range(tries)):
+        base = table.latest()
+        merged = upsert.merge(table.read(base, touched) if base else None, batch, run_at)
+        try:
+            version = table.write(merged, base, touched)
+            break
+        except StaleBase:
+            if not left:
+                raise
     report = upsert.load_report(rows, table.read(version), pipeline_version)
     return version, report
 
@@ -65,8 +86,28 @@ def curate(
     """The whole job. Without a table it stops before embedding and loading.
 
     Each stage is written down once, so its report and the next stage read it
-    instead of computing it again, and the model is not asked twice.
+    instead of computing it again, and the model is not asked twice. What is not returned
+    is removed when the job ends.
     """
+    if table is not None and model is None:
+        raise ValueError("a load needs a model")
+    with scratch_scope(raw.sparkSession, "curate") as scope:
+        run = _curate(raw, table, model, dim, batch, pipeline_version, run_at, order)
+        return CurationRun(
+            scope.keep(run.augmented, "rows"), scope.keep(run.reports, "reports"), run.version
+        )
+
+
+def _curate(
+    raw: DataFrame,
+    table: SnapshotTable | None,
+    model: ModelFactory | None,
+    dim: int,
+    batch: int,
+    pipeline_version: str,
+    run_at: dt.datetime | None,
+    order: str,
+) -> CurationRun:
     run_at = run_at or dt.datetime.now(dt.timezone.utc)
     raw = settle(raw, "raw")
     kept = settle(cleaning.deduplicated(raw, order), "kept")
@@ -93,11 +134,19 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--format", default="json")
     parser.add_argument("--reports", help="folder for the stage reports")
     parser.add_argument("--dim", type=int, default=fixed.EMBEDDING_DIM)
+    parser.add_argument("--model", help="module:factory of the embedding model")
     parser.add_argument("--dry-run", action="store_true", help="stop before embedding and load")
     args = parser.parse_args(argv)
     spark = build_session("curate")
     raw = read_raw(spark, args.raw, args.format)
-    run = curate(raw, None if args.dry_run else SnapshotTable(spark, args.table), dim=args.dim)
+    if args.dry_run:
+        run = curate(raw)
+    else:
+        if not args.model:
+            parser.error("--model is needed to load")
+        module, _, name = args.model.partition(":")
+        factory = getattr(importlib.import_module(module), name)
+        run = curate(raw, SnapshotTable(spark, args.table), factory, dim=args.dim)
     write_report(run.reports, args.reports or scratch_path(spark, "reports"))
 
 

@@ -1,64 +1,186 @@
-"""A table kept as whole, numbered snapshots.
+"""A keyed table in buckets, kept as numbered snapshots.
 
-A snapshot counts from the moment its commit mark exists. A load that fails
-half-way leaves no mark, so readers keep seeing the snapshot before it.
+Rows lie in buckets by their id. A snapshot is a list of which write holds each bucket, so a
+load rewrites only the buckets it touches and shares the others. A snapshot counts
+from the moment its list stands under its number; a load that fails half-way leaves
+files that no list names.
+
+Every write says which snapshot it is based on. Lists are put in place by a rename that does
+not replace, so of two writers with the same base one fails with ``StaleBase``, and must
+merge again on what the other left.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+import uuid
+from collections.abc import Sequence
+
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from catalith.session import delete_path
 
-_MARK = "_COMMITTED"
+#: Buckets of a new table. A table keeps the number it began with.
+BUCKETS = 16
 _FILTERED = ("decade", "major_genre", "mpaa_rating", "imdb_rating")
+_TITLE = "_title_lower"
+
+
+class StaleBase(RuntimeError):
+    """The table moved on since the snapshot a write was based on."""
 
 
 class SnapshotTable:
-    def __init__(self, spark: SparkSession, path: str) -> None:
+    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS) -> None:
         self._spark = spark
         self.path = path.rstrip("/")
+        self._new_buckets = buckets
 
     def _file(self, name: str):
-        jvm = self._spark._jvm
-        return jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return self._spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
 
     def _files(self):
         conf = self._spark._jsparkSession.sessionState().newHadoopConf()
-        return self._file("").getFileSystem(conf)
+        return self._file("commits").getFileSystem(conf)
 
-    def _numbers(self, committed: bool) -> list[int]:
-        files, root = self._files(), self._file("")
+    def _names(self, folder: str) -> list[str]:
+        files, root = self._files(), self._file(folder)
         if not files.exists(root):
             return []
-        names = [status.getPath().getName() for status in files.listStatus(root)]
-        return sorted(
-            int(name[2:])
-            for name in names
-            if name.startswith("v=")
-            and (not committed or files.exists(self._file(f"{name}/{_MARK}")))
-        )
+        return [status.getPath().getName() for status in files.listStatus(root)]
 
     def versions(self) -> list[int]:
-        return self._numbers(committed=True)
+        """Numbers of the committed snapshots."""
+        names = self._names("commits")
+        return sorted(int(n.removesuffix(".json")) for n in names if n[:1].isdigit())
 
-    def read(self, version: int | None = None) -> DataFrame | None:
-        """A committed snapshot, the last one by default; None when there is none."""
-        known = self.versions()
-        if not known or (version is not None and version not in known):
+    def latest(self) -> int:
+        """The last committed snapshot; 0 for a table that has none."""
+        return max(self.versions(), default=0)
+
+    def manifest(self, version: int) -> dict:
+        """``buckets``, ``schema``, and the write that holds each filled bucket."""
+        if version == 0:
+            return {"buckets": self._new_buckets, "schema": None, "writes": {}}
+        lines = self._spark.read.text(f"{self.path}/commits/{version}.json", wholetext=True)
+        return json.loads(lines.first()["value"])
+
+    def buckets(self) -> int:
+        return self.manifest(self.latest())["buckets"]
+
+    def bucket_of(self, item_id: Column) -> Column:
+        """The bucket of an id: its first 32 bits, modulo the number of buckets."""
+        bits = F.conv(F.substring(item_id, 1, 8), 16, 10).cast("bigint")
+        return F.pmod(F.coalesce(bits, F.lit(0)), F.lit(self.buckets())).cast("int")
+
+    def _read(self, version: int, buckets: Sequence[int] | None, hidden: bool) -> DataFrame | None:
+        listed = self.manifest(version)
+        if listed["schema"] is None:
             return None
-        wanted = known[-1] if version is None else version
-        return self._spark.read.parquet(f"{self.path}/v={wanted}")
+        schema = T.StructType.fromJson(json.loads(listed["schema"]))
+        wanted = listed["writes"] if buckets is None else {str(b): None for b in buckets}
+        paths = [
+            f"{self.path}/data/{listed['writes'][b]}/bucket={b}" for b in wanted if b in listed["writes"]
+        ]
+        if not paths:
+            df = self._spark.createDataFrame([], schema)
+        else:
+            df = self._spark.read.schema(schema).parquet(*paths)
+        return df if hidden else df.drop(_TITLE)
 
-    def write(self, df: DataFrame) -> int:
-        """Store the whole table as the next snapshot and commit it.
+    def read(self, version: int | None = None, buckets: Sequence[int] | None = None) -> DataFrame | None:
+        """A committed snapshot, the last one by default, or some of its buckets.
 
-        Files are sorted by the columns searches filter on, so a search skips
-        row groups by their statistics. Two writers that choose the same number
-        collide on its folder, and the second fails.
+        None when there is none.
         """
-        taken = self._numbers(committed=False)
-        version = (taken[-1] if taken else 0) + 1
-        by = [c for c in _FILTERED if c in df.columns]
-        df = df.sortWithinPartitions(*by) if by else df
-        df.write.mode("errorifexists").parquet(f"{self.path}/v={version}")
-        self._files().create(self._file(f"v={version}/{_MARK}"), False).close()
-        return version
+        wanted = self.latest() if version is None else version
+        if wanted == 0 or (version is not None and wanted not in self.versions()):
+            return None
+        return self._read(wanted, buckets, hidden=False)
+
+    def by_id(self, item_id: str) -> DataFrame:
+        """The rows of one id: one bucket's files, and of these what a bloom filter lets through."""
+        row = self._spark.range(1).select(self.bucket_of(F.lit(item_id)).alias("b")).first()
+        return self._read(self.latest(), [row["b"]], False).where(F.col("id") == F.lit(item_id))
+
+    def by_title(self, title: str) -> DataFrame:
+        """The rows of a title in any case: bloom filters of the stored lower-case title skip the rest."""
+        rows = self._read(self.latest(), None, True)
+        same = F.col(_TITLE) == F.lower(F.lit(title)) if _TITLE in rows.columns else F.lit(False)
+        return rows.where(same).drop(_TITLE)
+
+    def write(
+        self, df: DataFrame, based_on: int, buckets: Sequence[int] | None = None
+    ) -> int:
+        """Store rows as the snapshot after ``based_on``; the new number.
+
+        With ``buckets``, the rows replace these and the others stay as they are; without,
+        they are the whole table. Files are sorted by the columns searches filter on.
+        Raises ``StaleBase`` when another write was committed since.
+        """
+        if self.latest() != based_on:
+            raise StaleBase(f"based on snapshot {based_on}, but {self.latest()} is committed")
+        listed = self.manifest(based_on)
+        name = uuid.uuid4().hex
+        folder = f"{self.path}/data/{name}"
+        rows = df.withColumn("bucket", self.bucket_of(F.col("id")))
+        if "title" in df.columns:
+            rows = rows.withColumn(_TITLE, F.lower("title"))
+        schema = rows.drop("bucket").schema
+        by = ["bucket", *(c for c in _FILTERED if c in df.columns)]
+        writer = rows.repartition("bucket").sortWithinPartitions(*by).write.partitionBy("bucket")
+        for column in ("id", _TITLE):
+            writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
+        writer.parquet(folder)
+        kept = {} if buckets is None else {
+            b: w for b, w in listed["writes"].items() if int(b) not in set(buckets)
+        }
+        found = [n.removeprefix("bucket=") for n in self._names(f"data/{name}") if n.startswith("bucket=")]
+        if buckets is not None and not {int(b) for b in found} <= set(buckets):
+            delete_path(self._spark, folder)
+            raise ValueError("rows outside the buckets they replace")
+        made = {
+            "buckets": listed["buckets"],
+            "schema": schema.json(),
+            "writes": kept | {b: name for b in found},
+        }
+        try:
+            self._commit(based_on + 1, json.dumps(made))
+        except StaleBase:
+            delete_path(self._spark, folder)
+            raise
+        return based_on + 1
+
+    def _commit(self, version: int, text: str) -> None:
+        """Put a snapshot's list under its number, unless one stands there already."""
+        draft, place = self._file(f"commits/_{uuid.uuid4().hex}"), self._file(f"commits/{version}.json")
+        stream = self._files().create(draft, False)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+        jvm = self._spark._jvm
+        conf = self._spark._jsparkSession.sessionState().newHadoopConf()
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(draft.toUri(), conf)
+        options = self._spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:
+            context.rename(draft, place, options)
+        except Py4JJavaError as error:
+            self._files().delete(draft, False)
+            if "FileAlreadyExists" in str(error.java_exception.getClass().getName()):
+                raise StaleBase(f"snapshot {version} was committed by another writer") from error
+            raise
+
+    def forget(self, keep: int = 1) -> list[int]:
+        """Remove all but the last ``keep`` snapshots, and the files only they list."""
+        known = self.versions()
+        gone, left = known[: max(0, len(known) - keep)], known[max(0, len(known) - keep) :]
+        listed = lambda versions: {
+            (b, w) for v in versions for b, w in self.manifest(v)["writes"].items()
+        }
+        for bucket, write in listed(gone) - listed(left):
+            delete_path(self._spark, f"{self.path}/data/{write}/bucket={bucket}")
+        for version in gone:
+            delete_path(self._spark, f"{self.path}/commits/{version}.json")
+        return gone

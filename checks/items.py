@@ -17,12 +17,15 @@ _RULES = (
     (
         "Title",
         "CASE WHEN p_partkey % 97 = 0 THEN NULL WHEN p_partkey % 89 = 0 THEN 'N/A' "
+        "WHEN p_partkey % 67 = 0 THEN CAST(p_size * 100 AS STRING) "
         "WHEN p_partkey % 7 = 0 THEN upper(p_name) "
         "WHEN p_partkey % 5 = 0 THEN '  ' || replace(p_name, ' ', '  ') || ' ' ELSE p_name END",
     ),
     (
         "Release_Date",
         "CASE WHEN p_partkey % 61 = 0 THEN NULL WHEN p_partkey % 59 = 0 THEN 'not-a-date' "
+        "WHEN p_partkey % 53 = 0 THEN '18-Jun-1998' WHEN p_partkey % 47 = 0 THEN '1997' "
+        "WHEN p_partkey % 43 = 0 THEN '19960618' WHEN p_partkey % 41 = 0 THEN '6/18/1995' "
         f"ELSE substr('{_MONTHS}', CAST((p_partkey % 12) * 3 + 1 AS INT), 3) || ' ' || "
         "CASE WHEN p_partkey % 2 = 0 THEN lpad(CAST(p_partkey % 28 + 1 AS STRING), 2, '0') "
         "ELSE CAST(p_partkey % 28 + 1 AS STRING) END || ' ' || "
@@ -60,7 +63,8 @@ _RULES = (
     ),
     (
         "IMDB_Votes",
-        "CASE WHEN p_partkey % 13 = 0 THEN NULL "
+        "CASE WHEN p_partkey % 13 = 0 THEN NULL WHEN p_partkey % 71 = 0 THEN '1e-300' "
+        "WHEN p_partkey % 73 = 0 THEN 'inf' WHEN p_partkey % 79 = 0 THEN '1e400' "
         "ELSE CAST((p_partkey * 7919) % 500000 - 5 AS STRING) END",
     ),
     (

@@ -30,8 +30,10 @@ def _rint(x: str) -> str:
 
 
 def _number(x: str) -> str:
-    shape = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
-    return f"CASE WHEN regexp_matches({x}, '{shape}') THEN TRY_CAST(trim({x}) AS DOUBLE) END"
+    shape = r"^\s*[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|(?i:inf(inity)?))\s*$"
+    # What is too large for a double is infinite.
+    read = f"coalesce(TRY_CAST(trim({x}) AS DOUBLE), CAST('inf' AS DOUBLE))"
+    return f"CASE WHEN regexp_matches({x}, '{shape}') THEN {read} END"
 
 
 _SENTINELS = ", ".join(quoted(s) for s in fixed.SENTINELS)
@@ -71,7 +73,10 @@ _STD = "SELECT row_pos, {}, Release_Date AS raw_date, {} FROM items".format(
     ", ".join(f"{r} AS raw_{c}" for c, r in _RAW_NUMBERS.items()),
 )
 
-_PARSED = "SELECT *, CAST(try_strptime(raw_date, '%b %d %Y') AS DATE) AS parsed FROM std"
+_LAYOUTS = ("%b %d %Y", "%d-%b-%Y", "%Y%m%d", "%m/%d/%Y", "%Y")
+_PARSED = "SELECT *, CAST(coalesce({}) AS DATE) AS parsed FROM std".format(
+    ", ".join(f"try_strptime(raw_date, '{layout}')" for layout in _LAYOUTS)
+)
 
 _DATED = """SELECT * EXCLUDE (parsed), parsed,
   CASE WHEN year(parsed) > 2011 THEN CAST(parsed - INTERVAL 100 YEAR AS DATE)
@@ -99,7 +104,8 @@ _KEPT = "SELECT * FROM ranked WHERE place = 1"
 def _valid(column: str, zero: bool = True) -> str:
     low, high = fixed.NUMERIC_BOUNDS[column]
     x = f"num_{column}"
-    tests = [f"{x} >= {low}"] + ([f"{x} <= {high}"] if high is not None else [])
+    tests = [f"{x} >= {low}", f"abs({x}) < CAST('inf' AS DOUBLE)"]
+    tests += [f"{x} <= {high}"] if high is not None else []
     if zero and column in fixed.ZERO_MEANS_MISSING:
         tests.append(f"{x} <> 0")
     return " AND ".join(tests)
@@ -275,6 +281,11 @@ def _cleaning_report() -> str:
     )
     dates = [
         ("dates_parsed", "", _count("parsed IS NOT NULL")),
+        (
+            "dates_by_fallback",
+            "",
+            _count("parsed IS NOT NULL AND try_strptime(raw_date, '%b %d %Y') IS NULL"),
+        ),
         ("dates_unparseable", "", _count("trim(raw_date) <> '' AND parsed IS NULL")),
         ("dates_century_corrected", "", _count("year(parsed) > 2011")),
     ]
@@ -328,19 +339,19 @@ def _imputation_report() -> str:
             (
                 "strategy_by_field",
                 c,
-                f"median by {group} (min 10 observations), else global median; "
-                f"flagged in {c}_imputed",
+                f"median of its {group} where that has 10 values, else of all rows; "
+                f"marked by {c}_imputed",
             )
         )
     for c in fixed.UNKNOWN_COLUMNS:
         rows.append(("imputed_counts", c, _count(f"{c} IS NULL")))
-        said.append(("strategy_by_field", c, '"Unknown" sentinel (never mode-imputed)'))
+        said.append(("strategy_by_field", c, "filled with Unknown"))
     rows.append(("imputed_counts", "major_genre", "0 * count(*)"))
     said.append(
         (
             "strategy_by_field",
             "major_genre",
-            "left NULL — facet field surfaced by list_genres / genre_filter",
+            "stays NULL: searches list and filter by it",
         )
     )
     return after(
@@ -422,6 +433,16 @@ TITLE_RULE = (
 )
 
 
+# Distinct titles over ``customer``, and the same with a letter left out or none that match.
+NAME_RULE = "c_mktsegment || ' ' || reverse(CAST(c_custkey * 7919 + 10007 AS STRING)) || ' ' || c_name"
+ASKED_NAME_RULE = (
+    "CASE c_custkey % 3 WHEN 0 THEN lower(c_mktsegment) || ' ' || "
+    "reverse(CAST(c_custkey * 7919 + 10007 AS STRING)) || ' ' || substr(c_name, 2) "
+    "WHEN 1 THEN upper(c_mktsegment || ' ' || reverse(CAST(c_custkey * 7919 + 10007 AS STRING)) "
+    "|| ' ' || c_name) ELSE 'zz' || CAST(c_custkey * 31 AS STRING) || 'qq' END"
+)
+
+
 def _sentence_filters(source: str) -> str:
     s = "query"
 
@@ -771,6 +792,53 @@ WHERE e.id IS NOT NULL OR f.id IS NOT NULL""",
     ORDER BY {best_title} DESC, c.release_year, c.id) AS place
   FROM q, g c WHERE {best_title} >= 0.3) WHERE place = 1""",
         ),
+        "title_match_names": f"""WITH names AS (SELECT CAST(c_custkey AS VARCHAR) AS id, {NAME_RULE} AS title,
+  c_nationkey AS release_year FROM customer),
+asked AS (SELECT c_custkey AS query_id, {ASKED_NAME_RULE} AS title FROM customer),
+g AS (SELECT *, {_GRAMS.format('lower(title)')} AS grams FROM names),
+q AS (SELECT a.*, {_GRAMS.format('lower(title)')} AS grams FROM asked a
+  WHERE lower(title) NOT IN (SELECT lower(title) FROM names)),
+held AS (SELECT id, unnest(grams) AS gram FROM g), wanted AS (SELECT query_id, unnest(grams) AS gram FROM q),
+shared AS (SELECT query_id, id, count(*) AS n FROM wanted JOIN held USING (gram) GROUP BY ALL),
+scored AS (SELECT query_id, g.id, g.title, g.release_year,
+  n / (len(q.grams) + len(g.grams) - n) AS score
+  FROM shared JOIN q USING (query_id) JOIN g ON g.id = shared.id),
+best AS (SELECT * FROM scored WHERE score >= 0.3 QUALIFY row_number() OVER (
+  PARTITION BY query_id ORDER BY score DESC, release_year, id) = 1)
+SELECT query_id, id, title, round(score, 6) AS similarity, 'fuzzy' AS match_type FROM best
+UNION ALL SELECT query_id, id, n.title, 1.0, 'exact' FROM asked a JOIN names n ON lower(a.title) = lower(n.title)
+  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY release_year, id) = 1""",
+        "given_filters": f"""WITH sentences AS ({sentences}), said AS ({resolved})
+SELECT query_id, query, CASE WHEN query_id % 3 = 0 THEN 'Given' ELSE genre_filter END AS genre_filter,
+  CASE WHEN query_id % 4 = 0 THEN 1930 ELSE decade END AS decade,
+  CASE WHEN query_id % 5 = 0 THEN 1.5 ELSE min_imdb_rating END AS min_imdb_rating, mpaa_rating FROM said""",
+        "two_writers": after(
+            "corpus",
+            "SELECT id, title, release_year, director FROM batch",
+            batch=_LOADED.format(source="corpus"),
+        ),
+        "load_vectors": after(
+            "corpus",
+            "SELECT id, title, round(list_sum(list_transform(v, lambda x: x)), 4) AS total FROM batch",
+            batch=_LOADED.format(source="corpus"),
+        ),
+        "stored_lookups": after(
+            "corpus",
+            "SELECT 'id' AS kind, id, title FROM batch WHERE title = 'blue bolt' AND release_year = 1982 "
+            "UNION ALL SELECT 'title', id, title FROM batch WHERE lower(title) = 'hot gear'",
+            batch=_LOADED.format(source="corpus"),
+        ),
+        "raw_files": after("std", "SELECT row_pos AS key, title, true AS ordered FROM std"),
+        "embedded_rows": after(
+            "corpus",
+            "SELECT major_genre, count(embedding) AS embedded, "
+            "sum(count(embedding)) OVER ()::BIGINT AS in_all FROM corpus GROUP BY major_genre",
+        ),
+        "similar_many": f"""WITH e AS ({_EMBEDDED})
+SELECT id, rank, neighbour_id, round(similarity, 6) AS similarity FROM (
+  SELECT a.id, b.id AS neighbour_id, {cosine('a.v', 'b.v')} AS similarity,
+    row_number() OVER (PARTITION BY a.id ORDER BY similarity DESC, b.id) AS rank
+  FROM e a JOIN e b ON a.id <> b.id WHERE a.id IN (SELECT o_orderkey FROM orders)) WHERE rank <= 5""",
         "extract_filters": f"WITH sentences AS ({sentences}) {resolved}",
         "nl_search": after(
             "corpus",

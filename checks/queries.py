@@ -13,14 +13,16 @@ from catalith.functions.text import with_prefix
 from catalith.functions.vectors import parse_vector
 from catalith.operators import clean, dedup, features, impute, nearest, search, stats
 from catalith.operators import titles, traffic, upsert, validate
-from catalith.operators.embed import embed_documents, hashing_model, spread
+from catalith.operators.embed import embed_documents, spread
 from catalith.plans.curate import load, prepare
 from catalith.session import scratch_path, settle, tune
-from catalith.sources.export import export_rows
-from catalith.sources.snapshots import SnapshotTable
+from catalith.sources.export import embedded_count, export_rows
+from catalith.sources.raw import read_raw
+from catalith.sources.snapshots import SnapshotTable, StaleBase
 from catalith.streaming import traffic as stream
 from checks.items import items
-from checks.oracles import BATCH_RULE, SENTENCE_RULE, TITLE_RULE
+from checks.model import hashing_model
+from checks.oracles import ASKED_NAME_RULE, BATCH_RULE, NAME_RULE, SENTENCE_RULE, TITLE_RULE
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -183,7 +185,9 @@ def _sum(vector: Column, weight: Callable[[Column, Column], Column]) -> Column:
 
 def embedded_texts(spark: SparkSession, sf: str) -> DataFrame:
     documents = table(spark, sf, "documents").select("doc_id", "text")
-    rows = embed_documents(spread(documents), text="text", dim=DIM)
+    rows = embed_documents(
+        spread(documents), text="text", factory=hashing_model(DIM), dim=DIM
+    )
     v = F.col("embedding")
     return rows.select(
         "doc_id",
@@ -249,6 +253,66 @@ def upsert_items(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def two_writers(spark: SparkSession, sf: str) -> DataFrame:
+    """Halves of the catalog planned on one base: the later one is refused and merged again."""
+    rows = _stored_corpus(spark, sf)
+    stored = SnapshotTable(spark, scratch_path(spark, "table"))
+    halves = [rows.where(F.col("row_pos") % 2 == k) for k in (0, 1)]
+    batches = [upsert.bind(upsert.loadable(half), "0.1.0") for half in halves]
+    base = stored.latest()
+    for half, batch in zip(halves, batches):
+        try:
+            stored.write(upsert.merge(None, batch, _FIRST_RUN), base)
+        except StaleBase:
+            load(half, stored, "0.1.0", _SECOND_RUN)
+    return stored.read().select("id", "title", "release_year", "director")
+
+
+def load_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows and vectors that come apart, joined by the load."""
+    rows = _stored_corpus(spark, sf).where(F.col("embedding").isNotNull())
+    stored = SnapshotTable(spark, scratch_path(spark, "table"))
+    vectors = rows.select("row_pos", "embedding")
+    load(rows.drop("embedding"), stored, "0.1.0", _FIRST_RUN, vectors=vectors)
+    total = F.round(_sum(F.col("embedding"), lambda x, i: x), 4)
+    return stored.read().select("id", "title", total.alias("total"))
+
+
+def stored_lookups(spark: SparkSession, sf: str) -> DataFrame:
+    """Point lookups in the stored table, by id and by title in another case."""
+    rows = _stored_corpus(spark, sf)
+    stored = SnapshotTable(spark, scratch_path(spark, "table"))
+    load(rows, stored, "0.1.0", _FIRST_RUN)
+    found = stored.by_id(_bolt(rows)).select(F.lit("id").alias("kind"), "id", "title")
+    return found.union(stored.by_title("hOT gEAR").select(F.lit("title"), "id", "title"))
+
+
+def raw_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Raw rows in several files: each position comes before that of the next key."""
+    path = scratch_path(spark, "raw")
+    given = items(spark, sf).select(
+        F.col("row_pos").alias("key"), "Title", F.col("row_pos").cast("string").alias("Director")
+    )
+    given.repartitionByRange(7, "key").sortWithinPartitions("key").drop("key").write.json(path)
+    read = read_raw(spark, path, headers=("Title", "Director"))
+    cleaned = settle(
+        clean.standardize_strings(clean.rename_headers(read)).select(
+            F.col("director").cast("bigint").alias("key"), "title", "row_pos"
+        ),
+        "cleaned",
+    )
+    after = cleaned.select((F.col("key") - 1).alias("key"), F.col("row_pos").alias("next"))
+    ordered = F.coalesce(F.col("row_pos") < F.col("next"), F.lit(True))
+    return cleaned.join(after, "key", "left").select("key", "title", ordered.alias("ordered"))
+
+
+def embedded_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Embedded rows per genre of the corpus, and their count as the export probes it."""
+    rows = _stored_corpus(spark, sf)
+    genres = rows.groupBy("major_genre").agg(F.count("embedding").alias("embedded"))
+    return genres.withColumn("in_all", F.lit(embedded_count(rows)))
+
+
 def load_report(spark: SparkSession, sf: str) -> DataFrame:
     return _two_loads(spark, sf)[1]
 
@@ -300,10 +364,8 @@ def hybrid_search_batch(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def hybrid_search_grid(spark: SparkSession, sf: str) -> DataFrame:
-    """The same with no query broadcast, as for a query table of any size."""
-    found = search.search_many(
-        _stored_corpus(spark, sf), _batch_requests(spark, sf), broadcast_queries=0
-    )
+    """The same in many blocks of queries, as for a query table of any size."""
+    found = search.search_many(_stored_corpus(spark, sf), _batch_requests(spark, sf), block=64)
     return _results(found)
 
 
@@ -319,15 +381,21 @@ def similar_items(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def knn_all(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(nearest.all_neighbours(_vectors(spark, sf), 10), "similarity")
+    vectors = _vectors(spark, sf)
+    return _rounded(nearest.similar_many(vectors, vectors, 10), "similarity")
 
 
-def knn_index(spark: SparkSession, sf: str) -> DataFrame:
-    path = scratch_path(spark, "vector-index")
+def similar_many(spark: SparkSession, sf: str) -> DataFrame:
+    """Similar items of a table of ids: those of the first orders, some of which are unknown."""
     vectors = _vectors(spark, sf)
-    nearest.write_vector_index(vectors, path)
-    source = search.vector_of(vectors, 11)
-    found = nearest.search_vector_index(spark, path, source, 10)
+    wanted = table(spark, sf, "orders").selectExpr("o_orderkey AS id")
+    return _rounded(nearest.similar_many(vectors, wanted, 5), "similarity")
+
+
+def knn_index(spark: SparkSession, sf: str) -> DataFrame:
+    """Neighbours of one vector in a stored table."""
+    vectors = settle(_vectors(spark, sf), "vectors")
+    found = nearest.nearest_rows(vectors, search.vector_of(vectors, 11), 10)
     return _rounded(found.select("id", "label", "similarity"), "similarity")
 
 
@@ -393,10 +461,37 @@ def extract_filters(spark: SparkSession, sf: str) -> DataFrame:
     return search.extract_filters(_sentences(spark, sf))
 
 
+def given_filters(spark: SparkSession, sf: str) -> DataFrame:
+    """Filters that a request gives win over those of its sentence."""
+    key = F.col("query_id")
+    return search.extract_filters(
+        _sentences(spark, sf).select(
+            "*",
+            F.when(key % 3 == 0, "Given").alias("genre_filter"),
+            F.when(key % 4 == 0, F.lit(1930)).alias("decade"),
+            F.when(key % 5 == 0, F.lit(1.5)).alias("min_imdb_rating"),
+        )
+    )
+
+
+def title_match_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Distinct titles: each customer's name and address asked with a letter left out."""
+    people = table(spark, sf, "customer")
+    named = people.selectExpr(
+        "cast(c_custkey AS string) AS id", f"{NAME_RULE} AS title", "cast(c_nationkey AS int) AS release_year"
+    )
+    for column, kind in fixed.STORED_TYPES.items():
+        if column not in named.columns:
+            named = named.withColumn(column, F.lit(None).cast(kind))
+    asked = people.selectExpr("c_custkey AS query_id", f"{ASKED_NAME_RULE} AS title")
+    found = titles.title_match(settle(named, "names"), asked)
+    return _results(found.select("query_id", "id", "title", "similarity", "match_type"))
+
+
 def nl_search(spark: SparkSession, sf: str) -> DataFrame:
     rows = corpus(spark, sf).drop("embedding")
     embedded = settle(embed_documents(rows, factory=hashing_model(DIM), dim=DIM), "embedded")
-    return _results(search.search_sentences(embedded, _sentences(spark, sf), dim=DIM))
+    return _results(search.search_sentences(embedded, _sentences(spark, sf), hashing_model(DIM), DIM))
 
 
 # Statistics and audits
@@ -543,6 +638,11 @@ def queries() -> dict[str, Query]:
         prefix_texts,
         parse_vectors,
         upsert_items,
+        two_writers,
+        load_vectors,
+        stored_lookups,
+        raw_files,
+        embedded_rows,
         load_report,
         skipped_examples,
         load_audit,
@@ -555,6 +655,7 @@ def queries() -> dict[str, Query]:
         similar_items,
         knn_all,
         knn_index,
+        similar_many,
         lookup_by_id,
         lookup_many,
         reject_bad_requests,
@@ -562,7 +663,9 @@ def queries() -> dict[str, Query]:
         title_fuzzy,
         title_lookup,
         title_match_batch,
+        title_match_names,
         extract_filters,
+        given_filters,
         nl_search,
         dataset_stats,
         list_facets,

@@ -8,7 +8,7 @@ import pytest
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 
-from catalith.session import build_session  # noqa: E402
+from catalith.session import build_session, scratch_scope  # noqa: E402
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -32,6 +32,13 @@ def spark(tmp_path_factory):
     session.stop()
 
 
+@pytest.fixture
+def shared(spark):
+    """A scratch folder of the test's own; tells what lies in it."""
+    with scratch_scope(spark, "test") as scope:
+        yield lambda: sorted(os.listdir(scope.path.removeprefix("file:")))
+
+
 @pytest.fixture(scope="session")
 def small():
     return SMALL

@@ -121,6 +121,34 @@ def test_numbers(spark):
     assert report["numeric_coerced", "rt_rating"] == 1
 
 
+def test_numbers_of_any_size(spark):
+    cells = ["1e100", "1e-300", "inf", "-Infinity", "1e400", "9" * 400, "7" + "0" * 250, "1e5x", "infx"]
+    df = frame(spark, [{"us_gross": c, "imdb_rating": c} for c in cells])
+    got = rows(clean.validate_numerics(df), "row_pos")
+    assert [r["us_gross"] for r in got] == [1e100, 1e-300, None, None, None, None, 7e250, None, None]
+    report = counted(clean.cleaning_report(df))
+    assert report["numeric_out_of_range", "us_gross"] == 4
+    assert report["numeric_coerced", "us_gross"] == 2
+    assert report["numeric_out_of_range", "imdb_rating"] == 6
+
+
+def test_dates_in_other_layouts(spark):
+    cells = {
+        "18-Jun-1998": (6, 18), "1998-06-18T00:00:00Z": (6, 18), "19980618": (6, 18), "18.06.1998": (6, 18),
+        "June 1998": (6, 1), "1998": (1, 1), "06-18-1998": (6, 18), "Jun-18-1998": (6, 18),
+        "1998-06-18 10:00": (6, 18), "6/18/98": (6, 18), "Jun 18 1998": (6, 18),
+    }
+    df = frame(spark, [{"release_date": c} for c in cells])
+    got = rows(clean.parse_release_dates(df, last_year=2100), "row_pos")
+    moved = {c: r["release_date"] for c, r in zip(cells, got)}
+    assert {c: (d.month, d.day) for c, d in moved.items()} == cells
+    assert {d.year % 100 for d in moved.values()} == {98}
+    report = counted(clean.cleaning_report(df))
+    assert report["dates_by_fallback", ""] == len(cells) - 1
+    few = clean.parse_release_dates(df, layouts=("yyyy",))
+    assert few.where("release_date IS NOT NULL").count() == 1
+
+
 def test_typed_numbers_lose_nan(spark):
     df = spark.createDataFrame([(0, float("nan")), (1, 7.5)], "row_pos int, imdb_rating double")
     assert [r["imdb_rating"] for r in rows(clean.validate_numerics(df), "row_pos")] == [None, 7.5]

@@ -11,7 +11,7 @@ from catalith.operators.search import canonical_id
 from catalith.plans.curate import load
 from catalith.session import scratch_path
 from catalith.sources import export
-from catalith.sources.snapshots import SnapshotTable
+from catalith.sources.snapshots import SnapshotTable, StaleBase
 from tests.conftest import rows
 
 DAY1 = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
@@ -100,10 +100,89 @@ def test_rerun_changes_nothing_but_the_time(spark, table):
 
 def test_an_unfinished_load_is_not_seen(spark, table):
     load(spark.createDataFrame(FIRST, SCHEMA), table, "0.1.0", DAY1)
-    table.read().limit(1).write.parquet(f"{table.path}/v=2")
+    table.read().limit(1).write.parquet(f"{table.path}/data/abandoned/bucket=0")
     assert table.versions() == [1]
     assert table.read().count() == 2
-    assert table.write(table.read()) == 3
+    assert table.write(table.read(), based_on=1) == 2
+    assert table.read().count() == 2
+
+
+def batch(spark, *rows_of_it):
+    return spark.createDataFrame(rows_of_it, SCHEMA)
+
+
+def test_a_write_on_a_stale_base_fails_and_a_new_merge_keeps_all_rows(spark, table):
+    load(batch(spark, (0, "a", 2000, "x", 1.0, 1.0, [1.0])), table, "0", DAY1)
+    base = table.latest()
+    plans = []
+    for title in ("b", "c"):
+        new = upsert.bind(upsert.loadable(batch(spark, (0, title, 2000, "x", 1.0, 1.0, [1.0]))), "0")
+        plans.append(upsert.merge(table.read(base), new, DAY2))
+    assert table.write(plans[0], base) == 2
+    with pytest.raises(StaleBase):
+        table.write(plans[1], base)
+    load(batch(spark, (0, "c", 2000, "x", 1.0, 1.0, [1.0])), table, "0", DAY2)
+    assert {title for title, _ in stored(table)} == {"a", "b", "c"}
+    assert table.versions() == [1, 2, 3]
+
+
+def test_two_commits_of_one_number_cannot_both_stand(table):
+    table._commit(1, "{}")
+    with pytest.raises(StaleBase):
+        table._commit(1, "{}")
+
+
+def test_a_load_merges_again_when_another_came_first(spark, table, monkeypatch):
+    load(batch(spark, (0, "a", 2000, "x", 1.0, 1.0, [1.0])), table, "0", DAY1)
+    merge, calls = upsert.merge, []
+
+    def slow(target, new, at):
+        calls.append(1)
+        planned = merge(target, new, at)
+        if len(calls) == 1:  # another load is committed between plan and write
+            monkeypatch.setattr(upsert, "merge", merge)
+            load(batch(spark, (0, "b", 2000, "x", 1.0, 1.0, [1.0])), table, "0", DAY1)
+            monkeypatch.setattr(upsert, "merge", slow)
+        return planned
+
+    monkeypatch.setattr(upsert, "merge", slow)
+    version, _ = load(batch(spark, (0, "c", 2000, "x", 1.0, 1.0, [1.0])), table, "0", DAY2)
+    assert version == 3 and len(calls) == 2
+    assert {title for title, _ in stored(table)} == {"a", "b", "c"}
+
+
+def test_untouched_buckets_keep_their_files(spark, table):
+    many = [(i, f"film {i}", 2000, "x", 1.0, 1.0, [1.0]) for i in range(200)]
+    load(batch(spark, *many), table, "0", DAY1)
+    load(batch(spark, (0, "film 3", 2000, "new", 1.0, 1.0, [1.0])), table, "0", DAY2)
+    before, after = table.manifest(1)["writes"], table.manifest(2)["writes"]
+    assert before.keys() == after.keys() and len(before) > 4
+    assert sum(before[b] != after[b] for b in before) == 1
+    assert table.read().count() == 200 and stored(table)["film 3", 2000]["director"] == "new"
+    assert table.forget(keep=1) == [1]
+    assert table.read().count() == 200 and table.versions() == [2]
+
+
+def test_point_lookups_read_one_bucket(spark, table):
+    many = [(i, f"Film {i}", 2000, "x", 1.0, 1.0, [1.0]) for i in range(200)]
+    load(batch(spark, *many), table, "0", DAY1)
+    wanted = stored(table)["Film 7", 2000]["id"]
+    found = table.by_id(wanted)
+    assert [r["title"] for r in rows(found)] == ["Film 7"]
+    assert len({f.rsplit("/", 2)[1] for f in found.inputFiles()}) == 1
+    assert [r["id"] for r in rows(table.by_title("fILM 7"))] == [wanted]
+    assert rows(table.by_id("x")) == [] and rows(table.by_title("none")) == []
+    assert dict(table.by_title("film 7").dtypes) == fixed.STORED_TYPES
+
+
+def test_vectors_that_come_apart_are_joined_or_fail_the_load(spark, table):
+    whole = batch(spark, (0, "a", 2000, "x", 1.0, 1.0, [1.0]), (1, "b", 2000, "x", 1.0, 1.0, [2.0]))
+    vectors = whole.select("row_pos", "embedding")
+    load(whole.drop("embedding"), table, "0", DAY1, vectors=vectors)
+    assert stored(table)["b", 2000]["embedding"] == [2.0]
+    with pytest.raises(ValueError, match="1 rows without a vector"):
+        load(whole.drop("embedding"), table, "0", DAY1, vectors=vectors.limit(1))
+    assert table.versions() == [1]
 
 
 def test_skipped_examples(spark):
@@ -153,9 +232,9 @@ def test_export_parses_text_vectors_and_refuses_bad_input(spark):
     assert rows(export.export_rows(text, 3))[0]["embedding"] == pytest.approx([0.5, -0.00075, 2.0])
     with pytest.raises(Exception, match="embedding length is not 4"):
         rows(export.export_rows(text, 4))
-    with pytest.raises(ValueError, match="missing columns"):
+    with pytest.raises(ValueError, match="lacks columns"):
         export.export_rows(text.drop("decade"), 3)
-    with pytest.raises(ValueError, match="no embedded rows"):
+    with pytest.raises(ValueError, match="nothing to export"):
         export.write_export(text.where("embedding is null"), scratch_path(spark, "none"), 3)
     assert export.embedded_count(text) == 1
 

@@ -6,7 +6,6 @@ import os
 import pytest
 
 from catalith.operators import search
-from catalith.operators.embed import hashing_model
 from catalith.plans.catalog import Catalog
 from catalith.plans.curate import curate
 from catalith.session import scratch_path
@@ -16,6 +15,7 @@ from catalith.sources.snapshots import SnapshotTable
 from checks import queries as registered
 from checks.compare import compare, connect
 from checks.oracles import oracle_sql
+from checks.model import hashing_model
 from tests.conftest import rows
 
 
@@ -40,6 +40,33 @@ def test_raw_rows_are_text_in_order(spark, tmp_path):
     assert few.columns == ["Title", "row_pos"]
 
 
+def test_positions_follow_files_and_lines_whatever_the_splits(spark, tmp_path):
+    folder = tmp_path / "many"
+    folder.mkdir()
+    wanted = []
+    for k, count in enumerate((40, 400, 5, 120)):  # Spark packs the largest first
+        titles = [f"{k}-{i:04d}" for i in range(count)]
+        wanted += titles
+        lines = "".join(json.dumps({"Title": t}) + "\n" for t in titles)
+        (folder / f"{k}.json").write_text(lines)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("1000", "100000"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got = rows(read_raw(spark, str(folder), headers=("Title",)), "row_pos")
+            assert [r["Title"] for r in got] == wanted
+            assert len({r["row_pos"] for r in got}) == len(wanted)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_a_finished_job_leaves_only_what_it_returns(spark, tmp_path, shared):
+    raw = read_raw(spark, write_lines(tmp_path, [{"Title": "A", "Release Date": "Jan 1 1999"}]))
+    run = curate(raw, SnapshotTable(spark, f"{tmp_path}/table"), hashing_model(8), dim=8)
+    assert run.augmented.count() == 1 and run.reports.count() > 10
+    assert [name.endswith("-kept") for name in shared()] == [True]
+
+
 def test_csv_keeps_its_own_headers(spark, tmp_path):
     path = os.path.join(tmp_path, "raw.csv")
     with open(path, "w") as out:

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from catalith import fixed
 from catalith.operators import nearest, search, stats, validate
-from catalith.operators.embed import hashing_model
 from catalith.session import scratch_path
+from checks.model import hashing_model
 from tests.conftest import rows
 
 SCHEMA = (
@@ -109,8 +109,8 @@ QUERIES = (
 )
 
 
-@pytest.mark.parametrize("broadcast_queries", [2_000, 0])
-def test_many_queries_equal_single_ones(spark, corpus, broadcast_queries):
+@pytest.mark.parametrize("block", [2_000, 1])
+def test_many_queries_equal_single_ones(spark, corpus, block):
     asked = [
         (1, [1.0, 0.0], None, None, None, None, 10),
         (2, [0.0, 1.0], "Action", None, None, None, 1),
@@ -118,7 +118,7 @@ def test_many_queries_equal_single_ones(spark, corpus, broadcast_queries):
         (4, [1.0, 1.0], "Nothing", None, None, None, 5),
     ]
     queries = spark.createDataFrame(asked, QUERIES)
-    got = rows(search.search_many(corpus, queries, 3, broadcast_queries), "query_id", "rank")
+    got = rows(search.search_many(corpus, queries, 3, block), "query_id", "rank")
     for query_id, vector, genre, decade, rating, label, top_k in asked:
         filters = search.Filters(genre, decade, rating, label)
         single = rows(search.hybrid_search(corpus, vector, filters, top_k, most=3))
@@ -135,38 +135,67 @@ def brute_force(ids, vectors, k):
         yield from ((ident, at + 1, ids[j]) for at, j in enumerate(order))
 
 
-@pytest.mark.parametrize("block_rows", [2048, 25])
-def test_all_neighbours_with_a_third_of_the_rows_equal(spark, block_rows):
+@pytest.mark.parametrize("block", [2048, 25])
+def test_neighbours_of_all_with_a_third_of_the_rows_equal(spark, block):
     dice = np.random.default_rng(5)
     vectors = dice.normal(size=(120, 6)).astype(np.float32)
     vectors[40:100] = vectors[3]
     vectors[100:110] = vectors[5:15]
     ids = list(range(1, 121))
     data = [(i, v.tolist()) for i, v in zip(ids, vectors)]
-    data += [(900, [0.0] * 6), (901, None)]
-    df = spark.createDataFrame(data, "id int, embedding array<float>")
+    df = spark.createDataFrame([*data, (901, None)], "id int, embedding array<float>")
     got = sorted(
         (r["id"], r["rank"], r["neighbour_id"])
-        for r in nearest.all_neighbours(df, 4, block_rows).collect()
+        for r in nearest.similar_many(df, df, 4, block).collect()
     )
     assert got == sorted(brute_force(np.array(ids), vectors.astype(float), 4))
 
 
-def test_clustered_vectors_are_pruned():
-    centres = np.eye(8) * 10
-    cells = nearest.Cells(centres, np.full(8, 0.05))
-    reach = cells.reachable(centres[:1], np.array([0.999]))
-    assert reach.sum() == 1
+def test_similar_items_of_a_table_equal_single_ones(spark, corpus):
+    wanted = spark.createDataFrame([(uid(i),) for i in range(1, 9)] + [(uid(2),), (None,)], "id string")
+    got = rows(nearest.similar_many(corpus, wanted, 3), "id", "rank")
+    for i in range(1, 9):
+        single = rows(search.similar_items(corpus, uid(i), 3))
+        mine = [r for r in got if r["id"] == uid(i)]
+        assert [r["neighbour_id"] for r in mine] == [r["id"] for r in single]
+        assert [r["similarity"] for r in mine] == [r["similarity"] for r in single]
+
+
+def test_a_vector_without_direction_ranks_last(spark):
+    data = [(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, [-1.0, 0.0])]
+    df = spark.createDataFrame(data, "id int, embedding array<float>")
+    got = rows(nearest.similar_many(df, df, 5), "id", "rank")
+    assert [(r["id"], r["neighbour_id"], r["similarity"]) for r in got] == [
+        (1, 3, -1.0), (1, 2, None), (2, 1, None), (2, 3, None), (3, 1, -1.0), (3, 2, None)
+    ]
+
+
+def test_repeated_query_ids_are_refused(spark, corpus):
+    asked = [(1, [1.0, 0.0], None, None, None, None, 1), (1, [0.0, 1.0], None, None, None, None, 1)]
+    with pytest.raises(ValueError, match="repeated"):
+        search.search_many(corpus, spark.createDataFrame(asked, QUERIES))
 
 
-def test_vector_index_equals_a_full_scan(spark, corpus):
-    path = scratch_path(spark, "index")
-    nearest.write_vector_index(corpus, path)
-    condition = F.col("mpaa_rating") == "R"
-    for k in (1, 2, 10):
-        got = nearest.search_vector_index(spark, path, [1.0, 0.2], k, condition)
-        want = search.hybrid_search(corpus, [1.0, 0.2], search.Filters(mpaa_rating="R"), k)
-        assert [r["id"] for r in rows(got)] == [r["id"] for r in rows(want)]
+def test_a_missing_top_k_is_the_default(spark, corpus):
+    asked = [(1, [1.0, 0.0], None, None, None, None, None)]
+    data = [(f"{i:08d}", [1.0, float(i)]) for i in range(30)]
+    many = spark.createDataFrame(data, "id string, embedding array<float>")
+    for column, kind in corpus.dtypes:
+        if column not in many.columns:
+            many = many.withColumn(column, F.lit(None).cast(kind))
+    found = search.search_many(many, spark.createDataFrame(asked, QUERIES))
+    assert found.count() == 10
+    assert search.clamp_top_k(None, default=5) == 5
+
+
+def test_vectors_of_the_corpus_are_not_shuffled(spark, corpus):
+    asked = [(1, [1.0, 0.0], "Drama", None, None, None, 5)]
+    queries = spark.createDataFrame(asked, QUERIES).drop("top_k")
+    scored = nearest.rank_many(queries, corpus, 5)
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    below = plan[: plan.index("MapInArrow")]
+    assert "embedding" not in below and "explode" not in plan.lower()
+    assert plan.count("MapInArrow") == 1 and plan.rindex("Exchange") < plan.index("MapInArrow")
 
 
 def test_mixed_vector_lengths_fail(spark):
@@ -285,14 +314,3 @@ def test_violations_are_counted(corpus):
     found = search.hybrid_search(corpus, [1.0, 0.0])
     audit = rows(stats.filter_violations(found, search.Filters("Action", 1990, 7.0, "R")))
     assert audit == [{"rows": 5, "violations": 4}]
-
-
-def test_column_form_of_the_cosine(spark):
-    from catalith.functions.vectors import cosine_similarity
-
-    df = spark.createDataFrame(
-        [([1.0, 0.0], [1.0, 0.5]), ([0.0, 0.0], [1.0, 1.0]), (None, [1.0, 1.0])],
-        "a array<float>, b array<float>",
-    )
-    got = [r[0] for r in df.select(cosine_similarity(F.col("a"), F.col("b"))).collect()]
-    assert got == [pytest.approx(0.8944272), None, None]

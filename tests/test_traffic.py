@@ -112,6 +112,18 @@ def test_quota_breaks_ties_by_request(spark):
     assert [r["request_id"] for r in got] == [3, 4]
 
 
+def test_quota_with_a_caller_that_holds_a_third_of_the_log(spark):
+    entries = [(1 + k % 50 / 10, 7, "a", 0.1, False) for k in range(3000)]
+    entries += [(k % 600, 100 + k % 2000, "a", 0.1, False) for k in range(6000)]
+    df = log(spark, entries)
+    kept = {i: e for i, e in enumerate(entries) if e[1] == 7}
+    first = sorted(kept, key=lambda i: (kept[i][0], i))[:60]
+    got = traffic.quota_rejections(df, limit=60)
+    assert {r["request_id"] for r in got.collect()} == kept.keys() - set(first)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "_salt" in plan
+
+
 def test_load_run(spark):
     df = log(spark, [(1, 1, "a", 0.1 + i / 1000, i < 2) for i in range(100)])
     got = rows(traffic.load_run_summary(df))[0]
