@@ -10,13 +10,16 @@ strongest weight and the sum per domain, and the shape of the text. The labelled
 bounded (``MOST_LABELLED`` rows, those with the smallest hash of their id); one half shows
 the cells, the other fits the regression. The model is a table of fixed size.
 
-Fit: with tokens n, probabilities p and rates w, domain totals are ``sum(n w p)``. Each
-step is one pass that sums these totals and moves every rate by ``-p . G^-1 (totals -
-targets)``, cut at zero, where ``G = sum(n p p')`` and a little on its diagonal. That is
-projected gradient descent on the least squares of the gaps in the norm of ``G^-1``, for
-which the step length 1 always converges.
-It starts at rate 1, so a document's rate departs from 1 only as far as its domains need.
-The driver holds a few numbers per domain, whatever the table.
+Fit: with tokens n, probabilities p, rates w and targets t, domain totals are ``sum(n w p)``.
+Minimised are the squares of the gaps ``totals - t``, over ``R``, plus ``sum(n (w - 1)^2)``, for w of 0
+and more. A step is one pass that sums the totals; it moves the multipliers of the domains
+along the gradient, scaled by ``(G + R)^-1`` with ``G = sum(n p p')`` where w > 0, and projects the rates
+``1 - p . multipliers`` at zero. Without projections the first step is the answer. The driver holds a few
+numbers per domain, whatever the table.
+
+``R`` is small for a domain that the probabilities tell apart (targets are then met to
+about a hundredth), and large for one they hardly do: a noisy guess must not decide which
+documents go.
 
 Defined cases: a null or empty text has no tokens; it adds nothing to totals, and has a
 rate by its probabilities. Without labelled documents every domain is as likely. Labels of other
@@ -43,8 +46,8 @@ CELLS = 1 << 14
 #: A cell counts if its rate in a domain differs from the others' by so many standard errors.
 LEAST_SHOWN = 3.5
 STEPS = 40
-#: Added to ``G``, relative to its diagonal: where domains cannot be told apart, rates stay near 1.
-RIDGE = 0.02
+#: Of a domain's target, times its unexplained over its explained variance: the slack ``R``.
+SLACK = 0.02
 CLOSE = 1e-6
 _MADE = ("n_tokens", "posterior", "rate", "copies")
 _HIDDEN = ("_mix_words", "_mix_cells", "_mix_shape")
@@ -199,7 +202,7 @@ def learn(
 
 
 def fit_rates(
-    members: DataFrame, targets: list[float], budget: float | None, headroom: float, scratch: Scratch
+    members: DataFrame, targets: list[float], budget: float | None, headroom: float
 ) -> tuple[DataFrame, list[float], list[float]]:
     """``members`` (``n_tokens, posterior``) with ``rate``; totals reached and targets, in tokens.
 
@@ -209,30 +212,49 @@ def fit_rates(
     k = len(targets)
     p = [F.get("posterior", F.lit(i)) for i in range(k)]
     n = F.col("n_tokens")
-    sums = [F.sum(n * p[i]).alias(f"a{i}") for i in range(k)]
-    grams = [F.sum(n * p[i] * p[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)]
-    row = members.agg(*sums, *grams).first()
-    has = np.array([row[f"a{i}"] or 0.0 for i in range(k)], float)
-    gram = np.array([[row[f"g{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)], float)
+
+    def totals(rate: Column) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens per domain, and ``G`` of the documents with a rate above zero."""
+        here = n * (rate > 0).cast("int")
+        row = members.agg(
+            *(F.sum(n * rate * p[i]).alias(f"a{i}") for i in range(k)),
+            *(F.sum(here * p[i] * p[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)),
+        ).first()
+        gram = [[row[f"g{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)]
+        return np.array([row[f"a{i}"] or 0.0 for i in range(k)]), np.array(gram)
+
+    def rate_at(shift: np.ndarray) -> Column:
+        moved = reduce(lambda a, b: a + b, (p[i] * float(shift[i]) for i in range(k)))
+        return F.greatest(F.lit(1.0) - moved, F.lit(0.0))
+
+    reached, gram = totals(F.lit(1.0))
     share = np.array(targets, float) / sum(targets)
     lead = int(share.argmax())
-    goal = share * (budget if budget is not None else headroom * has[lead] / share[lead])
-    damped = gram + RIDGE * np.diag(np.diag(gram)) + 1e-9 * np.eye(k)
-    solve = np.linalg.inv(damped)
-    now = members.withColumn("rate", F.lit(1.0))
-    rate, reached = F.col("rate"), has
-    for step in range(1, STEPS + 1):
-        if np.abs(reached - goal).max() <= CLOSE * max(goal.sum(), 1.0):
+    goal = share * (budget if budget is not None else headroom * reached[lead] / share[lead])
+    slack = slack_of(reached, np.diag(gram), goal)
+    shift = last = np.zeros(k)
+    least = np.inf
+    for _ in range(STEPS):
+        miss = reached - goal - slack * shift
+        size = float(np.abs(miss).max())
+        if size <= CLOSE * max(goal.sum(), 1.0):
             break
-        move = solve @ (reached - goal)
-        shift = reduce(lambda a, b: a + b, (p[i] * float(move[i]) for i in range(k)))
-        rate = F.greatest(rate - shift, F.lit(0.0))
-        if step % 8 == 0:  # else the expression grows with the steps
-            now = scratch.settle(now.withColumn("rate", rate), "rates")
-            rate = F.col("rate")
-        row = now.agg(*(F.sum(n * rate * p[i]).alias(f"a{i}") for i in range(k))).first()
-        reached = np.array([row[f"a{i}"] or 0.0 for i in range(k)], float)
-    return now.withColumn("rate", F.round(rate, 6)), reached.tolist(), goal.tolist()
+        if size > least:  # went too far: halve the step
+            shift = (shift + last) / 2
+        else:
+            least, last = size, shift
+            shift = shift + np.linalg.solve(gram + np.diag(slack), miss)
+        reached, gram = totals(rate_at(shift))
+    return members.withColumn("rate", F.round(rate_at(shift), 6)), reached.tolist(), goal.tolist()
+
+
+def slack_of(has: np.ndarray, squares: np.ndarray, goal: np.ndarray) -> np.ndarray:
+    """``R``: per domain, by how much of the variance of membership the probabilities explain."""
+    tokens = max(has.sum(), 1e-9)
+    mean = has / tokens
+    told = (squares / tokens - mean**2) / np.maximum(mean * (1 - mean), 1e-12)
+    told = np.clip(told, 1e-4, 1.0)
+    return SLACK * goal * (1 - told) / told + 1e-9 * (goal + 1.0)
 
 
 def mix(
@@ -258,7 +280,7 @@ def mix(
     with Scratch(docs.sparkSession, "mixing") as scratch:
         featured = features(docs, text, [*chosen, draw.alias("_mix_draw")])
         members = scratch.settle(model.posterior(featured), "members")
-        rated, _, _ = fit_rates(members, list(targets.values()), budget, headroom, scratch)
+        rated, _, _ = fit_rates(members, list(targets.values()), budget, headroom)
         part = F.pmod(F.col("_mix_draw"), F.lit(1_000_000)) / 1e6
         copies = F.floor(F.col("rate")) + (part < F.col("rate") - F.floor("rate")).cast("long")
         return settle(rated.withColumn("copies", copies.cast("long")).drop("_mix_draw"), "mixed")
