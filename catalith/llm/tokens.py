@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from catalith.llm import simple8b
 
 #: A chunk is closed once it holds so many ids.
-CHUNK_IDS = 1 << 18
+CHUNK_IDS = 1 << 19
 #: Words that a task remembers.
 MEMORY = 600_000
 _ALNUM = frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
