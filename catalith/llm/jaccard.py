@@ -48,6 +48,8 @@ from catalith.session import Scratch, settle
 RARITY_BITS = 21
 PICK_BITS = 24
 _SLICES = 16
+#: Rows of a batch whose sets a task holds at once.
+ROWS = 1000
 _RANGES = 64
 _KEYS = 4
 _U = np.uint64
@@ -73,6 +75,12 @@ class Likeness:
         return left * (self.num + self.den) >= (a + b) * self.num
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, ROWS):
+            yield batch.slice(start, ROWS)
+
+
 def _texts(batch: pa.RecordBatch) -> list[bytes]:
     return [t or b"" for t in batch.column("text").cast(pa.large_binary()).to_pylist()]
 
@@ -121,7 +129,7 @@ def _profile(size: int, id_type: pa.DataType):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(1 << RARITY_BITS, np.uint32)
-        for batch in batches:
+        for batch in _parts(batches):
             rows = []
             for found in shingle_sets(_texts(batch), size):
                 if not len(found):
@@ -202,7 +210,7 @@ def _sets(size: int, like: Likeness, ranks, picks):
         table = picks.value
         rarity = ranks.value if ranks is not None else None
         told: set[tuple[int, int]] = set()
-        for batch in batches:
+        for batch in _parts(batches):
             rows = []
             for found in shingle_sets(_texts(batch), size):
                 if not len(found):

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Bytes hashed at once; longer texts are cut at white space.
-PIECE = 1 << 20
+PIECE = 1 << 18
 _U = np.uint64
 _GAP = np.zeros(256, bool)
 _GAP[[32, 9, 10, 11, 12, 13]] = True
