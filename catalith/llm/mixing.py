@@ -46,6 +46,8 @@ CELLS = 1 << 14
 #: A cell counts if its rate in a domain differs from the others' by so many standard errors.
 LEAST_SHOWN = 3.5
 STEPS = 40
+#: Of the regression's squared weights: a small sample must not sound sure.
+PENALTY = 10.0
 #: Of a domain's target, times its unexplained over its explained variance: the slack ``R``.
 SLACK = 0.02
 CLOSE = 1e-6
@@ -126,7 +128,7 @@ class Classifier:
         z = np.hstack([(x - mean) / scale, np.ones((n, 1))])
         wanted = np.eye(k)[y]
         coef = np.zeros((z.shape[1], k))
-        ridge = np.full(z.shape[1], 1.0)
+        ridge = np.full(z.shape[1], PENALTY)
         ridge[-1] = 1e-3
         # A fixed bound of the curvature, so that every step lowers the loss.
         curve = np.linalg.inv(0.5 * (z.T @ z) + np.diag(ridge))

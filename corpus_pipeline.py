@@ -30,6 +30,8 @@ NEAR = jaccard.Likeness(size=5, num=80, den=100)
 
 #: Shares of tokens; poor documents are gone before the mixing.
 TARGETS = {"good": 0.95, "toxic": 0.05}
+#: Good documents get this much of the tokens they have, so that a rate a little off drops none.
+HEADROOM = 1.2
 
 
 def _columns(docs: DataFrame) -> list[str]:
@@ -66,7 +68,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mixing: each document as many times as its fitted rate says."""
     domain = F.when(F.col("toxic") == 1, "toxic").otherwise("good")
     labelled = read(spark, sf_dir, "labels").select("doc_id", domain.alias("domain"))
-    mixed = mixing.mix(docs, labelled, TARGETS)
+    mixed = mixing.mix(docs, labelled, TARGETS, headroom=HEADROOM)
     times = F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))
     return mixed.select(*_columns(docs), times.alias("_copy")).drop("_copy")
 
