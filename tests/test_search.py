@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from catalith import fixed
 from catalith.operators import nearest, search, stats, validate
-from catalith.session import scratch_path
 from checks.model import hashing_model
 from tests.conftest import rows
 
