@@ -372,21 +372,24 @@ def join(
         )
         sizes = groups.groupBy("grp").agg(F.count("*").alias("members"))
         prefixes = (
-            found.select("fa", "fb", "n", "prefix")
+            found.select("fa", "fb", "prefix")
             .groupBy("fa", "fb")
-            .agg(F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"))
-            .join(groups.join(sizes, "grp"), ["fa", "fb"])
+            .agg(F.any_value("prefix").alias("prefix"))
+            .join(named, ["fa", "fb"])
         )
         posted = scratch.settle(
-            prefixes.select("id", "grp", "members", "n", F.posexplode("prefix").alias("pos", "token")),
-            "postings",
+            prefixes.select("id", F.posexplode("prefix").alias("pos", "token")), "postings"
         )
-        # A token that one group alone holds joins nothing.
-        shared = posted.groupBy("token").agg(F.min("grp").alias("low"), F.max("grp").alias("high"))
-        postings = scratch.settle(
+        scratch.drop(found)
+        # A token that one class alone holds joins nothing.
+        shared = posted.groupBy("token").agg(F.min("id").alias("low"), F.max("id").alias("high"))
+        kept = scratch.settle(
             posted.join(shared.where("low <> high").select("token"), "token", "left_semi"), "shared"
         )
         scratch.drop(posted)
+        member_of = groups.join(sizes, "grp").join(classes.select("id", "n"), "id")
+        postings = scratch.settle(kept.join(member_of.drop("fa", "fb"), "id"), "matrix-rows")
+        scratch.drop(kept)
         opened = scratch.settle(_bounded(_opened(postings, like), classes, like), "opened")
         more = _verified(opened, tokens_of(sets_of(opened, False, "sets"), opened), like)
         joined = components(links.union(scratch.settle(more, "more")))
