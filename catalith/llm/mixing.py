@@ -19,7 +19,8 @@ numbers per domain, whatever the table.
 
 ``R`` is small for a domain that the probabilities tell apart (targets are then met to
 about a hundredth), and large for one they hardly do: a noisy guess must not decide which
-documents go.
+documents go. Such a target is missed: ``Fit`` says what each domain was to get and got, and whether the
+steps ended at the minimum; if they did not, a warning is given as well.
 
 Defined cases: a null or empty text has no tokens; it adds nothing to totals, and has a
 rate by its probabilities. Without labelled documents every domain is as likely. Labels of other
@@ -31,6 +32,8 @@ table gives an empty result. An input column named like a made one is replaced.
 from __future__ import annotations
 
 import json
+import warnings
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -203,10 +206,33 @@ def learn(
     return model
 
 
+@dataclass(frozen=True)
+class Fit:
+    """How the fit of the rates ended; tokens per domain, in the order of the targets."""
+
+    domains: list[str]
+    #: At a rate of 1 for all, by the targets, and by the rates.
+    has: list[float]
+    wanted: list[float]
+    reached: list[float]
+    slack: list[float]
+    steps: int
+    converged: bool
+
+
 def fit_rates(
     members: DataFrame, targets: list[float], budget: float | None, headroom: float
 ) -> tuple[DataFrame, list[float], list[float]]:
-    """``members`` (``n_tokens, posterior``) with ``rate``; totals reached and targets, in tokens.
+    """``members`` with ``rate``; totals reached and targets, in tokens."""
+    names = [str(k) for k in range(len(targets))]
+    rated, fit = rates_and_fit(members, dict(zip(names, targets)), budget, headroom)
+    return rated, fit.reached, fit.wanted
+
+
+def rates_and_fit(
+    members: DataFrame, targets: dict[str, float], budget: float | None, headroom: float
+) -> tuple[DataFrame, Fit]:
+    """``members`` (``n_tokens, posterior``) with ``rate``, and how the fit ended.
 
     Without a budget, the domain with the largest target weight gets ``headroom`` times
     the tokens it has, and the others follow by weight.
@@ -230,24 +256,31 @@ def fit_rates(
         return F.greatest(F.lit(1.0) - moved, F.lit(0.0))
 
     reached, gram = totals(F.lit(1.0))
-    share = np.array(targets, float) / sum(targets)
+    has = reached.tolist()
+    share = np.array(list(targets.values()), float) / sum(targets.values())
     lead = int(share.argmax())
     goal = share * (budget if budget is not None else headroom * reached[lead] / share[lead])
     slack = slack_of(reached, np.diag(gram), goal)
     shift = last = np.zeros(k)
     least = np.inf
-    for _ in range(STEPS):
+    steps = 0
+    while True:
         miss = reached - goal - slack * shift
         size = float(np.abs(miss).max())
-        if size <= CLOSE * max(goal.sum(), 1.0):
+        converged = size <= CLOSE * max(float(goal.sum()), 1.0)
+        if converged or steps == STEPS:
             break
+        steps += 1
         if size > least:  # went too far: halve the step
             shift = (shift + last) / 2
         else:
             least, last = size, shift
             shift = shift + np.linalg.solve(gram + np.diag(slack), miss)
         reached, gram = totals(rate_at(shift))
-    return members.withColumn("rate", F.round(rate_at(shift), 6)), reached.tolist(), goal.tolist()
+    fit = Fit(list(targets), has, goal.tolist(), reached.tolist(), slack.tolist(), steps, converged)
+    if not converged:
+        warnings.warn(f"the rates have not converged: {fit}", RuntimeWarning, stacklevel=2)
+    return members.withColumn("rate", F.round(rate_at(shift), 6)), fit
 
 
 def slack_of(has: np.ndarray, squares: np.ndarray, goal: np.ndarray) -> np.ndarray:
@@ -269,7 +302,21 @@ def mix(
     headroom: float = 1.1,
     keep_text: bool = True,
 ) -> DataFrame:
-    """``docs`` with ``n_tokens, posterior, rate, copies``.
+    """``docs`` with ``n_tokens, posterior, rate, copies``; see ``mix_and_fit``."""
+    return mix_and_fit(docs, labelled, targets, doc_id, text, budget, headroom, keep_text)[0]
+
+
+def mix_and_fit(
+    docs: DataFrame,
+    labelled: DataFrame,
+    targets: dict[str, float],
+    doc_id: str = "doc_id",
+    text: str = "text",
+    budget: float | None = None,
+    headroom: float = 1.1,
+    keep_text: bool = True,
+) -> tuple[DataFrame, Fit]:
+    """``docs`` with ``n_tokens, posterior, rate, copies``, and how the fit of the rates ended.
 
     ``labelled`` has ``doc_id, domain``; ``targets`` a weight per domain. ``posterior`` follows the
     order of ``targets``. ``copies`` is the rate as a whole number: rounded down, and one
@@ -282,7 +329,8 @@ def mix(
     with Scratch(docs.sparkSession, "mixing") as scratch:
         featured = features(docs, text, [*chosen, draw.alias("_mix_draw")])
         members = scratch.settle(model.posterior(featured), "members")
-        rated, _, _ = fit_rates(members, list(targets.values()), budget, headroom)
+        rated, fit = rates_and_fit(members, targets, budget, headroom)
         part = F.pmod(F.col("_mix_draw"), F.lit(1_000_000)) / 1e6
         copies = F.floor(F.col("rate")) + (part < F.col("rate") - F.floor("rate")).cast("long")
-        return settle(rated.withColumn("copies", copies.cast("long")).drop("_mix_draw"), "mixed")
+        mixed = settle(rated.withColumn("copies", copies.cast("long")).drop("_mix_draw"), "mixed")
+    return mixed, fit

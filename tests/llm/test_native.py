@@ -261,6 +261,24 @@ def test_mixing_leaves_documents_it_cannot_tell_apart(spark):
     assert all(0.8 < r["rate"] < 1.2 for r in rated.collect())
 
 
+def test_mixing_tells_what_the_domains_got(spark, monkeypatch):
+    docs = corpus(spark)
+    labelled = docs.where("rate IS NOT NULL").select("doc_id", F.col("rate").alias("domain"))
+    mixed, fit = mixing.mix_and_fit(docs, labelled, {"a": 0.3, "b": 0.7})
+    rows = mixed.collect()
+    totals = [sum(r["n_tokens"] * r["rate"] * r["posterior"][k] for r in rows) for k in range(2)]
+    assert fit.domains == ["a", "b"] and fit.reached == pytest.approx(totals, rel=1e-4)
+    assert fit.converged and fit.wanted[1] == pytest.approx(1.1 * fit.has[1])
+    unlike = [(10, [0.9 - k / 1000, 0.1 + k / 1000]) for k in range(20)]
+    members = spark.createDataFrame(unlike, "n_tokens long, posterior array<double>")
+    _, fit = mixing.rates_and_fit(members, {"a": 0.99, "b": 0.01}, None, 1.0)
+    assert fit.converged and fit.reached[1] > 5 * fit.wanted[1]  # a missed target is told
+    monkeypatch.setattr(mixing, "STEPS", 0)
+    with pytest.warns(RuntimeWarning, match="not converged"):
+        _, fit = mixing.rates_and_fit(members, {"a": 0.99, "b": 0.01}, None, 1.0)
+    assert not fit.converged and fit.steps == 0
+
+
 def test_mixing_without_labels_or_rows(spark):
     docs = corpus(spark)
     none = spark.createDataFrame([], "doc_id long, domain string")
