@@ -26,6 +26,28 @@ def others(df: DataFrame, made: Iterable[str]) -> list[Column]:
     return [F.col(f"`{name}`") for name in df.columns if name.lower() not in taken]
 
 
+def labelled_texts(
+    docs: DataFrame, labelled: DataFrame, most: int, doc_id: str, text: str, label: str
+) -> DataFrame:
+    """``doc_id``, the label and ``text`` of at most ``most`` labelled documents.
+
+    The sample takes the smallest hashes of the ids. However often an id and a label come in
+    either table, they give one row, with the text of the smallest hash; tasks reduce their rows to
+    these before any text moves. Null ids and labels are left out.
+    """
+    sample = (
+        labelled.select(F.col("doc_id"), F.col(label))
+        .where(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
+        .distinct()
+        .orderBy(F.xxhash64("doc_id"), "doc_id", label)
+        .limit(most)
+    )
+    given = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    first = F.min(F.struct(F.xxhash64("text").alias("place"), "text"))
+    rows = given.join(F.broadcast(sample), "doc_id").groupBy("doc_id", label).agg(first.alias("first"))
+    return rows.select("doc_id", label, F.col("first.text").alias("text"))
+
+
 def words_of(text: Column) -> Column:
     """Words between white space; null and blank texts have none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), GAPS), lambda word: word != "")

@@ -7,7 +7,8 @@ gives each line's probability of being good; their mean, weighted by length, is
 document's score.
 
 Learned from labelled documents, at most ``MOST_LABELLED`` of them (those with the smallest
-hash of their id); a line takes its document's label. The likelihood of the label sequences
+hash of their id) and ``MOST_LINES`` of their lines; a line takes its document's label. A document id
+counts once per label, however many rows have it. The likelihood of the label sequences
 is maximised on the driver, on this bounded sample. Scoring takes the whole texts, in
 groups of about a megabyte, all documents of a group at once.
 
@@ -28,10 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from catalith.llm.common import labelled_texts
 from catalith.llm.shingles import hash_words
+from catalith.session import Scratch
 
 #: Labelled documents that the model is fitted on, at most.
 MOST_LABELLED = 8_000
+#: Lines that the driver collects for it, at most. Documents come whole, by the hash of their id, up to
+#: the first that would go beyond; one that alone has more lines is passed over.
+MOST_LINES = 400_000
 ROUNDS = 400
 #: Bytes of text whose features are computed together.
 GROUP = 1 << 20
@@ -233,16 +239,23 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def learn(docs: DataFrame, labelled: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Chain:
     """Fit a chain on the documents whose id and ``label`` (0 or 1) are in ``labelled``."""
-    sample = (
-        labelled.select("doc_id", F.col("label").cast("int").alias("label"))
-        .where("doc_id IS NOT NULL AND label IS NOT NULL")
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "label")
-        .limit(MOST_LABELLED)
-    )
-    given = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    joined = given.join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text")
-    kind = given.schema["doc_id"].dataType.simpleString()
-    rows = joined.mapInArrow(_describe, f"doc_id {kind}, label int, features binary").collect()
+    given = labelled.select("doc_id", F.col("label").cast("int").alias("label"))
+    chosen = labelled_texts(docs, given, MOST_LABELLED, doc_id, text, "label")
+    kind = chosen.schema["doc_id"].dataType.simpleString()
+    with Scratch(docs.sparkSession, "lines") as scratch:
+        described = chosen.mapInArrow(_describe, f"doc_id {kind}, label int, features binary")
+        described = described.withColumns(
+            {
+                "lines": F.floor(F.octet_length("features") / (4 * FEATURES)),
+                "place": F.xxhash64("doc_id", "label"),
+            }
+        )
+        described = scratch.settle(described, "described").where(F.col("lines") <= MOST_LINES)
+        sizes = sorted(tuple(r) for r in described.select("place", "lines").collect())
+        fit_in = np.cumsum([lines for _, lines in sizes]) <= MOST_LINES
+        last = sizes[int(fit_in.sum()) - 1][0] if len(sizes) else 0
+        kept = described.where(F.col("place") <= last)
+        rows = kept.select("doc_id", "label", "features").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["label"], bytes(r["features"])))
     parts = [np.frombuffer(r["features"], "<f4").reshape(-1, FEATURES) for r in rows]
     features = np.vstack(parts).astype(np.float64) if parts else np.zeros((0, FEATURES))

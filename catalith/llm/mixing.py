@@ -7,7 +7,7 @@ gradient so that the expected tokens of each domain meet its target.
 Classifier: the distinct words of a text fall into hashed cells. Those that labelled documents
 show to tell domains apart have a weight per domain. A softmax regression takes the
 strongest weight and the sum per domain, and the shape of the text. The labelled sample is
-bounded (``MOST_LABELLED`` rows, those with the smallest hash of their id); one half shows
+bounded (``MOST_LABELLED`` rows, those with the smallest hash of their id, one per id and domain); one half shows
 the cells, the other fits the regression. The model is a table of fixed size.
 
 Fit: with tokens n, probabilities p, rates w and targets t, domain totals are ``sum(n w p)``.
@@ -40,7 +40,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from catalith.llm.common import others
+from catalith.llm.common import labelled_texts, others
 from catalith.session import Scratch, settle
 
 #: Labelled documents that the classifier is fitted on, at most.
@@ -171,14 +171,12 @@ def learn(
 
     One half of the sample shows which cells tell domains apart, the other fits the regression.
     """
-    sample = (
-        labelled.select(F.col("doc_id").alias("_mix_id"), F.col("domain").alias("_mix_domain"))
-        .where(F.col("_mix_id").isNotNull() & F.col("_mix_domain").isin(*domains))
-        .orderBy(F.xxhash64("_mix_id"), "_mix_id", "_mix_domain")
-        .limit(MOST_LABELLED)
+    known = labelled.where(F.col("domain").isin(*domains))
+    joined = labelled_texts(docs, known, MOST_LABELLED, doc_id, text, "domain").select(
+        F.col("doc_id").alias("_mix_id"),
+        F.col("domain").alias("_mix_domain"),
+        F.col("text").alias("_mix_text"),
     )
-    given = docs.select(F.col(f"`{doc_id}`").alias("_mix_id"), F.col(f"`{text}`").alias("_mix_text"))
-    joined = given.join(F.broadcast(sample), "_mix_id")
     place = {name: k for k, name in enumerate(domains)}
     with Scratch(docs.sparkSession, "mixing") as scratch:
         chosen = [F.col("_mix_id"), F.col("_mix_domain")]

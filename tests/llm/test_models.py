@@ -10,9 +10,10 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from catalith.llm import line_crf, queries, secrets, simple8b, tokens
+from catalith.llm import line_crf, mixing, queries, secrets, simple8b, tokens
 from catalith.session import scratch_path
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -201,6 +202,30 @@ def test_classifier_on_held_out_documents(spark):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in rows)
 
 
+def test_learning_is_bounded_in_documents_and_lines(spark, monkeypatch):
+    """An id with most of the rows, repeated labels and long texts do not reach the driver."""
+    rows = [(1, f"hot {k}\nline") for k in range(300)] + [(k, f"a {k}\nb\nc") for k in range(2, 40)]
+    docs = spark.createDataFrame([*rows, (40, "x\n" * 200)], "doc_id long, text string")
+    labels = [(k, k % 2) for k in range(1, 41)] * 3
+    labelled = spark.createDataFrame(labels, "doc_id long, label int")
+    seen = []
+    monkeypatch.setattr(line_crf, "fit", lambda f, c, y: seen.append((f, c, y)))
+    line_crf.learn(docs, labelled)
+    monkeypatch.setattr(line_crf, "MOST_LINES", 50)
+    line_crf.learn(docs, labelled)
+    line_crf.learn(docs.repartition(7), labelled)
+    (_, every, _), (features, counts, y), (again, *_) = seen
+    assert sorted(every.tolist()) == [2] + [3] * 38 + [201]
+    assert 45 <= counts.sum() == len(features) <= 50 and len(counts) == len(y)
+    assert np.array_equal(features, again)
+
+    taken = []
+    monkeypatch.setattr(mixing.Classifier, "fit", lambda self, x, y: taken.append(len(x)))
+    domains = labelled.select("doc_id", F.when(F.col("label") == 1, "a").otherwise("b").alias("domain"))
+    mixing.learn(docs, domains, ["a", "b"], "doc_id", "text")
+    assert 5 < taken[0] < 40
+
+
 def test_classifier_defined_cases(spark):
     docs = spark.createDataFrame(
         [(1, None, "a"), (1, "", "b"), (2, "x\n" * 5000, "c"), (None, "y", "d")], "doc_id long, text string, Score string"
