@@ -11,6 +11,10 @@ its class holds an address that a rule allows, it is allowed: an explicit allow
 before any block. Otherwise, if its class holds a blocked one, it is blocked; with
 neither, it is allowed.
 
+A target in a page is decoded (``&amp;``) and resolved against the page's address, or its ``<base href>``:
+relative paths, queries alone, dot segments. A target with dot segments and a scheme counts as it
+is written, too. One without a host, as ``mailto:``, is no link.
+
 Defined cases: a null address, or one without ``://``, has an empty host and path, fits
 no rule, has no aliases and is allowed. A null page text has no links. Repeated pages
 are judged each. An input column named like a made one is replaced.
@@ -18,11 +22,15 @@ are judged each. An input column named like a made one is replaced.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import reduce
+from html import unescape
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from catalith.llm.common import others
 from catalith.llm.components import components
@@ -89,6 +97,56 @@ def fitting_rule(host: Column, path: Column, rules: list[Rule], part: str) -> Co
     return reduce(lambda so_far, r: so_far.when(fits(r), getattr(r, part)), rest, begin)
 
 
+_PARTS = re.compile(r"(?s)(?:([A-Za-z][A-Za-z0-9+.-]*):)?(//[^/?#]*)?([^?#]*)(\?[^#]*)?(#.*)?")
+
+
+def _tidy(path: str) -> str:
+    """An absolute path without dot segments."""
+    parts, out = path.split("/")[1:], []
+    for part in parts:
+        if part == "..":
+            del out[-1:]
+        elif part != ".":
+            out.append(part)
+    if parts and parts[-1] in (".", ".."):
+        out.append("")
+    return "/" + "/".join(out)
+
+
+def resolve(base: str, target: str) -> str | None:
+    """The address that ``target`` means on a page at ``base`` (RFC 3986, 5.2); null without a host."""
+    scheme, host, path, query, fragment = _PARTS.fullmatch(target).groups(default="")
+    if scheme and not host:
+        return None
+    if not host:
+        own_scheme, host, own_path, own_query, _ = _PARTS.fullmatch(base).groups(default="")
+        scheme = own_scheme
+        if not path:
+            return f"{scheme}:{host}{own_path}{query or own_query}{fragment}" if scheme and len(host) > 2 else None
+        if not path.startswith("/"):
+            path = (own_path.rpartition("/")[0] if own_path else "") + "/" + path
+    elif not scheme:
+        scheme = _PARTS.fullmatch(base)[1] or "http"
+    if not scheme or len(host) < 3:
+        return None
+    return f"{scheme}:{host}{_tidy(path) if path else ''}{query}{fragment}"
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _addresses(source: pa.Array, base: pa.Array, target: pa.Array) -> pa.Array:
+    """The address of a target, and its own spelling where that differs."""
+    out = []
+    for page, start, name in zip(source.to_pylist(), base.to_pylist(), target.to_pylist()):
+        page, name = page or "", unescape(name).strip()
+        if start:
+            page = resolve(page, unescape(start).strip()) or page
+        made = [resolve(page, name)]
+        if made[0] and re.match(r"[A-Za-z][A-Za-z0-9+.-]*://", name) and name != made[0]:
+            made.append(name)
+        out.append(made if made[0] else [])
+    return pa.array(out, pa.list_(pa.string()))
+
+
 def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """``source, target``: the addresses that pages name as canonical or redirect to."""
     text = F.coalesce(F.col(html), F.lit(""))
@@ -100,15 +158,14 @@ def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
         F.when(text.rlike("(?i)http-equiv"), F.regexp_extract_all(text, F.lit(move), F.lit(1)))
         .otherwise(F.array().cast("array<string>")),
     )
-    links = pages.select(F.col(url).alias("source"), F.explode(found).alias("target"))
-    # A target without a scheme lies on the page's own host.
-    own = F.regexp_extract("source", r"(?s)^.*?://[^/?#]*", 0)
-    full = (
-        F.when(F.instr("target", "://") > 0, F.col("target"))
-        .when(F.col("target").startswith("//"), F.concat(F.lit("http:"), "target"))
-        .when(F.col("target").startswith("/"), F.concat(own, "target"))
+    start = r"(?is)<base\b[^>]*\bhref\s*=\s*[\"']?([^\"'\s>]+)"
+    base = F.when(text.rlike("(?i)<base"), F.regexp_extract(text, start, 1)).otherwise("")
+    links = pages.select(
+        F.col(url).alias("source"),
+        F.when(F.size(found) > 0, base).alias("base"),
+        F.explode(found).alias("target"),
     )
-    return links.select("source", full.alias("target"))
+    return links.select("source", F.explode(_addresses("source", "base", "target")).alias("target"))
 
 
 def judge(

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import random
+import re
+from html import unescape
+from urllib.parse import urljoin, urlsplit
 
 import pytest
 from pyspark.sql import functions as F
@@ -161,6 +164,60 @@ def test_url_explicit_allow_goes_before_a_carried_block(spark):
     assert verdicts(spark, pages) == [(1, "net/es/", "block"), (2, "com/", "allow"), (3, None, "allow")]
 
 
+def test_url_targets_are_resolved_like_the_library_does():
+    rng = random.Random(7)
+    pieces = ["a", "b.html", "..", ".", "c%20d", "é"]  # the library drops empty ones
+    bases = ["http://h.org", "http://h.org/", "https://h.org/x/y/z?q=1#f", "http://h.org/x/./y", "http://h.org/x/y/"]
+    for _ in range(3000):
+        path = "/".join(rng.choice(pieces) for _ in range(rng.randint(0, 5)))
+        head = rng.choice(["", "", "/", "../", "./"])
+        target = head + path.lstrip("/") + rng.choice(["", "?id=2", "?u=http://x.y/../z"]) + rng.choice(["", "#t"])
+        base = rng.choice(bases)
+        got, wanted = urls.resolve(base, target), urljoin(base, target)
+        if target.startswith("#") or not target:  # the library keeps the page's path as it is
+            assert got.split("#")[0].split("?")[0].startswith(base[:12])
+        else:
+            assert got == wanted, (base, target)
+    # The library leaves dot segments after a host of the target's own; RFC 3986 does not.
+    assert urls.resolve("https://h.org/x", "//o.net/./a/../b#t") == "https://o.net/b#t"
+    assert urls.resolve("https://h.org/x", "http://o.net/a/..") == "http://o.net/"
+    assert urls.resolve("http://h.org/", "mailto:x@y.z") is None and urls.resolve("x", "y") is None
+
+
+def test_url_links_by_relative_and_encoded_targets(spark):
+    blocked = "http://b.net/fr/"
+    texts = [
+        ("http://b.org/dir/p", '<link rel="canonical" href="index.html">'),
+        ("http://b.org/dir/sub/p", '<link rel="canonical" href="../index.html">'),
+        ("http://b.org/dir/q", "<meta http-equiv=refresh content='0; url=index.html?id=2&amp;x=1'>"),
+        ("http://b.org/dir/index.html", '<link rel="canonical" href="?id=2">'),
+        ("http://b.org/dir/index.html?x=1&id=2", f'<link rel="canonical" href="{blocked}a?r=1&#38;s=2">'),
+        ("http://b.org/dir/index.html?id=2", f'<base href="{blocked}x/"><link rel=canonical href="../a?s=2&amp;r=1">'),
+        ("http://b.org/other", '<link rel="canonical" href="mailto:a@b.net">'),
+        ("http://b.org/dots", f'<link rel="canonical" href="{blocked}x/../a?r=1&s=2">'),
+    ]
+    pages = [(k, url, html, 0) for k, (url, html) in enumerate(texts)]
+
+    # Brute force: links by the library, then classes by repeated passes.
+    def plain(url):
+        scheme, host, path, query, _ = urlsplit(url)
+        return host + path.rstrip("/") + ("?" + "&".join(sorted(query.split("&"))) if query else "")
+
+    links = []
+    for url, html in texts:
+        base = urljoin(url, unescape((re.findall(r'<base href="([^"]*)', html) or [""])[0]))
+        target = re.findall(r"(?:canonical\"? href=|url=)\"?([^\"'>]*)", html)[0]
+        links.append((plain(url), plain(urljoin(base, unescape(target)))))
+    lead = {n: n for pair in links for n in pair}
+    for _ in lead:
+        for a, b in links:
+            lead[a] = lead[b] = min(lead[a], lead[b])
+    carried = {lead[n] for n in lead if n.startswith(plain(blocked))}
+    wanted = [(k, None, "block" if lead[plain(url)] in carried else "allow") for k, (url, _) in enumerate(texts)]
+    assert verdicts(spark, pages) == wanted
+    assert [v for _, _, v in wanted] == ["block"] * 6 + ["allow", "block"]
+
+
 def test_url_given_redirects_spellings_and_defined_cases(spark):
     pages = [
         (1, "HTTP://WWW.Lone.org:80/p/?utm_source=a#top", None, 0),
