@@ -267,6 +267,59 @@ SELECT conv_id, count(*) AS n_turns,
 FROM loss GROUP BY conv_id"""
 
 
+def _filter_audit() -> str:
+    before = "len(list_filter(range(1, step), lambda k: CASE o[k] {tests} END)) > 0"
+    tests = " ".join(f"WHEN '{letter}' THEN {letter}" for letter in "ABCDE")
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, {_split("t")} AS w, doc_id > min(doc_id) OVER (PARTITION BY t) AS twin FROM d),
+said AS (
+  SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+flags AS (
+  SELECT part, len(w) < 200 AS A, 100 * len(list_distinct(w)) < 50 * len(w) AS B,
+    100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 3 * length(t) AS C,
+    regexp_matches(t, '[#$%&*|]') AS D, coalesce(twin, false) AS E,
+    coalesce(good, false) AS good, coalesce(toxic, false) AS toxic
+  FROM w LEFT JOIN said USING (doc_id)),
+counted AS (SELECT part, A, B, C, D, E, good, toxic, count(*) AS n FROM flags GROUP BY ALL),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS o FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps AS (SELECT o, s AS step, o[s] AS filter FROM orders, range(1, 6) r(s)),
+applied AS (
+  SELECT part, o, step, filter, n, good, toxic, CASE filter {tests} END AS fails,
+    {before.format(tests=tests)} AS gone, A::INT + B::INT + C::INT + D::INT + E::INT AS failed
+  FROM counted, steps),
+told AS (
+  SELECT part, o AS filter_order, step::INT AS step, filter,
+    coalesce(sum(n) FILTER (NOT gone AND NOT fails), 0)::BIGINT AS kept,
+    coalesce(sum(n) FILTER (fails AND NOT gone), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (fails AND gone), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (fails AND failed = 1), 0)::BIGINT AS unique_fails,
+    coalesce(sum(n) FILTER (fails AND NOT gone AND good), 0)::BIGINT AS good_lost,
+    coalesce(sum(n) FILTER (fails AND NOT gone AND toxic), 0)::BIGINT AS toxic_lost
+  FROM applied GROUP BY part, o, step, filter)
+SELECT *, (sum(removed) OVER (PARTITION BY part, filter))::BIGINT AS shapley FROM told"""
+
+
+_LINE_DEDUP = rf"""
+WITH d AS (SELECT row_number() OVER () AS place, doc_id, coalesce(text, '') AS t FROM documents),
+split AS (SELECT place, doc_id, string_split(t, chr(10)) AS l FROM d),
+lines AS (
+  SELECT place, doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS k FROM split),
+keyed AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{_UPPER}', '{_LOWER}') AS key
+  FROM lines),
+judged AS (
+  SELECT *, length(key) >= 10 AND coalesce(doc_id > min(doc_id) OVER (PARTITION BY key),
+    min(doc_id) OVER (PARTITION BY key) IS NOT NULL) AS dropped
+  FROM keyed)
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT dropped), '')) AS kept_sha256
+FROM judged GROUP BY place"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_pii": _pii(),
@@ -275,4 +328,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_ngram_jaccard": _JACCARD,
         "op7_url_filters": _urls(),
         "op8_chat_formatting": _CHAT,
+        "op12_filter_audit": _filter_audit(),
+        "op13_line_dedup": _LINE_DEDUP,
     }

@@ -8,7 +8,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalith.llm import chat, decontam, jaccard, line_crf, mixing, pii, quality_rules, secrets, tokens, urls
+from catalith.llm import (
+    chat,
+    decontam,
+    filter_audit,
+    jaccard,
+    line_crf,
+    line_dedup,
+    mixing,
+    pii,
+    quality_rules,
+    secrets,
+    tokens,
+    urls,
+)
 from catalith.llm.common import read
 from catalith.session import scratch_path, settle
 
@@ -183,6 +196,21 @@ def op10_mixing(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op12_filter_audit(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read(spark, sf, "documents").select("doc_id", "text", "lang")
+    return filter_audit.audit(docs, read(spark, sf, "labels"))
+
+
+def op13_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    judged = line_dedup.dedup(read(spark, sf, "documents").select("doc_id", "text"))
+    return judged.select(
+        "doc_id",
+        "n_lines",
+        "n_dropped",
+        F.sha2(line_dedup.apply_keep(F.col("text"), F.col("keep")), 256).alias("kept_sha256"),
+    )
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_pii": op1_pii,
@@ -195,4 +223,6 @@ def queries() -> dict[str, Query]:
         "op8_chat_formatting": op8_chat_formatting,
         "op9_quality_classifier": op9_quality_classifier,
         "op10_mixing": op10_mixing,
+        "op12_filter_audit": op12_filter_audit,
+        "op13_line_dedup": op13_line_dedup,
     }
