@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalith.llm import (
+    alignment,
     chat,
     decontam,
     filter_audit,
@@ -196,6 +197,14 @@ def op10_mixing(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op11_cross_tokenizer(spark: SparkSession, sf: str) -> DataFrame:
+    paths = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    found = alignment.align_documents(read(spark, sf, "documents").select("doc_id", "text"), *paths)
+    return found.select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"
+    )
+
+
 def op12_filter_audit(spark: SparkSession, sf: str) -> DataFrame:
     docs = read(spark, sf, "documents").select("doc_id", "text", "lang")
     return filter_audit.audit(docs, read(spark, sf, "labels"))
@@ -223,6 +232,7 @@ def queries() -> dict[str, Query]:
         "op8_chat_formatting": op8_chat_formatting,
         "op9_quality_classifier": op9_quality_classifier,
         "op10_mixing": op10_mixing,
+        "op11_cross_tokenizer": op11_cross_tokenizer,
         "op12_filter_audit": op12_filter_audit,
         "op13_line_dedup": op13_line_dedup,
     }

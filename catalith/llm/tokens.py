@@ -53,7 +53,7 @@ _BY_WORDS = (
 )
 
 
-def _printable_bytes() -> dict[int, str]:
+def printable_bytes() -> dict[int, str]:
     """The characters by which byte-level vocabularies spell bytes."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     others = [b for b in range(256) if b not in plain]
@@ -84,7 +84,7 @@ class Encoder:
         special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.odd = re.compile(b"|".join([b"\x00", *map(re.escape, special)])).search
         self.firsts = list({b"\x00", *(s[:1] for s in special)})
-        self.spelling = _printable_bytes()
+        self.spelling = printable_bytes()
         self.words: dict[bytes, bytes] = {}
         self.tails: dict[bytes, bytes] = {b"": b""}
 
