@@ -33,6 +33,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,7 +47,7 @@ FAN = 16
 #: Pairs that every task holds.
 HELD = 1 << 20
 #: Bytes of texts aligned at once.
-TOGETHER = 1 << 21
+TOGETHER = 1 << 18
 #: Groups with more links than this are counted by their distinct ids.
 WIDE = 1 << 14
 #: B ids take the lower bits of a pair's code.
@@ -355,16 +356,15 @@ def _align_short(paths: tuple[str, str]):
         code = coder(paths)
         for batch in batches:
             fields = [batch.schema.field("doc_id"), *_DONE_FIELDS]
-            ids = batch.column("doc_id").to_pylist()
-            texts = [text or "" for text in batch.column("text").to_pylist()]
+            sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy()
+            upto = np.cumsum(sizes, dtype=np.int64)
             at = 0
-            while at < len(texts):
-                to, room = at, TOGETHER
-                while to < len(texts) and (to == at or len(texts[to]) < room):
-                    room -= len(texts[to])
-                    to += 1
-                done = align_whole(texts[at:to], code)
-                yield _batch([[k, *_done_row(c)] for k, c in zip(ids[at:to], done, strict=True)], fields)
+            while at < len(sizes):
+                to = max(at + 1, int(np.searchsorted(upto, upto[at] - sizes[at] + TOGETHER, "right")))
+                some = batch.slice(at, to - at)
+                ids, texts = (some.column(name).to_pylist() for name in ("doc_id", "text"))
+                done = align_whole([text or "" for text in texts], code)
+                yield _batch([[k, *_done_row(c)] for k, c in zip(ids, done, strict=True)], fields)
                 at = to
 
     return run
