@@ -1,9 +1,10 @@
 """Nearest rows by cosine similarity, exact, for tables of queries and of rows.
 
-Queries are stored once, in blocks of bounded size that group equal filters. Rows stay
-where they lie: a task streams its rows past a block, scores only those that pass a
-query's filters, and sends on its best ``k`` per query. No vector of the corpus is
-shuffled. The best of all tasks are found in two steps.
+Up to ``QUERY_BLOCK`` queries go to all tasks, and rows stay where they lie: a task streams its rows
+past the queries, scores only those that pass a query's filters, and sends on its best ``k`` per
+query. More queries are dealt into blocks that group equal filters, rows into parts, and
+Spark brings each block together with each part in a task of its own; none of them passes the
+driver. The best of all tasks are found in two steps.
 """
 
 from __future__ import annotations
@@ -20,8 +21,11 @@ from pyspark.sql import types as T
 from catalith import fixed
 from catalith.session import settle
 
-#: Queries that go to the tasks at once.
+#: Queries that go to the tasks at once, and those of a block beyond that.
 QUERY_BLOCK = 4096
+#: Rows that meet a block in one task: at most so many on average, and no fewer than are worth a task.
+PART_ROWS = 50_000
+LEAST_ROWS = 2_000
 #: Parts in which a query's finds are ranked before all of them are.
 PARTS = 16
 # Scores below every cosine: a row without a direction ranks last, one that a
@@ -178,54 +182,96 @@ def _groups(asked: pa.Table) -> list[_Group]:
     ]
 
 
+def _best_of(asked: pa.Table, batches: Iterator[pa.RecordBatch], k: int) -> pa.Table | None:
+    """Best ``k`` of the rows per query asked; None if there are no rows."""
+    vectors = vectors_of(asked)
+    groups = _groups(asked)
+    wanted, has = _FLOOR
+    floors = None
+    if wanted in asked.column_names:
+        floors = np.array([np.nan if v is None else v for v in asked.column(wanted).to_pylist()])
+    best: Match | None = None
+    id_type = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        id_type = batch.schema.field("id").type
+        codes = {}
+        for column in {c for g in groups for c in g.wanted}:
+            coded = pc.dictionary_encode(batch.column(column))
+            known = {v: i for i, v in enumerate(coded.dictionary.to_pylist())}
+            codes[column] = (coded.indices.fill_null(-1).to_numpy(zero_copy_only=False), known)
+        ratings = None
+        if floors is not None and not np.isnan(floors).all():
+            given = batch.column(has).cast(pa.float64())
+            ratings = given.to_numpy(zero_copy_only=False)
+        rows = matrix_of(batch.column("embedding"))
+        hits = [] if best is None else [best]
+        for group in groups:
+            at = group.rows(codes, batch.num_rows)
+            if not len(at):
+                continue
+            allowed = None
+            if ratings is not None:
+                floor = floors[group.places]
+                allowed = np.isnan(floor)[:, None] | (ratings[at][None, :] >= floor[:, None])
+            ids = pa.chunked_array([batch.column("id").take(pa.array(at))])
+            place, found, scores = best_matches(vectors[group.places], ids, rows[at], k, allowed)
+            hits.append((group.places[place], found, scores))
+        if hits:
+            joined = tuple(np.concatenate(part) for part in zip(*hits))
+            best = _best_per_query(*joined, k)
+    if best is None:
+        return None
+    return match_table(best, asked.column("query_id").combine_chunks(), id_type)
+
+
 def _score(block, k: int):
-    """Best ``k`` rows of a task per query of the block."""
+    """Best ``k`` rows of a task per query of the one block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked: pa.Table = block.value
-        vectors = vectors_of(asked)
-        groups = _groups(asked)
-        wanted, has = _FLOOR
-        floors = None
-        if wanted in asked.column_names:
-            floors = np.array([np.nan if v is None else v for v in asked.column(wanted).to_pylist()])
-        best: Match | None = None
-        id_type = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            id_type = batch.schema.field("id").type
-            codes = {}
-            for column in {c for g in groups for c in g.wanted}:
-                coded = pc.dictionary_encode(batch.column(column))
-                known = {v: i for i, v in enumerate(coded.dictionary.to_pylist())}
-                codes[column] = (coded.indices.fill_null(-1).to_numpy(zero_copy_only=False), known)
-            ratings = None
-            if floors is not None and not np.isnan(floors).all():
-                given = batch.column(has).cast(pa.float64())
-                ratings = given.to_numpy(zero_copy_only=False)
-            rows = matrix_of(batch.column("embedding"))
-            hits = [] if best is None else [best]
-            for group in groups:
-                at = group.rows(codes, batch.num_rows)
-                if not len(at):
-                    continue
-                allowed = None
-                if ratings is not None:
-                    floor = floors[group.places]
-                    allowed = np.isnan(floor)[:, None] | (ratings[at][None, :] >= floor[:, None])
-                ids = pa.chunked_array([batch.column("id").take(pa.array(at))])
-                place, found, scores = best_matches(vectors[group.places], ids, rows[at], k, allowed)
-                hits.append((group.places[place], found, scores))
-            if hits:
-                joined = tuple(np.concatenate(part) for part in zip(*hits))
-                best = _best_per_query(*joined, k)
-        if best is not None:
-            yield from match_table(best, asked.column("query_id").combine_chunks(), id_type).to_batches()
+        found = _best_of(block.value, batches, k)
+        if found is not None:
+            yield from found.to_batches()
+
+    return run
+
+
+def _score_part(k: int):
+    """Best ``k`` rows of a part per query of a block."""
+
+    def run(asked: pa.Table, rows: pa.Table) -> pa.Table:
+        found = _best_of(asked, rows.to_batches(), k) if asked.num_rows else None
+        if found is not None:
+            return found
+        none = (asked.schema.field("query_id").type, rows.schema.field("id").type, pa.float64())
+        return pa.table([pa.array([], t) for t in none], names=["query_id", "id", "similarity"])
 
     return run
 
 
+def _in_a_grid(queries: DataFrame, rows: DataFrame, k: int, blocks: int, schema: T.StructType) -> DataFrame:
+    """Every block of queries beside every part of the rows."""
+    n_rows = rows.count()
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    parts = max(-(-n_rows // PART_ROWS), min(-(-2 * cores // blocks), -(-n_rows // LEAST_ROWS)), 1)
+    filters = [n for n in EQUAL if n in queries.columns]
+    stored = settle(
+        queries.repartitionByRange(blocks, *filters, "query_id").withColumn("_block", F.spark_partition_id()),
+        "queries",
+    )
+    # Ids are distinct, so ranges over filters and id are of about one size.
+    asked = stored.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    dealt = rows.withColumns(
+        {
+            "_part": F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"),
+            "_block": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))),
+        }
+    )
+    key = ["_block", "_part"]
+    return asked.groupBy(*key).cogroup(dealt.groupBy(*key)).applyInArrow(_score_part(k), schema)
+
+
 def rank_many(queries: DataFrame, rows: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
     """``query_id, rank, id, similarity`` of the best ``k`` rows of every query.
 
@@ -233,31 +279,22 @@ def rank_many(queries: DataFrame, rows: DataFrame, k: int, block: int = QUERY_BL
     ``embedding`` and the columns these compare with. Both should be stored.
     """
     spark = rows.sparkSession
-    count = queries.count()
-    if queries.select("query_id").distinct().count() != count:
+    sizes = queries.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("query_id").alias("ids")).first()
+    if sizes["ids"] != sizes["n"]:
         raise ValueError("query ids are repeated")
-    filters = [n for n in EQUAL if n in queries.columns]
-    blocks = -(-count // block) or 1
-    stored = settle(
-        queries.repartitionByRange(blocks, *filters, "query_id").withColumn(
-            "_block", F.spark_partition_id()
-        ),
-        "queries",
-    )
-    scored = spark.createDataFrame([], match_schema(queries, rows))
-    for number in range(blocks):
-        part = stored.where(F.col("_block") == number).drop("_block").toArrow()
-        for start in range(0, part.num_rows, block):
-            asked = part.slice(start, block).combine_chunks()
-            fit = rows
-            for name in filters:  # a filter all queries of the block have reaches the scan
-                values = set(asked.column(name).to_pylist())
-                if None not in values:
-                    fit = fit.where(F.col(EQUAL[name]).isin(*values))
-            found = fit.mapInArrow(
-                _score(spark.sparkContext.broadcast(asked), k), match_schema(queries, rows)
-            )
-            scored = scored.unionByName(found)
+    schema = match_schema(queries, rows)
+    if sizes["n"] == 0:
+        scored = spark.createDataFrame([], schema)
+    elif sizes["n"] <= block:
+        asked = queries.toArrow().combine_chunks()  # no more than a block
+        fit = rows
+        for name in EQUAL:  # a filter all queries have reaches the scan
+            values = set(asked.column(name).to_pylist()) if name in queries.columns else {None}
+            if None not in values:
+                fit = fit.where(F.col(EQUAL[name]).isin(*values))
+        scored = fit.mapInArrow(_score(spark.sparkContext.broadcast(asked), k), schema)
+    else:
+        scored = _in_a_grid(queries, rows, k, -(-sizes["n"] // block), schema)
     order = [F.col("similarity").desc_nulls_last(), F.col("id")]
     salted = scored.withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(PARTS)))
     first = Window.partitionBy("query_id", "_part").orderBy(*order)

@@ -105,6 +105,18 @@ def group_quantiles(
     """
     keys = list(keys)
     counts = settle(value_counts_by(df, keys, value), "value-counts")
+    return quantiles_of_counts(counts, keys, value, probabilities, window_values)
+
+
+def quantiles_of_counts(
+    counts: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    probabilities: Sequence[float],
+    window_values: int = WINDOW_VALUES,
+) -> DataFrame:
+    """The same from stored ``keys, value, n``, each value of a group once."""
+    keys = list(keys)
     sizes = counts.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_distinct"), F.sum("n").alias("_total")
     )

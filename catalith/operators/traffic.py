@@ -41,7 +41,7 @@ def seconds_in(length: str) -> int:
     return int(count) * sizes[unit.rstrip("s")]
 
 
-def _measures() -> list[Column]:
+def measures() -> list[Column]:
     """Everything the windows report, as sums of counters."""
     return [
         F.count(F.lit(1)).alias("requests"),
@@ -66,18 +66,18 @@ def window_measures(
     """
     slide = slide or window
     panes = requests
-    measures = _measures()
+    counters = measures()
     if not requests.isStreaming and slide != window and not seconds_in(window) % seconds_in(slide):
         panes = (
             requests.groupBy(F.window("ts", slide).alias("_pane"), *by)
-            .agg(*measures)
+            .agg(*counters)
             .withColumn("ts", F.col("_pane.start"))
         )
         names = ("requests", "errors", *_COUNTERS)
-        measures = [F.sum(name).alias(name) for name in names]
+        counters = [F.sum(name).alias(name) for name in names]
     return (
         panes.groupBy(F.window("ts", window, slide).alias("_window"), *by)
-        .agg(*measures)
+        .agg(*counters)
         .withColumn("window_start", F.col("_window.start"))
         .drop("_window")
     )
@@ -143,7 +143,7 @@ def tool_p95(
 
 def latency_histogram(requests: DataFrame, by: Sequence[str] = ("tool",)) -> DataFrame:
     """``*by, le, n``: requests no slower than each bound; the last one is all."""
-    counted = requests.groupBy(*by).agg(*_measures())
+    counted = requests.groupBy(*by).agg(*measures())
     labels = [f"{bound:g}" for bound in fixed.LATENCY_BOUNDS] + ["+Inf"]
     columns = [*_COUNTERS, "requests"]
     return counted.select(
@@ -176,6 +176,18 @@ ALARMS = (
 )
 
 
+def breaches(measured: DataFrame, at: str, alarms: Sequence[tuple[str, str, float]]) -> DataFrame:
+    """``at, alarm``: the measured periods in breach, once per alarm."""
+    over = [
+        F.when(F.col(metric) > F.lit(float(limit)), F.lit(name)) for name, metric, limit in alarms
+    ]
+    return (
+        measured.withColumn("p95", histogram_quantile(0.95))
+        .select(at, F.explode(F.array(*over)).alias("alarm"))
+        .where(F.col("alarm").isNotNull())
+    )
+
+
 def alerts(
     requests: DataFrame,
     period: str = "1 minute",
@@ -189,18 +201,7 @@ def alerts(
     a period without requests does not. Only periods in breach are kept, and each
     counts for itself and the periods after it that still look back on it.
     """
-    measured = window_measures(requests, period).withColumn("p95", histogram_quantile(0.95))
-    breaching = measured.select(
-        "window_start",
-        F.explode(
-            F.array(
-                *[
-                    F.when(F.col(metric) > F.lit(float(limit)), F.lit(name))
-                    for name, metric, limit in alarms
-                ]
-            )
-        ).alias("alarm"),
-    ).where(F.col("alarm").isNotNull())
+    breaching = breaches(window_measures(requests, period), "window_start", alarms)
     length = F.make_dt_interval(secs=F.lit(seconds_in(period)))
     return (
         breaching.withColumn("_after", F.explode(F.sequence(F.lit(0), F.lit(evaluated - 1))))
@@ -211,6 +212,35 @@ def alerts(
     )
 
 
+def changes(on: DataFrame, at: str, period: str) -> DataFrame:
+    """``alarm, at, state`` from the periods alarms are on; ``at`` is a time in the period.
+
+    Windows of two periods each: where only the later one is on, the alarm went on, and
+    where only the earlier one is, it went off. No alarm's history is gathered.
+    """
+    seconds = seconds_in(period)
+    pair = F.window(at, f"{2 * seconds} seconds", f"{seconds} seconds")
+    middle = F.col("_pair.start") + F.make_dt_interval(secs=F.lit(seconds))
+    return (
+        on.groupBy("alarm", pair.alias("_pair"))
+        .agg(F.count(F.lit(1)).alias("n"), F.min(at).alias("first"))
+        .where(F.col("n") == 1)
+        .select(
+            "alarm",
+            middle.alias("at"),
+            F.when(F.col("first") < middle, "off").otherwise("on").alias("state"),
+        )
+    )
+
+
+def alarm_changes(on: DataFrame, period: str = "1 minute") -> DataFrame:
+    """``alarm, at, state``: when each alarm goes on and off, from the periods of ``alerts``.
+
+    An alarm goes off with the first period after the last one it is on.
+    """
+    return changes(on, "period_start", period)
+
+
 def quota_counts(
     requests: DataFrame, limit: int = fixed.QUOTA_PER_MINUTE, window: str = "1 minute"
 ) -> DataFrame:

@@ -18,7 +18,7 @@ from catalith.operators.reports import union_reports
 from catalith.session import build_session, scratch_path, scratch_scope, settle
 from catalith.sources.export import write_report
 from catalith.sources.raw import read_raw
-from catalith.sources.snapshots import SnapshotTable, StaleBase
+from catalith.sources.snapshots import SnapshotTable, StaleBase, buckets_for
 
 #: Times a load merges anew because another was committed first.
 TRIES = 5
@@ -47,24 +47,39 @@ def load(
     order: str = "row_pos",
     vectors: DataFrame | None = None,
     tries: int = TRIES,
-) -> tuple[int, DataFrame]:
+    batch_of: tuple[str, int] | None = None,
+) -> tuple[int, DataFrame | None]:
     """Merge embedded rows into the table; the new version and the load report.
 
     The rows should be stored: they are read once for the load and once for its
     report. Vectors that come apart are joined on ``order`` first; a row or a vector left
     over fails the load. Only the buckets the batch falls in are read and written again.
-    When another load is committed meanwhile, the batch is merged again on top of it.
+    When another load is committed meanwhile, the batch is merged again on top of it. A table that
+    would outgrow its buckets fourfold is dealt over more of them.
+
+    ``batch_of`` names the batch by its source and number. The table's ledger keeps them, and a
+    batch it has already is left out; there is no report then.
     """
+    if batch_of and table.has_batch(*batch_of):
+        return table.latest(), None
     if vectors is not None:
         rows = upsert.attach_vectors(rows, vectors, order)
     batch = settle(upsert.bind(upsert.loadable(rows, order), pipeline_version), "batch")
-    place = table.bucket_of(upsert.item_id(F.col("title"), F.col("release_year")))
-    touched = [r["b"] for r in batch.select(place.alias("b")).distinct().collect()]
+    of_batch = upsert.item_id(F.col("title"), F.col("release_year"))
     for left in reversed(range(tries)):
         base = table.latest()
-        merged = upsert.merge(table.read(base, touched) if base else None, batch, run_at)
+        if batch_of and table.has_batch(*batch_of):
+            return base, None  # another run of this batch came first
+        wide = buckets_for(table.rows() + batch.count())
         try:
-            version = table.write(merged, base, touched)
+            if base == 0 or wide > 4 * table.buckets():
+                merged = upsert.merge(table.read(base) if base else None, batch, run_at)
+                version = table.write(merged, base, width=max(wide, table.buckets()), batch=batch_of)
+            else:
+                place = table.bucket_of(of_batch).alias("b")
+                touched = [r["b"] for r in batch.select(place).distinct().collect()]
+                merged = upsert.merge(table.read(base, touched), batch, run_at)
+                version = table.write(merged, base, touched, batch=batch_of)
             break
         except StaleBase:
             if not left:

@@ -144,6 +144,18 @@ class Scratch:
         self.remove()
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def child_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder; none if there is no such folder."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [status.getPath().getName() for status in files.listStatus(where)] if files.exists(where) else []
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     """Delete a folder wherever it lies."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -8,6 +8,9 @@ files that no list names.
 Every write says which snapshot it is based on. Lists are put in place by a rename that does
 not replace, so of two writers with the same base one fails with ``StaleBase``, and must
 merge again on what the other left.
+
+A list also holds the ledger: per source of batches, the last one the snapshot has. It is committed
+with the data, so a batch that is offered again is recognised.
 """
 
 from __future__ import annotations
@@ -23,8 +26,10 @@ from pyspark.sql import types as T
 
 from catalith.session import delete_path
 
-#: Buckets of a new table. A table keeps the number it began with.
+#: The fewest buckets of a table.
 BUCKETS = 16
+#: Rows a bucket should have. A table that outgrows its buckets is dealt over more of them.
+BUCKET_ROWS = 100_000
 _FILTERED = ("decade", "major_genre", "mpaa_rating", "imdb_rating")
 _TITLE = "_title_lower"
 
@@ -33,6 +38,11 @@ class StaleBase(RuntimeError):
     """The table moved on since the snapshot a write was based on."""
 
 
+def buckets_for(rows: int) -> int:
+    """How many buckets a table of so many rows calls for: a power of two."""
+    return max(BUCKETS, 1 << max(0, -(-rows // BUCKET_ROWS) - 1).bit_length())
+
+
 class SnapshotTable:
     def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS) -> None:
         self._spark = spark
@@ -64,17 +74,29 @@ class SnapshotTable:
     def manifest(self, version: int) -> dict:
         """``buckets``, ``schema``, and the write that holds each filled bucket."""
         if version == 0:
-            return {"buckets": self._new_buckets, "schema": None, "writes": {}}
+            return {"buckets": self._new_buckets, "schema": None, "writes": {}, "rows": {}, "ledger": {}}
         lines = self._spark.read.text(f"{self.path}/commits/{version}.json", wholetext=True)
         return json.loads(lines.first()["value"])
 
     def buckets(self) -> int:
         return self.manifest(self.latest())["buckets"]
 
-    def bucket_of(self, item_id: Column) -> Column:
+    def rows(self) -> int:
+        """Rows of the last snapshot, by its list."""
+        return sum(self.manifest(self.latest())["rows"].values())
+
+    def last_batch(self, source: str) -> int | None:
+        """The last batch of a source that the last snapshot has."""
+        return self.manifest(self.latest())["ledger"].get(source)
+
+    def has_batch(self, source: str, number: int) -> bool:
+        last = self.last_batch(source)
+        return last is not None and number <= last
+
+    def bucket_of(self, item_id: Column, buckets: int | None = None) -> Column:
         """The bucket of an id: its first 32 bits, modulo the number of buckets."""
         bits = F.conv(F.substring(item_id, 1, 8), 16, 10).cast("bigint")
-        return F.pmod(F.coalesce(bits, F.lit(0)), F.lit(self.buckets())).cast("int")
+        return F.pmod(F.coalesce(bits, F.lit(0)), F.lit(buckets or self.buckets())).cast("int")
 
     def _read(self, version: int, buckets: Sequence[int] | None, hidden: bool) -> DataFrame | None:
         listed = self.manifest(version)
@@ -113,25 +135,35 @@ class SnapshotTable:
         return rows.where(same).drop(_TITLE)
 
     def write(
-        self, df: DataFrame, based_on: int, buckets: Sequence[int] | None = None
+        self,
+        df: DataFrame,
+        based_on: int,
+        buckets: Sequence[int] | None = None,
+        width: int | None = None,
+        batch: tuple[str, int] | None = None,
     ) -> int:
         """Store rows as the snapshot after ``based_on``; the new number.
 
         With ``buckets``, the rows replace these and the others stay as they are; without,
-        they are the whole table. Files are sorted by the columns searches filter on.
-        Raises ``StaleBase`` when another write was committed since.
+        they are the whole table, which may then be dealt over ``width`` buckets. ``batch``
+        (source, number) enters the ledger. Rows are gathered by bucket; where a bucket is large,
+        Spark splits it over several tasks and files. Files are sorted by the columns searches
+        filter on. Raises ``StaleBase`` when another write was committed since.
         """
+        if buckets is not None and width is not None:
+            raise ValueError("only a whole table can get another number of buckets")
         if self.latest() != based_on:
             raise StaleBase(f"based on snapshot {based_on}, but {self.latest()} is committed")
         listed = self.manifest(based_on)
         name = uuid.uuid4().hex
         folder = f"{self.path}/data/{name}"
-        rows = df.withColumn("bucket", self.bucket_of(F.col("id")))
+        width = width or listed["buckets"]
+        rows = df.withColumn("bucket", self.bucket_of(F.col("id"), width))
         if "title" in df.columns:
             rows = rows.withColumn(_TITLE, F.lower("title"))
         schema = rows.drop("bucket").schema
         by = ["bucket", *(c for c in _FILTERED if c in df.columns)]
-        writer = rows.repartition("bucket").sortWithinPartitions(*by).write.partitionBy("bucket")
+        writer = rows.hint("rebalance", "bucket").sortWithinPartitions(*by).write.partitionBy("bucket")
         for column in ("id", _TITLE):
             writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
         writer.parquet(folder)
@@ -142,10 +174,14 @@ class SnapshotTable:
         if buckets is not None and not {int(b) for b in found} <= set(buckets):
             delete_path(self._spark, folder)
             raise ValueError("rows outside the buckets they replace")
+        counted = self._spark.read.schema(rows.schema).parquet(folder).groupBy("bucket").count() if found else None
+        sizes = {str(r["bucket"]): r["count"] for r in counted.collect()} if counted else {}
         made = {
-            "buckets": listed["buckets"],
+            "buckets": width,
             "schema": schema.json(),
             "writes": kept | {b: name for b in found},
+            "rows": {b: listed["rows"][b] for b in kept} | sizes,
+            "ledger": listed["ledger"] | ({batch[0]: batch[1]} if batch else {}),
         }
         try:
             self._commit(based_on + 1, json.dumps(made))

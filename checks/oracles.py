@@ -570,6 +570,32 @@ _QUOTA = """SELECT user_id, time_bucket(INTERVAL 1 DAY, ts) AS window_start, cou
   count(*) - 4 AS rejected FROM log GROUP BY ALL HAVING count(*) > 4"""
 
 
+_ALERTS = f"""WITH log AS ({_LOG}), periods AS (
+  SELECT time_bucket(INTERVAL 1 HOUR, ts) AS w, count(*) AS n,
+    count(*) FILTER (WHERE failed) AS errors, {_BUCKETS} FROM log GROUP BY 1),
+measured AS (SELECT *, {_bucket_quantile(0.95)} AS p95 FROM periods),
+breaches AS (SELECT 'p95_latency' AS alarm, w FROM measured WHERE p95 > 0.2 UNION ALL
+  SELECT 'backend_errors', w FROM measured WHERE errors > 4 UNION ALL
+  SELECT 'balancer_errors', w FROM measured WHERE errors > 2)
+SELECT alarm, w + INTERVAL 1 HOUR * step AS period_start, count(*) AS breaches
+FROM breaches, (SELECT unnest(range(5)) AS step) GROUP BY ALL HAVING count(*) >= 3"""
+
+_CHANGES = f"""WITH alerts AS ({_ALERTS}), beside AS (
+  SELECT *, lag(period_start) OVER w AS earlier, lead(period_start) OVER w AS later
+  FROM alerts WINDOW w AS (PARTITION BY alarm ORDER BY period_start))
+SELECT alarm, period_start AS at, 'on' AS state FROM beside
+WHERE earlier IS NULL OR earlier < period_start - INTERVAL 1 HOUR UNION ALL
+SELECT alarm, period_start + INTERVAL 1 HOUR, 'off' FROM beside
+WHERE later IS NULL OR later > period_start + INTERVAL 1 HOUR"""
+
+_REJECTIONS = f"""WITH log AS ({_LOG}) SELECT request_id, user_id, ts, window_start
+FROM (SELECT *, time_bucket(INTERVAL 1 DAY, ts) AS window_start, row_number() OVER (
+  PARTITION BY user_id, time_bucket(INTERVAL 1 DAY, ts) ORDER BY ts, request_id) AS place
+  FROM log) WHERE place > 4"""
+
+_CLOSED = f"(SELECT max(ts) FROM ({_LOG})) - INTERVAL 10 MINUTE"
+
+
 def oracle_sql() -> dict[str, str]:
     numbers = ", ".join(f"{c}" for c in _RAW_NUMBERS)
     text = ", ".join(_RAW_TEXT)
@@ -674,10 +700,22 @@ WHERE rank <= greatest(1, least(q_top_k, 50))"""
 SELECT doc_id, 64 AS dim, CAST(sum(total) AS DOUBLE) AS total,
   CAST(sum(total * (place + 1)) AS DOUBLE) AS weighted,
   CAST(sum(total * total) AS DOUBLE) AS squares FROM cells GROUP BY doc_id""",
+        "embed_incremental": f"""WITH asked AS (SELECT doc_id,
+    {_prefixed('text', fixed.DOCUMENT_PREFIX)} AS body FROM documents),
+  words AS ({_hashed('doc_id', 'body', 'asked', 64)}),
+  cells AS (SELECT doc_id, place, sum(sign) AS total FROM words GROUP BY ALL),
+  early AS (SELECT DISTINCT text FROM documents WHERE doc_id % 2 = 0 AND text IS NOT NULL)
+SELECT doc_id, 64 AS dim, CAST(sum(total * (place + 1)) AS DOUBLE) AS weighted,
+  (SELECT count(*) FROM early) AS asked_first,
+  (SELECT count(DISTINCT text) FROM documents) - (SELECT count(*) FROM early) AS asked_second
+FROM cells GROUP BY doc_id""",
         "upsert_items": _loaded(
             "SELECT id, title, release_year, director, rt_rating, augmented_text, "
             "pipeline_version, created_first, updated_second FROM stored"
         ),
+        "stream_upsert": _loaded(
+            "SELECT id, title, release_year, director, rt_rating, augmented_text FROM stored"
+        ),
         "load_report": _loaded(
             counters(
                 "load",
@@ -921,20 +959,10 @@ WHERE rank <= 10""",
                 for p in (0.5, 0.95, 0.99)
             ),
         ),
-        "alerts": f"""WITH log AS ({_LOG}), periods AS (
-  SELECT time_bucket(INTERVAL 1 HOUR, ts) AS w, count(*) AS n,
-    count(*) FILTER (WHERE failed) AS errors, {_BUCKETS} FROM log GROUP BY 1),
-measured AS (SELECT *, {_bucket_quantile(0.95)} AS p95 FROM periods),
-breaches AS (SELECT 'p95_latency' AS alarm, w FROM measured WHERE p95 > 0.2 UNION ALL
-  SELECT 'backend_errors', w FROM measured WHERE errors > 4 UNION ALL
-  SELECT 'balancer_errors', w FROM measured WHERE errors > 2)
-SELECT alarm, w + INTERVAL 1 HOUR * step AS period_start, count(*) AS breaches
-FROM breaches, (SELECT unnest(range(5)) AS step) GROUP BY ALL HAVING count(*) >= 3""",
+        "alerts": _ALERTS,
+        "alarm_changes": _CHANGES,
         "quota_counts": f"WITH log AS ({_LOG}) {_QUOTA}",
-        "quota_rejections": f"""WITH log AS ({_LOG}) SELECT request_id, user_id, ts, window_start
-FROM (SELECT *, time_bucket(INTERVAL 1 DAY, ts) AS window_start, row_number() OVER (
-  PARTITION BY user_id, time_bucket(INTERVAL 1 DAY, ts) ORDER BY ts, request_id) AS place
-  FROM log) WHERE place > 4""",
+        "quota_rejections": _REJECTIONS,
         "load_run_summary": f"""WITH log AS ({_LOG})
 SELECT count(*) AS requests, round(avg(CAST(failed AS INT)), 9) AS failed_share,
   round((count(*) FILTER (WHERE NOT failed) + count(seconds)) / (2.0 * count(*)), 9)
@@ -948,7 +976,11 @@ FROM log""",
         "stream_latency": _windowed(
             _quantile_windows("tool,", (0.5, 0.95, 0.99)), slide=5, closed=True
         ),
+        "stream_rejections": _REJECTIONS,
+        "stream_alerts": f"SELECT * FROM ({_ALERTS}) WHERE period_start + INTERVAL 1 HOUR <= {_CLOSED}",
+        "stream_alarm_changes": f"SELECT * FROM ({_CHANGES}) WHERE \"at\" + INTERVAL 1 HOUR <= {_CLOSED}",
         "stream_quota": f"""WITH log AS ({_LOG}) SELECT * FROM ({_QUOTA})
 WHERE window_start + INTERVAL 1 DAY <= (SELECT max(ts) FROM log) - INTERVAL 10 MINUTE""",
     }
+    sql["incremental_medians"] = sql["group_medians"]
     return sql

@@ -14,11 +14,14 @@ from catalith.functions.vectors import parse_vector
 from catalith.operators import clean, dedup, features, impute, nearest, search, stats
 from catalith.operators import titles, traffic, upsert, validate
 from catalith.operators.embed import embed_documents, spread
+from catalith.operators.vector_store import VectorStore
 from catalith.plans.curate import load, prepare
 from catalith.session import scratch_path, settle, tune
 from catalith.sources.export import embedded_count, export_rows
 from catalith.sources.raw import read_raw
 from catalith.sources.snapshots import SnapshotTable, StaleBase
+from catalith.sources.states import CountStates
+from catalith.streaming.load import upsert_batch, upsert_stream
 from catalith.streaming import traffic as stream
 from checks.items import items
 from checks.model import hashing_model
@@ -142,6 +145,17 @@ def group_medians(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(impute.medians(_cleaned(spark, sf)), "median")
 
 
+def incremental_medians(spark: SparkSession, sf: str) -> DataFrame:
+    """Medians from the states that three loads of the catalog left, two of them summed up."""
+    cleaned = settle(_cleaned(spark, sf), "cleaned")
+    states = CountStates(spark, scratch_path(spark, "states"), [*impute.MEDIAN_KEYS, "value"])
+    for number in range(3):
+        states.add(number, impute.observed_values(cleaned.where(F.col("row_pos") % 3 == number)))
+        if number == 1:
+            states.compact()
+    return _rounded(impute.medians_of_counts(states.read()), "median")
+
+
 def imputation_report(spark: SparkSession, sf: str) -> DataFrame:
     return impute.imputation_report(settle(_cleaned(spark, sf), "cleaned"))
 
@@ -198,6 +212,23 @@ def embedded_texts(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def embed_incremental(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents in two loads, the second with all of them again: it asks for the new texts only."""
+    documents = table(spark, sf, "documents").select("doc_id", "text")
+    store = VectorStore(spark, scratch_path(spark, "vectors"), f"hashing-{DIM}")
+    options = {"text": "text", "factory": hashing_model(DIM), "dim": DIM}
+    first = store.add_missing(documents.where(F.col("doc_id") % 2 == 0), **options)
+    second = store.add_missing(documents, **options)
+    v = F.col("embedding")
+    return store.embed(documents, **options).select(
+        "doc_id",
+        F.size(v).alias("dim"),
+        _sum(v, lambda x, i: x * i).alias("weighted"),
+        F.lit(first).alias("asked_first"),
+        F.lit(second).alias("asked_second"),
+    )
+
+
 def parse_vectors(spark: SparkSession, sf: str) -> DataFrame:
     """Vectors written as text and read back."""
     text = F.concat(
@@ -253,6 +284,22 @@ def upsert_items(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def stream_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    """Both loads as they arrive, in several micro-batches each; the last one is offered again."""
+    first = _stored_corpus(spark, sf)
+    arrived, state = scratch_path(spark, "arrived"), scratch_path(spark, "state")
+    stored = SnapshotTable(spark, scratch_path(spark, "table"))
+    for rows in (first, _second_batch(first)):
+        # Rows of one key share a file, so they come in one micro-batch.
+        rows.withColumn("_key", F.lower("title")).repartition(3, "_key").drop("_key").write.mode(
+            "append"
+        ).parquet(arrived)
+    source = spark.readStream.schema(first.schema).option("maxFilesPerTrigger", 2).parquet(arrived)
+    upsert_stream(source, stored, state, "0.1.0", source="arrivals").awaitTermination()
+    upsert_batch(stored, "0.1.0", source="arrivals")(first, stored.manifest(stored.latest())["ledger"]["arrivals"])
+    return stored.read().select("id", "title", "release_year", "director", "rt_rating", "augmented_text")
+
+
 def two_writers(spark: SparkSession, sf: str) -> DataFrame:
     """Halves of the catalog planned on one base: the later one is refused and merged again."""
     rows = _stored_corpus(spark, sf)
@@ -570,6 +617,17 @@ def alerts(spark: SparkSession, sf: str) -> DataFrame:
     return traffic.alerts(_log(spark, sf), period="1 hour", alarms=limits)
 
 
+def _hourly(operator: Callable[..., DataFrame]) -> Callable[[DataFrame], DataFrame]:
+    """The operator with the alarms and periods of ``alerts``."""
+    limits = (("p95_latency", "p95", 0.2), ("backend_errors", "errors", 4))
+    limits += (("balancer_errors", "errors", 2),)
+    return lambda log: operator(log, period="1 hour", alarms=limits)
+
+
+def alarm_changes(spark: SparkSession, sf: str) -> DataFrame:
+    return traffic.alarm_changes(alerts(spark, sf), period="1 hour")
+
+
 def quota_counts(spark: SparkSession, sf: str) -> DataFrame:
     return traffic.quota_counts(_log(spark, sf), limit=4, window="1 day")
 
@@ -586,14 +644,20 @@ def load_run_summary(spark: SparkSession, sf: str) -> DataFrame:
 def _streamed(
     spark: SparkSession, sf: str, name: str, operator: Callable[[DataFrame], DataFrame]
 ) -> DataFrame:
-    """Run an operator over the event table as a stream, and read what it wrote."""
+    """Run an operator over the event table as a stream, and read what it wrote, with its time unzoned."""
     schema = table(spark, sf, "events").schema
     source = stream.stream_events(spark, sf, schema, glob="events.parquet")
     out = operator(traffic.requests_of(source))
     path = scratch_path(spark, name)
     stream.run_available(out, path, scratch_path(spark, f"{name}-state"))
     written = spark.read.schema(out.schema).parquet(path)
-    return written.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    return written.withColumns(
+        {
+            name: F.col(name).cast("timestamp_ntz")
+            for name in ("window_start", "period_start", "at")
+            if name in written.columns
+        }
+    )
 
 
 def stream_request_rate(spark: SparkSession, sf: str) -> DataFrame:
@@ -617,6 +681,21 @@ def stream_quota(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def stream_rejections(spark: SparkSession, sf: str) -> DataFrame:
+    """Which requests are refused, told as they arrive."""
+    return _streamed(
+        spark, sf, "rejections", lambda log: stream.quota_rejections(log, limit=4, window="1 day")
+    )
+
+
+def stream_alerts(spark: SparkSession, sf: str) -> DataFrame:
+    return _streamed(spark, sf, "alerts", _hourly(stream.alerts))
+
+
+def stream_alarm_changes(spark: SparkSession, sf: str) -> DataFrame:
+    return _streamed(spark, sf, "changes", _hourly(stream.alarm_changes))
+
+
 def queries() -> dict[str, Query]:
     listed = [
         clean_strings,
@@ -630,14 +709,17 @@ def queries() -> dict[str, Query]:
         impute_numeric,
         impute_categorical,
         group_medians,
+        incremental_medians,
         imputation_report,
         derived_features,
         render_text,
         augmentation_report,
         value_counts,
         prefix_texts,
+        embed_incremental,
         parse_vectors,
         upsert_items,
+        stream_upsert,
         two_writers,
         load_vectors,
         stored_lookups,
@@ -679,6 +761,7 @@ def queries() -> dict[str, Query]:
         latency_histogram,
         exact_quantiles,
         alerts,
+        alarm_changes,
         quota_counts,
         quota_rejections,
         load_run_summary,
@@ -686,6 +769,9 @@ def queries() -> dict[str, Query]:
         stream_error_rate,
         stream_latency,
         stream_quota,
+        stream_rejections,
+        stream_alerts,
+        stream_alarm_changes,
     ]
     named = {query.__name__: query for query in listed}
     return named | {"embed_documents": embedded_texts, "export_rows": exported}

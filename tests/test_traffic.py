@@ -154,3 +154,78 @@ def test_stream_equals_batch_for_closed_windows(spark, name):
     wanted = getattr(traffic, name)(batch, **options).where(closed)
     assert got.count() == wanted.count() > 0
     assert got.exceptAll(wanted).isEmpty()
+
+
+def run_stream(spark, source, schema, operator, **options):
+    path, state = scratch_path(spark, "out"), scratch_path(spark, "state")
+    arriving = stream.stream_events(spark, source, schema, per_trigger=1)
+    out = operator(arriving, **options)
+    stream.run_available(out, path, state)
+    return spark.read.schema(out.schema).parquet(path)
+
+
+def written(spark, entries, parts):
+    """The log as files that arrive in the order of time, one per micro-batch."""
+    source = scratch_path(spark, "log")
+    whole = log(spark, entries).orderBy("ts", "request_id").collect()
+    size = -(-len(whole) // parts)
+    for k in range(0, len(whole), size):
+        some = spark.createDataFrame(whole[k : k + size], SCHEMA)
+        some.coalesce(1).write.mode("append").parquet(source)
+    return source, spark.read.parquet(source)
+
+
+def test_stream_refuses_requests_as_they_arrive(spark):
+    entries = [(k % 300, 7, "a", 0.1, False) for k in range(400)]  # one caller has most of the log
+    entries += [(k * 11 % 2000, k % 9, "a", 0.1, False) for k in range(250)]
+    source, batch = written(spark, entries, 5)
+    got = run_stream(spark, source, batch.schema, stream.quota_rejections, limit=6)
+    wanted = traffic.quota_rejections(batch, limit=6)
+    assert got.columns == wanted.columns and got.dtypes == wanted.dtypes
+    assert got.count() == wanted.count() > 100
+    assert got.exceptAll(wanted).isEmpty()
+
+
+def test_stream_judges_late_requests_when_they_come_and_drops_old_state(spark):
+    source = scratch_path(spark, "log")
+    parts = [
+        [(1, 20, 5), (2, 21, 5), (3, 50, 5)],  # id, second, user; two may pass
+        [(4, 10, 5), (5, 61, 5)],  # an earlier request that comes later is beyond the limit
+        [(6, 3000, 5)],  # the watermark passes the first windows
+        [(7, 30, 5), (8, 3001, 5), (9, 3002, 5)],  # too late to be answered; and one beyond
+    ]
+    for part in parts:
+        entries = [(i, START + dt.timedelta(seconds=s), user, "a", 0.1, False) for i, s, user in part]
+        spark.createDataFrame(entries, SCHEMA).coalesce(1).write.mode("append").parquet(source)
+    schema = spark.read.parquet(source).schema
+    got = run_stream(spark, source, schema, stream.quota_rejections, limit=2)
+    assert sorted(r["request_id"] for r in got.collect()) == [3, 4, 9]
+
+
+def bursts(minutes):
+    return [(m * 60 + k % 60, 1, "a", 0.9, True) for m in minutes for k in range(11)]
+
+
+def test_alarms_on_a_stream_equal_those_of_a_batch(spark):
+    # On in two spells, with periods without any request in between, and a single breach.
+    entries = bursts([0, 2, 4, 6, 7, 8, 30, 45, 46, 48]) + [(90 * 60, 2, "a", 0.1, False)]
+    source, batch = written(spark, entries, 6)
+    on = traffic.alerts(batch)
+    got = run_stream(spark, source, batch.schema, stream.alerts)
+    got = got.withColumn("period_start", F.col("period_start").cast("timestamp_ntz"))
+    assert got.count() == on.count() > 0 and got.exceptAll(on.select(got.columns)).isEmpty()
+    changes = traffic.alarm_changes(on)
+    spells = sorted((r["at"], r["state"]) for r in changes.where("alarm = 'backend_errors'").collect())
+    wanted = [(4, "on"), (5, "off"), (6, "on"), (11, "off"), (48, "on"), (50, "off")]
+    assert spells == [(at(minute), state) for minute, state in wanted]
+    streamed = run_stream(spark, source, batch.schema, stream.alarm_changes)
+    streamed = streamed.withColumn("at", F.col("at").cast("timestamp_ntz"))
+    assert streamed.count() == changes.count() == 18
+    assert streamed.exceptAll(changes).isEmpty()
+
+
+def test_an_alarm_that_is_still_on_has_not_gone_off(spark):
+    entries = bursts([0, 1, 2]) + [(15 * 60 - 1, 2, "a", 0.1, False)]  # closed up to minute 4:59
+    source, batch = written(spark, entries, 3)
+    got = run_stream(spark, source, batch.schema, stream.alarm_changes)
+    assert {(r["state"], r["at"].replace(tzinfo=None)) for r in got.collect()} == {("on", at(2))}
