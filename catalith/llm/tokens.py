@@ -23,13 +23,14 @@ from __future__ import annotations
 import json
 import os
 import re
-import sys
+import struct
 import unicodedata
-from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -40,6 +41,8 @@ from catalith.llm import simple8b
 CHUNK_IDS = 1 << 19
 #: Words that a task remembers.
 MEMORY = 600_000
+#: Bytes of texts whose words are looked up together.
+TOGETHER = 1 << 24
 _ALNUM = frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
 _MARKS = bytes(b for b in range(33, 127) if b not in _ALNUM)
 
@@ -60,6 +63,14 @@ def printable_bytes() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
 
 
+def _gather(values: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The runs of ``values`` (``sizes`` has their lengths) in the order of ``which``."""
+    times = sizes[which]
+    ends = np.cumsum(times)
+    starts = np.cumsum(sizes) - sizes
+    return values[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[which] - ends + times, times)]
+
+
 class Encoder:
     """The ids of texts, as little-endian 32-bit numbers.
 
@@ -72,7 +83,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
         self.end = np.array([end_id], "<u4").tobytes()
         with open(path, encoding="utf-8") as file:
             stages = json.load(file)
@@ -83,82 +93,111 @@ class Encoder:
         self.by_words = found == _BY_WORDS
         special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.odd = re.compile(b"|".join([b"\x00", *map(re.escape, special)])).search
-        self.firsts = list({b"\x00", *(s[:1] for s in special)})
+        self.tokenize = self.tokenizer.model.tokenize
         self.spelling = printable_bytes()
-        self.words: dict[bytes, bytes] = {}
-        self.tails: dict[bytes, bytes] = {b"": b""}
+        self.words: dict[str, bytes] = {"": b""}
+        self.tails: dict[str, bytes] = {}
+
+    @staticmethod
+    def pack(ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def _piece(self, stem: bytes) -> bytes:
-        """Ids of a word without marks at its end."""
-        if stem.isalpha():  # a-z: one piece, spelled as it is
-            tokens = self.model.tokenize(stem.decode())
-        elif max(stem) < 0xC8:
-            # Letters below U+0200 have one lower case each, but for U+0130.
-            text = stem.decode().lower()
-            if not text.isalpha() or b"\xc4\xb0" in stem or not unicodedata.is_normalized("NFC", text):
-                return self.ids(stem.decode())
-            spelled = text.encode().decode("latin-1").translate(self.spelling)
-            tokens = self.model.tokenize(spelled)
+    def _piece(self, stem: str) -> bytes:
+        """Ids of a word in lower case without marks at its end."""
+        spelled = stem
+        if stem.isascii():  # a-z: one piece, spelled as it is
+            plain = stem.isalpha()
         else:
-            return self.ids(stem.decode())
-        found = array("I", [t.id for t in tokens])
-        if sys.byteorder == "big":
-            found.byteswap()
-        return found.tobytes()
-
-    def _learn(self, word: bytes) -> bytes:
-        """Ids of a word not remembered: those of the word without the marks at its end, and of these.
-
-        Marks after a letter or digit are a piece of their own, so both parts come from few
-        different ones.
+            # Letters below U+0200 have one lower case each, but for U+0130.
+            spelled = stem.lower()
+            plain = (
+                max(stem) < "\u0200" and "\u0130" not in stem and spelled.isalpha()
+                and unicodedata.is_normalized("NFC", spelled)
+            )
+            if plain:
+                spelled = spelled.encode().decode("latin-1").translate(self.spelling)
+        if not plain:
+            return self.ids(stem)
+        return self.pack([token.id for token in self.tokenize(spelled)])
+
+    def _known(self, memory: dict[str, bytes], most: int, parts: list[str], make) -> list[bytes]:
+        """The ids of parts of words, remembered or asked for."""
+        out = list(map(memory.get, parts))
+        for k, ids in enumerate(out):
+            if ids is None:
+                ids = out[k] = make(parts[k])
+                if len(memory) < most:
+                    memory[parts[k]] = ids
+        return out
+
+    def _by_word(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts without special tokens.
+
+        Marks after a letter or digit are a piece of their own, so a word is a stem and the marks at its
+        end, which come from few different ones. Each different stem is looked up once.
         """
-        for first in self.firsts:
-            if first in word and self.odd(word):
-                return self.ids(word.decode())
-        stem = word.rstrip(_MARKS)
-        tail = b""
-        if not stem:
-            stem = word
-        elif len(stem) < len(word):
-            tail = word[len(stem) :]
-            if stem[-1] >= 128 and not stem.decode()[-1].isalpha():
-                stem, tail = word, b""
-        ids = self.words.get(stem) if stem is not word else None
-        if ids is None:
-            ids = self._piece(stem)
-            if len(self.words) < MEMORY:
-                self.words[stem] = ids
-        if tail:
-            marks = self.tails.get(tail)
-            if marks is None:
-                marks = self.ids(tail.decode())
-                if len(self.tails) < 10_000:
-                    self.tails[tail] = marks
-            ids += marks
-            if len(self.words) < MEMORY:
-                self.words[word] = ids
-        return ids
-
-    def encode(self, texts: list[bytes]) -> Iterator[bytes]:
-        """The ids of each text, with the end id."""
-        known, learn = self.words.get, self._learn
-        for text in texts:
-            if not self.by_words:
-                yield self.ids(text.decode()) + self.end
-                continue
-            # ASCII letters count in lower case, unless a special token is spelled by them.
-            words = (text if self.odd(text) else text.lower()).split()
-            parts = list(map(known, words))
-            parts.append(None)
-            at = parts.index(None)
-            while at < len(words):
-                parts[at] = learn(words[at])
-                at = parts.index(None, at + 1)
-            parts[at] = self.end
-            yield b"".join(parts)
+        split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        words = split.flatten().dictionary_encode()
+        which = words.indices.to_numpy()
+        words = words.dictionary
+        stems = pc.ascii_rtrim(words, _MARKS.decode())
+        cut = pc.binary_length(stems).to_numpy()
+        marked = np.flatnonzero((cut > 0) & (cut < pc.binary_length(words).to_numpy()))
+        ends = pc.utf8_slice_codeunits(stems, -1).take(pa.array(marked))
+        last = ends.to_numpy(zero_copy_only=False)
+        marked = marked[[x.isascii() or x.isalpha() for x in last]] if len(marked) else marked
+        # Words of marks alone stay whole, and so do those where marks follow something else.
+        is_cut = np.zeros(len(words), bool)
+        is_cut[marked] = True
+        stems = pc.if_else(pa.array(is_cut), stems, words).dictionary_encode()
+        whole = words.take(pa.array(marked)).to_numpy(zero_copy_only=False)
+        lengths = pc.utf8_length(pc.take(stems.dictionary, stems.indices.take(pa.array(marked)))).to_numpy()
+        tails = [word[n:] for word, n in zip(whole, lengths, strict=True)]
+        of_tail = dict.fromkeys(tails)
+        of_tail = {tail: k for k, tail in enumerate(of_tail)}
+
+        named = stems.dictionary.to_numpy(zero_copy_only=False).tolist()
+        parts = self._known(self.words, MEMORY, named, self._piece)
+        parts += self._known(self.tails, 10_000, list(of_tail), self.ids)
+        parts += [b"", self.end]
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        stem_of = stems.indices.to_numpy()
+        tail_of = np.full(len(words), len(parts) - 2)
+        tail_of[marked] = len(named) + np.fromiter(map(of_tail.get, tails), np.int64, len(tails))
+
+        # The ids of each different word, then those of all words in order and the end id of each text.
+        both = np.stack([stem_of, tail_of], axis=1).ravel()
+        both = np.append(both, len(parts) - 1)
+        flat = _gather(np.frombuffer(b"".join(parts), "<u4"), sizes, both)
+        sizes = np.append(sizes[both[:-1]].reshape(-1, 2).sum(axis=1), sizes[-1])
+        offsets = split.offsets.to_numpy()
+        which = np.insert(which, offsets[1:] - offsets[0], len(sizes) - 1)
+        upto = np.cumsum(sizes[which])
+        last = np.cumsum(np.diff(offsets) + 1) - 1
+        return _gather(flat, sizes, which), np.diff(upto[last], prepend=0)
+
+    def encode(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The ids of texts with their end ids, and how many each has, for runs of texts in a row."""
+        given = pc.fill_null(texts, "").cast(pa.large_string())
+        data = given.cast(pa.large_binary()).to_pylist()
+        # ASCII letters count in lower case, unless a special token is spelled by them.
+        odd = [k for k, text in enumerate(data) if not self.by_words or self.odd(text)]
+        at = 0
+        for k in [*odd, len(data)]:
+            while at < k:
+                to, room = at + 1, TOGETHER - len(data[at])
+                while to < k and len(data[to]) <= room:
+                    room -= len(data[to])
+                    to += 1
+                yield self._by_word(given.slice(at, to - at))
+                at = to
+            if k < len(data):
+                ids = np.frombuffer(self.ids(data[k].decode()) + self.end, "<u4")
+                yield ids, np.array([len(ids)])
+                at = k + 1
 
 
 _ENCODERS: dict[tuple[str, int], Encoder] = {}
@@ -173,7 +212,7 @@ def _encoder(path: str, end_id: int) -> Encoder:
 
 def _pack(path: str, end_id: int, schema: pa.Schema):
     def chunk(state: dict) -> pa.RecordBatch:
-        ids = np.frombuffer(b"".join(state["parts"]), "<u4")
+        ids = np.concatenate(state["parts"])
         words, offsets = simple8b.encode(ids)
         row = [
             state["shard"],
@@ -181,13 +220,13 @@ def _pack(path: str, end_id: int, schema: pa.Schema):
             state["before"],
             len(ids),
             state["docs"],
-            [len(p) // 4 for p in state["parts"]],
+            state["counts"],
             words.tobytes(),
             offsets,
         ]
         state["before"] += len(ids)
         state["chunk"] += 1
-        state["docs"], state["parts"], state["size"] = [], [], 0
+        state["docs"], state["counts"], state["parts"], state["size"] = [], [], [], 0
         return pa.record_batch(
             [pa.array([v], f.type) for v, f in zip(row, schema, strict=True)], schema=schema
         )
@@ -198,19 +237,28 @@ def _pack(path: str, end_id: int, schema: pa.Schema):
             "chunk": 0,
             "before": 0,
             "docs": [],
+            "counts": [],
             "parts": [],
             "size": 0,
         }
         coder = _encoder(path, end_id)
         for batch in batches:
-            names = batch.column("doc_id").to_pylist()
-            texts = [t or b"" for t in batch.column("text").cast(pa.large_binary()).to_pylist()]
-            for name, ids in zip(names, coder.encode(texts), strict=True):
-                state["docs"].append(name)
-                state["parts"].append(ids)
-                state["size"] += len(ids) // 4
-                if state["size"] >= CHUNK_IDS:
-                    yield chunk(state)
+            names = iter(batch.column("doc_id").to_pylist())
+            for ids, counts in coder.encode(batch.column("text")):
+                # A chunk is closed by the document that fills it.
+                upto = np.cumsum(counts)
+                at = 0
+                while at < len(counts):
+                    before = int(upto[at] - counts[at])
+                    to = int(np.searchsorted(upto, before + CHUNK_IDS - state["size"])) + 1
+                    to = min(to, len(counts))
+                    state["docs"].extend(islice(names, to - at))
+                    state["counts"].extend(counts[at:to].tolist())
+                    state["parts"].append(ids[before : int(upto[to - 1])])
+                    state["size"] += int(upto[to - 1]) - before
+                    if state["size"] >= CHUNK_IDS:
+                        yield chunk(state)
+                    at = to
         if state["docs"]:
             yield chunk(state)
 

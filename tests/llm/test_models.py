@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -67,9 +68,12 @@ def test_encoder_is_the_library(small):
         coder, library = tokens.Encoder(path, 2), Tokenizer.from_file(path)
         rng = random.Random(1)
         texts = ODD + ["".join(rng.choice("aÉ.é' \n<|>s!1") for _ in range(60)) for _ in range(300)]
-        for text, ids in zip(texts, coder.encode([t.encode() for t in texts])):
+        found = list(coder.encode(pa.array([*texts, None])))
+        ids, ends = np.concatenate([i for i, _ in found]), np.cumsum(np.concatenate([n for _, n in found]))
+        assert len(ends) == len(texts) + 1 and ids[ends[-2] :].tolist() == [2]
+        for text, part in zip(texts, np.split(ids, ends[:-1])):
             wanted = library.encode(text, add_special_tokens=False).ids + [2]
-            assert np.frombuffer(ids, "<u4").tolist() == wanted, text
+            assert part.tolist() == wanted, text
 
 
 def test_token_store_round_trip(spark, monkeypatch):
