@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from catalith.llm.quality_rules import LEAST_ROWS, MEASURES, REACH, TWO_SIDED
+from catalith.llm.quality_rules import LOSE, MEASURES, PRIOR, TWO_SIDED
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -94,23 +94,13 @@ FROM d LEFT JOIN words USING (place) LEFT JOIN items USING (place)"""
 
 def _quality() -> str:
     values = ", ".join(f"('{name}', {name})" for name in MEASURES)
-    top = "(((bucket - s * 16 + 1) << s) - 1)"
-    least = " ".join(f"WHEN '{name}' THEN {low}" for name, low in MEASURES.items())
-
-    def fences(group: str) -> str:
-        keys = f"{group}, " if group else ""
-        return f"""
-  SELECT {keys}measure, max(total) AS total,
-    min({top}) FILTER (upto * 4 >= total * 3) + {REACH} * greatest(
-      min({top}) FILTER (upto * 4 >= total * 3) - min({top}) FILTER (upto * 4 >= total),
-      CASE measure {least} END) AS most,
-    min({top}) FILTER (upto * 4 >= total) - {REACH} * greatest(
-      min({top}) FILTER (upto * 4 >= total * 3) - min({top}) FILTER (upto * 4 >= total),
-      CASE measure {least} END) AS least
-  FROM (SELECT {keys}measure, bucket, greatest(bucket // 16 - 1, 0)::INT AS s,
-      sum(sum(n)) OVER (PARTITION BY {keys}measure ORDER BY bucket) AS upto,
-      sum(sum(n)) OVER (PARTITION BY {keys}measure) AS total
-    FROM sketch GROUP BY {keys}measure, bucket) GROUP BY {keys}measure"""
+    def rank(side: str) -> str:
+        return (
+            f"floor((coalesce(sum(n) OVER {side}, 0)::DOUBLE + "
+            f"(coalesce(sum(n_lang) OVER {side}, 0)::DOUBLE / (sum(n_lang) OVER g)::DOUBLE + "
+            f"coalesce(sum(n_all) OVER {side}, 0)::DOUBLE / (sum(n_all) OVER g)::DOUBLE) * {PRIOR / 2}) / "
+            f"((sum(n) OVER g)::DOUBLE + {PRIOR}) * 1000000)::BIGINT"
+        )
 
     two_sided = ", ".join(f"'{name}'" for name in TWO_SIDED)
     return rf"""
@@ -143,24 +133,39 @@ measured AS (
     CASE WHEN n_words > 0 THEN n_repeat_words * 10000 // n_words ELSE 0 END AS repeat_rate,
     CASE WHEN n_words > 0 THEN word_chars * 100 // n_words ELSE 0 END AS word_length
   FROM counted),
-long AS (SELECT place, lang, source, base_failed, measure, v FROM measured,
+long AS (SELECT place, doc_id, lang, source, base_failed, measure, v FROM measured,
   LATERAL (VALUES {values}) AS x(measure, v)),
-sketch AS (
-  SELECT lang, source, measure, greatest(length(bin(v)) - 5, 0) * 16 + (v >> greatest(length(bin(v)) - 5, 0)::INT) AS bucket,
-    count(*) AS n FROM long WHERE NOT base_failed GROUP BY ALL),
-own AS ({fences("lang, source")}),
-by_lang AS ({fences("lang")}),
-by_all AS ({fences("")}),
-chosen AS (
-  SELECT o.lang, o.source, o.measure,
-    CASE WHEN o.total >= {LEAST_ROWS} THEN o.most WHEN l.total >= {LEAST_ROWS} THEN l.most ELSE a.most END AS most,
-    CASE WHEN o.total >= {LEAST_ROWS} THEN o.least WHEN l.total >= {LEAST_ROWS} THEN l.least ELSE a.least END AS least
-  FROM own o JOIN by_lang l ON o.lang IS NOT DISTINCT FROM l.lang AND o.measure = l.measure
-  JOIN by_all a ON a.measure = o.measure),
-outside AS (
-  SELECT DISTINCT place FROM long JOIN chosen ON long.lang IS NOT DISTINCT FROM chosen.lang
-    AND long.source IS NOT DISTINCT FROM chosen.source AND long.measure = chosen.measure
-  WHERE v > most OR (long.measure IN ({two_sided}) AND v < least))
+placed AS (
+  SELECT place, doc_id, lang, source, measure,
+    greatest(length(bin(v)) - 5, 0) * 16 + (v >> greatest(length(bin(v)) - 5, 0)::INT) AS bucket
+  FROM long WHERE NOT base_failed),
+sketch AS (SELECT lang, source, measure, bucket, count(*) AS n FROM placed GROUP BY ALL),
+grid AS (
+  SELECT g.lang, g.source, g.measure, a.bucket, coalesce(s.n, 0) AS n, a.n_all,
+    coalesce((SELECT sum(x.n) FROM sketch x WHERE x.lang IS NOT DISTINCT FROM g.lang
+      AND x.measure = g.measure AND x.bucket = a.bucket), 0) AS n_lang
+  FROM (SELECT DISTINCT lang, source, measure FROM sketch) g
+  JOIN (SELECT measure, bucket, sum(n) AS n_all FROM sketch GROUP BY ALL) a ON a.measure = g.measure
+  LEFT JOIN sketch s ON s.lang IS NOT DISTINCT FROM g.lang AND s.source IS NOT DISTINCT FROM g.source
+    AND s.measure = g.measure AND s.bucket = a.bucket),
+ranked AS (
+  SELECT lang, source, measure, bucket, {rank("below")} AS below, {rank("above")} AS above FROM grid
+  WINDOW g AS (PARTITION BY lang, source, measure),
+    below AS (PARTITION BY lang, source, measure ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+    above AS (PARTITION BY lang, source, measure ORDER BY bucket ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+ranks AS (
+  SELECT place, doc_id, p.measure, side, CASE side WHEN 'below' THEN below ELSE above END AS rank
+  FROM placed p JOIN ranked r ON r.lang IS NOT DISTINCT FROM p.lang AND r.source IS NOT DISTINCT FROM p.source
+    AND r.measure = p.measure AND r.bucket = p.bucket, (VALUES ('below'), ('above')) x(side)
+  WHERE side = 'below' OR p.measure IN ({two_sided})),
+good AS (SELECT * FROM ranks WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
+farthest AS (
+  SELECT measure, side, min(rank) AS farthest FROM (
+    SELECT measure, side, rank, count(*) OVER (PARTITION BY measure, side) AS total,
+      count(*) OVER (PARTITION BY measure, side) - count(*) OVER (
+        PARTITION BY measure, side ORDER BY rank RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS lost
+    FROM good) WHERE lost * 10000 <= total * {LOSE} GROUP BY measure, side),
+outside AS (SELECT DISTINCT place FROM ranks JOIN farthest USING (measure, side) WHERE rank > farthest)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND outside.place IS NULL AS kept
 FROM measured LEFT JOIN outside USING (place)"""

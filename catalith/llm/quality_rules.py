@@ -6,6 +6,15 @@ spans at most a sixteenth of its value. Sketches merge by adding counts, so a ta
 sums its own rows before anything moves, a group of any size is a few hundred counts,
 and the result does not depend on how the rows were dealt.
 
+A group's sketch is completed by its language's and that of all texts, which together weigh as much as
+``PRIOR`` rows: the fewer rows a group has, the more they say, without a step at any size. The
+rank of a value is the share of that sketch on its near side. How far out a rank
+may lie is learned for each measure: as far as documents known to be good lie in their own groups, but for
+``LOSE`` in 10,000 of them. No measure has a cutoff of its own; each can reject, and the same rank is another
+value in every group. Ties are judged alike, as they share a bucket.
+
+Without documents known to be good, only the base rule rejects.
+
 Defined cases: a null or blank text has no words and fails the base rule. A null
 language or source is a group of its own. Repeated rows count and are judged one by
 one. An empty table gives an empty result. An input column named like a made one is
@@ -20,23 +29,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from catalith.llm.common import others, total, words_of
+from catalith.session import settle
 
 SYMBOLS = r"[#*$%&|<>]"
-#: A group needs so many texts to have thresholds of its own; a smaller one takes its
-#: language's, and if that is as small, those of all texts.
-LEAST_ROWS = 200
-#: A fence lies this many interquartile ranges outside the quartiles.
-REACH = 3
-#: Measures: per 10,000 but for the mean word length, which is in hundredths. The second
-#: number is the least interquartile range assumed, so that a group of equal values
-#: does not reject the first text that differs.
-MEASURES = {
-    "symbol_rate": 200,
-    "caps_rate": 600,
-    "dup_line_rate": 1500,
-    "repeat_rate": 700,
-    "word_length": 150,
-}
+#: Rows that a language's sketch and that of all texts weigh in a group's, half each.
+PRIOR = 200
+#: Good documents, per 10,000, that one measure may reject.
+LOSE = 5
+#: Measures: per 10,000 but for the mean word length, which is in hundredths.
+MEASURES = ("symbol_rate", "caps_rate", "dup_line_rate", "repeat_rate", "word_length")
 #: Measures that may also be too low.
 TWO_SIDED = ("word_length",)
 _MADE = (
@@ -171,87 +172,115 @@ def sketches(measured: DataFrame, lang: str, source: str) -> DataFrame:
     )
 
 
-def _fences(counts: DataFrame, group: list[str]) -> DataFrame:
-    """Fences of each group from its sketch, one row per group."""
-    each = Window.partitionBy(*group, "measure")
-    running = each.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.select(
-        *group,
-        "measure",
-        "bucket",
-        F.sum("n").over(running).alias("upto"),
-        F.sum("n").over(each).alias("rows"),
-    )
-
-    def quartile(quarter: int) -> Column:
-        reached = F.col("upto") * 4 >= F.col("rows") * quarter
-        return bucket_top(F.min(F.when(reached, F.col("bucket"))))
+def _ranked(own: DataFrame) -> DataFrame:
+    """``lang, source, measure, bucket, below, above`` of each group, at each bucket that any group has.
 
-    quartiles = ranked.groupBy(*group, "measure").agg(
-        quartile(1).alias("low"), quartile(3).alias("high"), F.max("rows").alias("rows")
-    )
-    least = reduce(
-        lambda so_far, item: so_far.when(F.col("measure") == item[0], item[1]),
-        list(MEASURES.items())[1:],
-        F.when(F.col("measure") == next(iter(MEASURES)), MEASURES[next(iter(MEASURES))]),
-    )
-    spread = F.greatest(F.col("high") - F.col("low"), least) * REACH
-    bounds = quartiles.select(
-        *group,
+    ``below`` and ``above`` are the shares, per million, of the group's completed sketch on either side.
+    """
+    level = ["measure", "bucket"]
+    by_lang = own.groupBy("lang", *level).agg(F.sum("n").alias("n_lang"))
+    by_all = own.groupBy(*level).agg(F.sum("n").alias("n_all"))
+    grid = own.select("lang", "source", "measure").distinct().join(by_all, "measure")
+
+    def beside(left: DataFrame, right: DataFrame, keys: list[str], n: str) -> DataFrame:
+        """``n`` of the right side where its group and bucket are the left's, else 0."""
+        named = right.select(*(F.col(c).alias(f"_{c}") for c in right.columns))
+        same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys]
+        both = left.join(named, reduce(lambda a, b: a & b, same), "left")
+        return both.select(*left.columns, F.coalesce(f"_{n}", F.lit(0)).alias(n))
+
+    grid = beside(grid, by_lang, ["lang", *level], "n_lang")
+    grid = beside(grid, own, ["lang", "source", *level], "n")
+    group = Window.partitionBy("lang", "source", "measure")
+    order = group.orderBy("bucket")
+    sides = {
+        "below": order.rowsBetween(Window.unboundedPreceding, -1),
+        "above": order.rowsBetween(1, Window.unboundedFollowing),
+    }
+
+    def part(name: str, side) -> Column:
+        return F.coalesce(F.sum(name).over(side), F.lit(0)).cast("double")
+
+    def whole(name: str) -> Column:
+        return F.sum(name).over(group).cast("double")
+
+    # Sums first: a share is one division of whole numbers, the same in any engine.
+    sums = {f"{k}_{name}": part(name, side) for k, side in sides.items() for name in ("n", "n_lang", "n_all")}
+    grid = grid.withColumns(sums | {f"in_{name}": whole(name) for name in ("n", "n_lang", "n_all")})
+
+    def rank(k: str) -> Column:
+        prior = F.col(f"{k}_n_lang") / F.col("in_n_lang") + F.col(f"{k}_n_all") / F.col("in_n_all")
+        share = (F.col(f"{k}_n") + prior * (PRIOR / 2)) / (F.col("in_n") + PRIOR)
+        return F.floor(share * 1_000_000).cast("long")
+
+    return grid.select("lang", "source", *level, *(rank(k).alias(k) for k in sides))
+
+
+def _farthest(good: DataFrame, ranked: DataFrame) -> DataFrame:
+    """``measure, side, farthest``: the rank up to which documents are kept."""
+    named = good.select(*(F.col(c).alias(f"_{c}") for c in good.columns))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("lang", "source", "measure", "bucket")]
+    placed = ranked.join(named, reduce(lambda a, b: a & b, same))
+    sides = F.explode(F.array(*(F.struct(F.lit(k).alias("side"), F.col(k).alias("rank")) for k in ("below", "above"))))
+    counted = placed.select("measure", "_n", sides.alias("at")).groupBy("measure", "at.side", "at.rank")
+    each = Window.partitionBy("measure", "side")
+    beyond = each.orderBy("rank").rowsBetween(1, Window.unboundedFollowing)
+    lost = counted.agg(F.sum("_n").alias("n")).select(
         "measure",
-        "rows",
-        (F.col("high") + spread).alias("most"),
-        (F.col("low") - spread).alias("least"),
+        "side",
+        "rank",
+        F.coalesce(F.sum("n").over(beyond), F.lit(0)).alias("lost"),
+        F.sum("n").over(each).alias("of"),
     )
-
-    def of(name: str, column: str) -> Column:
-        return F.max(F.when(F.col("measure") == name, F.col(column)))
-
-    return bounds.groupBy(*group).agg(
-        F.max("rows").alias("rows"),
-        *(of(name, "most").alias(f"most_{name}") for name in MEASURES),
-        *(of(name, "least").alias(f"least_{name}") for name in TWO_SIDED),
+    return lost.where(F.col("lost") * 10_000 <= F.col("of") * LOSE).groupBy("measure", "side").agg(
+        F.min("rank").alias("farthest")
     )
 
 
-def thresholds(measured: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
-    """One row of fences per language and source, from its sketch or a merged one."""
-    own = sketches(measured, lang, source)
-    names = [f"most_{name}" for name in MEASURES] + [f"least_{name}" for name in TWO_SIDED]
-    by_group = _fences(own, ["lang", "source"])
-    merged = own.groupBy("lang", "measure", "bucket").agg(F.sum("n").alias("n"))
-    by_lang = _fences(merged, ["lang"])
-    whole = own.groupBy(F.lit(0).alias("all"), "measure", "bucket").agg(F.sum("n").alias("n"))
-    by_all = _fences(whole, ["all"])
-
-    def renamed(df: DataFrame, mark: str) -> DataFrame:
-        return df.select(
-            *(F.col(c).alias(f"{mark}_{c}") if c in ("rows", "lang", *names) else c for c in df.columns)
-        )
-
-    joined = by_group.join(
-        renamed(by_lang, "l"), F.col("lang").eqNullSafe(F.col("l_lang")), "left"
-    ).join(renamed(by_all, "a"), F.lit(0) == F.col("all"), "left")
-
-    def chosen(name: str) -> Column:
-        return (
-            F.when(F.col("rows") >= LEAST_ROWS, F.col(name))
-            .when(F.col("l_rows") >= LEAST_ROWS, F.col(f"l_{name}"))
-            .otherwise(F.col(f"a_{name}"))
-        )
-
-    return joined.select("lang", "source", *(chosen(name).alias(name) for name in names))
+def thresholds(
+    measured: DataFrame, good: DataFrame | None = None, lang: str = "lang", source: str = "source"
+) -> DataFrame:
+    """One row of fences per language and source; a fence is null where none was learned."""
+    own = settle(sketches(measured, lang, source), "sketches")
+    ranked = settle(_ranked(own), "ranked")
+    if good is None:
+        farthest = measured.sparkSession.createDataFrame([], "measure string, side string, farthest long")
+    else:
+        known = good.select(F.col("doc_id").alias("_good")).distinct()
+        of_good = measured.join(known, F.col("doc_id") == F.col("_good"), "left_semi")
+        farthest = settle(_farthest(sketches(of_good, lang, source), ranked), "farthest")
+    inside = {
+        "most": (F.max, F.col("side") == "below", F.col("below") <= F.col("farthest")),
+        "least": (F.min, F.col("side") == "above", F.col("above") <= F.col("farthest")),
+    }
+    joined = ranked.join(farthest, "measure", "left")
+
+    def fence(name: str, end: str) -> Column:
+        pick, side, near = inside[end]
+        place = pick(F.when((F.col("measure") == name) & side & near, F.col("bucket")))
+        # A bucket's least value is one more than the largest of the bucket before.
+        return bucket_top(place) if end == "most" else F.when(place > 0, bucket_top(place - 1) + 1)
+
+    return joined.groupBy("lang", "source").agg(
+        *(fence(name, "most").alias(f"most_{name}") for name in MEASURES),
+        *(fence(name, "least").alias(f"least_{name}") for name in TWO_SIDED),
+    )
 
 
 def judge(
-    measured: DataFrame, lang: str = "lang", source: str = "source", verdict: str = "kept"
+    measured: DataFrame,
+    good: DataFrame | None = None,
+    lang: str = "lang",
+    source: str = "source",
+    verdict: str = "kept",
 ) -> DataFrame:
     """Measured rows with the verdict: the base rule, then the fences of their group.
 
-    ``measured`` is read twice; store it first. The thresholds are joined, not
-    collected; the optimizer broadcasts them while they are small.
+    ``good`` has the ``doc_id`` of documents known to be good. ``measured`` is read several times;
+    store it first. The thresholds are joined, not collected; the optimizer broadcasts
+    them while they are small.
     """
-    fences = thresholds(measured, lang, source)
+    fences = thresholds(measured, good, lang, source)
     fences = fences.select(*(F.col(c).alias(f"_qr_{c}") for c in fences.columns))
     joined = measured.join(
         fences,
@@ -260,8 +289,8 @@ def judge(
     )
     inside = [F.col(name) <= F.col(f"_qr_most_{name}") for name in MEASURES]
     inside += [F.col(name) >= F.col(f"_qr_least_{name}") for name in TWO_SIDED]
-    fits = reduce(lambda a, b: a & b, inside)
+    fits = reduce(lambda a, b: a & b, [F.coalesce(x, F.lit(True)) for x in inside])
     return joined.select(
         *others(measured, [verdict]),
-        (~F.col("base_failed") & F.coalesce(fits, F.lit(True))).alias(verdict),
+        (~F.col("base_failed") & fits).alias(verdict),
     )

@@ -63,7 +63,8 @@ def op2_decontamination(spark: SparkSession, sf: str) -> DataFrame:
 def op3_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     docs = read(spark, sf, "documents").select("doc_id", "text", "lang", "source")
     measured = settle(quality_rules.measure(docs).drop("text"), "measured")
-    return quality_rules.judge(measured).select(
+    good = read(spark, sf, "labels").where("quality = 1")
+    return quality_rules.judge(measured, good).select(
         "doc_id",
         "n_words",
         "word_chars",

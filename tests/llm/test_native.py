@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from catalith.llm import chat, mixing, pii, queries, quality_rules
+from catalith.session import settle
 from tests.llm import brute
 
 TEXTS = [
@@ -93,18 +94,51 @@ def _texts(n: int, symbol: str = "", seed: int = 0) -> list[str]:
     ]
 
 
+QUALITY = "doc_id long, lang string, source string, text string"
+
+
 def test_rules_learn_their_thresholds_per_group(spark):
     """What is usual in one source is an outlier in another."""
-    least = quality_rules.LEAST_ROWS
-    rows = [("en", "prose", t) for t in _texts(least)]
-    rows += [("en", "code", t) for t in _texts(least, "#", 1)]
+    n = 400
+    rows = [("en", "prose", t) for t in _texts(n)]
+    rows += [("en", "code", t) for t in _texts(n, "#", 1)]
     rows += [("en", "prose", _texts(1, "#", 2)[0]), (None, None, _texts(1, "", 3)[0])]
-    docs = spark.createDataFrame(
-        [(i, *row) for i, row in enumerate(rows)], "doc_id long, lang string, source string, text string"
-    )
-    judged = {r["doc_id"]: r["kept"] for r in quality_rules.judge(quality_rules.measure(docs)).collect()}
-    assert not judged[2 * least]
-    assert all(kept for key, kept in judged.items() if key != 2 * least)
+    docs = spark.createDataFrame([(i, *row) for i, row in enumerate(rows)], QUALITY)
+    measured = settle(quality_rules.measure(docs))
+    good = docs.where(F.col("doc_id") < 2 * n).select("doc_id")
+    judged = {r["doc_id"]: r["kept"] for r in quality_rules.judge(measured, good).collect()}
+    assert not judged[2 * n]
+    assert all(kept for key, kept in judged.items() if key != 2 * n)
+    # Without documents known to be good there is nothing to learn from.
+    assert quality_rules.judge(measured).where("NOT kept").count() == 0
+
+
+OUTLIERS = {
+    "symbol_rate": " ".join(f"w{k}#" for k in range(30)),
+    "caps_rate": " ".join(f"ABCD{k}" for k in range(30)),
+    "dup_line_rate": "\n".join([f"w{k} {k}" for k in range(10)] + ["z"] * 4 + ["y"] * 4),
+    "repeat_rate": " ".join(f"w{k}" for k in [1, 2, 3, 4, 5, 1, 2, 3, 4, 5, *range(10, 60)]),
+    "word_length": " ".join(f"wordwordwordword{k}" for k in range(30)),
+}
+
+
+@pytest.mark.parametrize("measure", [*quality_rules.MEASURES, "short words"])
+def test_each_fence_can_reject_what_passes_the_base_rule(spark, measure):
+    outlier = OUTLIERS.get(measure, " ".join(chr(97 + k) for k in range(26)))
+    rows = [(i, "en", f"s{i % 3}", t) for i, t in enumerate(_texts(300))] + [(999, "en", "s1", outlier)]
+    docs = spark.createDataFrame(rows, QUALITY)
+    measured = settle(quality_rules.measure(docs))
+    judged = quality_rules.judge(measured, docs.where("doc_id < 300")).where("NOT kept").collect()
+    assert [(r["doc_id"], r["base_failed"]) for r in judged] == [(999, False)]
+
+
+def test_good_documents_set_how_far_a_rank_may_lie(spark, monkeypatch):
+    """Of 1,000 good documents with ever more symbols, the stated share is lost."""
+    monkeypatch.setattr(quality_rules, "LOSE", 50)
+    rows = [(i, "en", "s", " ".join(f"w{k}" for k in range(990)) + " #" * (i // 10)) for i in range(1_000)]
+    measured = settle(quality_rules.measure(spark.createDataFrame(rows, QUALITY)))
+    lost = quality_rules.judge(measured, measured.select("doc_id")).where("NOT kept").collect()
+    assert all(r["doc_id"] >= 980 for r in lost) and len(lost) <= 5
 
 
 def test_sketch_buckets_hold_their_values(spark):

@@ -31,9 +31,10 @@ def test_stages_keep_the_columns(steps):
     assert [df.columns for df in steps[:-1]] == [COLUMNS] * 5
 
 
-def test_quality_stage(steps):
+def test_quality_stage(spark, steps, small):
     kept = {r["doc_id"] for r in steps[1].collect()}
-    judged = quality_rules.judge(quality_rules.measure(steps[0])).collect()
+    good = spark.read.parquet(f"{small}/labels.parquet").where("quality = 1")
+    judged = quality_rules.judge(quality_rules.measure(steps[0]), good).collect()
     assert kept == {r["doc_id"] for r in judged if r["kept"]}
     for row in steps[0].collect():
         n, _, _, _, repeated = brute.quality(row["text"])
