@@ -41,7 +41,8 @@ def _columns(docs: DataFrame) -> list[str]:
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality rules: documents that they reject go."""
     measured = settle(quality_rules.measure(docs), "measured")
-    return quality_rules.judge(measured).where("kept").select(*_columns(docs))
+    good = read(spark, sf_dir, "labels").where("quality = 1")
+    return quality_rules.judge(measured, good).where("kept").select(*_columns(docs))
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
