@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catalith.operators.reports import count_where
@@ -22,6 +22,49 @@ def dataset_stats(df: DataFrame) -> DataFrame:
     )
 
 
+#: Size of the sketches of distinct values: 2 to this power registers, off by 0.6 % on average.
+SKETCH_LG_K = 15
+
+
+def stats_state(df: DataFrame) -> DataFrame:
+    """The statistics of one load as one row that merges with those of others."""
+    rating = F.col("imdb_rating").cast("double")
+
+    def distinct(value: Column) -> Column:
+        return F.hll_sketch_agg(value, F.lit(SKETCH_LG_K))
+
+    title = F.concat_ws("#", F.lower("title"), F.col("release_year").cast("string"))
+    return df.agg(
+        F.count(F.lit(1)).alias("rows"),
+        distinct(F.col("major_genre")).alias("genres"),
+        distinct(title).alias("titles"),
+        F.min("release_year").alias("year_min"),
+        F.max("release_year").alias("year_max"),
+        F.sum(rating).alias("rating_sum"),
+        F.count(rating).alias("ratings"),
+    )
+
+
+def merged_stats(states: DataFrame) -> DataFrame:
+    """``dataset_stats`` and the distinct (title, year) keys, from the states of loads.
+
+    Distinct counts come from united sketches (HLL); values that several loads have count once. The
+    other figures are exact, over the rows of all loads.
+    """
+
+    def distinct(name: str) -> Column:
+        return F.hll_sketch_estimate(F.hll_union_agg(name))
+
+    return states.agg(
+        F.sum("rows").alias("total_movies"),
+        distinct("genres").alias("genres"),
+        distinct("titles").alias("titles"),
+        F.min("year_min").alias("year_min"),
+        F.max("year_max").alias("year_max"),
+        F.try_divide(F.sum("rating_sum"), F.sum("ratings")).alias("avg_imdb_rating"),
+    )
+
+
 def list_facets(df: DataFrame, column: str = "major_genre") -> DataFrame:
     """Distinct values in order, missing ones left out."""
     return df.where(F.col(column).isNotNull()).select(column).distinct().orderBy(column)
@@ -113,6 +156,32 @@ def repeated_keys(df: DataFrame) -> DataFrame:
     )
 
 
+def _row_digest(columns: Sequence[str]) -> Column:
+    return F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
+
+
+def group_digests(df: DataFrame, group: Column, ignore: Sequence[str] = ("updated_at",)) -> DataFrame:
+    """``part, n, digest``: what the rows of each group add up to, in whatever order.
+
+    A task sums its own rows, so a row per group and task is shuffled, not one per row. The digest adds
+    up four numbers of 60 bits of each row's digest; other rows give it by chance only.
+    """
+    columns = [c for c in df.columns if c not in ignore]
+    row = _row_digest(columns)
+    parts = [F.conv(F.substring(row, 1 + 15 * k, 15), 16, 10).cast("decimal(38,0)") for k in range(4)]
+    sums = [F.sum(part).cast("string") for part in parts]
+    return df.groupBy(group.alias("part")).agg(
+        F.count(F.lit(1)).alias("n"), F.concat_ws(":", *sums).alias("digest")
+    )
+
+
+def differing_groups(before: DataFrame, after: DataFrame) -> DataFrame:
+    """``part`` of the groups whose digests differ, or that only one side has."""
+    rows = before.withColumn("_side", F.lit(-1)).unionByName(after.withColumn("_side", F.lit(1)))
+    balance = rows.groupBy("part", "n", "digest").agg(F.sum("_side").alias("_side"))
+    return balance.where(F.col("_side") != 0).select("part").distinct()
+
+
 def snapshot_changes(
     before: DataFrame, after: DataFrame, ignore: Sequence[str] = ("updated_at",)
 ) -> DataFrame:
@@ -121,7 +190,7 @@ def snapshot_changes(
     Both are counted against each other in one shuffle of row digests.
     """
     columns = [c for c in before.columns if c not in ignore]
-    digest = F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
+    digest = _row_digest(columns)
     rows = before.select(digest.alias("row"), F.lit(-1).alias("n")).unionByName(
         after.select(digest.alias("row"), F.lit(1).alias("n"))
     )

@@ -168,6 +168,60 @@ def exact_quantiles(
     return group_quantiles(requests, by, "seconds", probabilities)
 
 
+#: Size of a latency sketch: a rank is off by half a percent at most, almost always.
+SKETCH_K = 800
+
+
+def latency_sketches(
+    requests: DataFrame, pane: str = "1 minute", by: Sequence[str] = ("tool",), k: int = SKETCH_K
+) -> DataFrame:
+    """``pane_start, *by, requests, sketch``: quantile sketches (KLL) of short panes, to be stored.
+
+    A sketch has a few kilobytes, however many requests the pane has, and sketches merge.
+    """
+    return (
+        requests.where(F.col("seconds").isNotNull())
+        .groupBy(F.window("ts", pane).alias("_pane"), *by)
+        .agg(
+            F.count(F.lit(1)).alias("requests"),
+            F.call_function("kll_sketch_agg_double", F.col("seconds").cast("double"), F.lit(k)).alias("sketch"),
+        )
+        .select(F.col("_pane.start").alias("pane_start"), *by, "requests", "sketch")
+    )
+
+
+def merged_sketches(
+    panes: DataFrame, window: str = "1 day", slide: str | None = None, by: Sequence[str] = ("tool",)
+) -> DataFrame:
+    """``window_start, *by, requests, sketch`` of longer windows, from panes that they consist of."""
+    return (
+        panes.groupBy(F.window("pane_start", window, slide or window).alias("_window"), *by)
+        .agg(
+            F.sum("requests").alias("requests"),
+            F.call_function("kll_merge_agg_double", F.col("sketch")).alias("sketch"),
+        )
+        .select(F.col("_window.start").alias("window_start"), *by, "requests", "sketch")
+    )
+
+
+def sketched_quantiles(merged: DataFrame, probabilities: Sequence[float] = (0.5, 0.95, 0.99)) -> DataFrame:
+    """The rows of ``merged_sketches`` with ``p`` and ``quantile`` for the sketch."""
+    wanted = F.explode(
+        F.array(
+            *(
+                F.struct(
+                    F.lit(float(p)).alias("p"),
+                    F.call_function("kll_sketch_get_quantile_double", F.col("sketch"), F.lit(float(p))).alias("quantile"),
+                )
+                for p in probabilities
+            )
+        )
+    )
+    return merged.select("*", wanted.alias("_q")).select(
+        *(c for c in merged.columns if c != "sketch"), "_q.p", "_q.quantile"
+    )
+
+
 # Alarm, metric, limit that has to be exceeded.
 ALARMS = (
     ("p95_latency", "p95", fixed.P95_LIMIT_SECONDS),

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from catalith.operators import stats
 from catalith.session import delete_path
 
 #: The fewest buckets of a table.
@@ -134,6 +135,31 @@ class SnapshotTable:
         same = F.col(_TITLE) == F.lower(F.lit(title)) if _TITLE in rows.columns else F.lit(False)
         return rows.where(same).drop(_TITLE)
 
+    def changed_buckets(self, before: int, after: int, ignore: Sequence[str] = ("updated_at",)) -> list[int]:
+        """Buckets in which two snapshots have other rows.
+
+        Those that share their files are passed over, and the others compared by digests.
+        """
+        old, new = self.manifest(before), self.manifest(after)
+        if old["buckets"] != new["buckets"]:
+            raise ValueError("the snapshots are dealt over different numbers of buckets")
+        written = {b for m in (old, new) for b in m["writes"] if old["writes"].get(b) != new["writes"].get(b)}
+        suspects = sorted(map(int, written))
+        if not suspects:
+            return []
+        place = self.bucket_of(F.col("id"), old["buckets"])
+        sides = [
+            stats.group_digests(self._read(version, suspects, hidden=False), place, ignore)
+            for version in (before, after)
+        ]
+        return sorted(row["part"] for row in stats.differing_groups(*sides).collect())
+
+    def changes(self, before: int, after: int, ignore: Sequence[str] = ("updated_at",)) -> DataFrame:
+        """``stats.snapshot_changes`` of two snapshots, from the rows of the buckets that differ alone."""
+        at = self.changed_buckets(before, after, ignore)
+        sides = [self._read(version, at, hidden=False) for version in (before, after)]
+        return stats.snapshot_changes(*sides, ignore=ignore)
+
     def write(
         self,
         df: DataFrame,

@@ -20,6 +20,30 @@ from pyspark.sql import functions as F
 from catalith.session import child_names, delete_path
 
 
+def finished(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers of the loads below a folder that Spark's writer has finished."""
+    names = [n for n in child_names(spark, folder) if n.isdigit()]
+    return sorted(int(n) for n in names if "_SUCCESS" in child_names(spark, f"{folder}/{n}"))
+
+
+class LoadStates:
+    """A small table per load, such as one row of mergeable sketches; all of them are read together."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self._spark = spark
+        self.path = path.rstrip("/")
+
+    def add(self, load: int, state: DataFrame) -> None:
+        """Keep the state of a load; that of a repeated load replaces it."""
+        state.write.mode("overwrite").parquet(f"{self.path}/{load}")
+
+    def read(self) -> DataFrame:
+        done = finished(self._spark, self.path)
+        if not done:
+            raise ValueError(f"no load has left a state in {self.path}")
+        return self._spark.read.parquet(*(f"{self.path}/{n}" for n in done))
+
+
 class CountStates:
     def __init__(self, spark: SparkSession, path: str, keys: Sequence[str]) -> None:
         self._spark = spark
@@ -27,8 +51,7 @@ class CountStates:
         self.keys = list(keys)
 
     def _done(self, kind: str) -> list[int]:
-        names = [n for n in child_names(self._spark, f"{self.path}/{kind}") if n.isdigit()]
-        return sorted(int(n) for n in names if "_SUCCESS" in child_names(self._spark, f"{self.path}/{kind}/{n}"))
+        return finished(self._spark, f"{self.path}/{kind}")
 
     def loads(self) -> tuple[int | None, list[int]]:
         """The load up to which counts are summed up, and those after it."""

