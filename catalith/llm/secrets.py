@@ -3,12 +3,16 @@
 Proposals are values assigned to names such as ``token`` or ``password``, and runs of at
 least 16 characters of the usual alphabets. For each, the features are its length, its
 characters and the transitions between their kinds, how word-like its letter triples are,
-how much of it dictionary words cover, the path it comes from, and the words and marks beside it. A
+how much of it dictionary words cover, the path it comes from, and how word-like its neighbours are. A
 random forest, trained on labelled findings, says how likely it is a secret.
 
-Letter triples and dictionary words are counted over all texts: triples in a table of fixed
-size, words by a shuffle that sums in each task first. The dictionary keeps the
-``DICTIONARY`` most frequent words; the forest is fitted on at most ``MOST_LABELLED`` findings.
+Letter triples and words of any script are counted over all texts: triples in a table of fixed
+size, words by a shuffle that sums in each task first. The dictionary is all words that come ``LEAST_COUNT``
+times, as a bit table of 16 bits a word (at most ``MOST_BITS`` in all; with more words than that allows for,
+more strings pass for words). The forest is fitted on at most ``MOST_LABELLED`` findings.
+
+Labels that are made here (``weak_labels``) come from what the forest does not see: known forms of
+keys, and the name and quotes beside a value.
 
 Defined cases: a null or empty text has no findings. Null paths are empty. Repeated rows are
 searched each. Without labelled findings of both kinds no finding is removed, and scores
@@ -24,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
@@ -31,7 +36,12 @@ from pyspark.sql import functions as F
 
 from catalith.session import Scratch, settle
 
-DICTIONARY = 5_000
+#: A word of the dictionary comes so often at least.
+LEAST_COUNT = 5
+#: Bits of the dictionary's table, at least and at most (8 MB).
+LEAST_BITS, MOST_BITS = 1 << 16, 1 << 26
+#: Cells of the table of letter triples.
+TRIPLES = 1 << 15
 #: Labelled findings that the forest is fitted on, at most.
 MOST_LABELLED = 20_000
 TREES, DEPTH, SEED = 20, 6, 7
@@ -41,13 +51,16 @@ NEAR = 24
 NAMES = r"token|secret|passwd|password|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credential"
 _ASSIGNED = re.compile(rf"(?i)(?:{NAMES})[\"']?[ \t]{{0,4}}[:=][ \t]{{0,4}}[\"']?([^\s\"']{{8,}})")
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-_NAME = re.compile(rf"(?i)(?:{NAMES})")
-_LETTERS = re.compile(r"[a-z]{3,}")
+_LETTERS = re.compile(r"[^\W\d_]{3,}")
 _TEST = re.compile(r"(?i)test|example|sample|doc|mock|fixture")
-_PREFIX = re.compile(r"AKIA|ghp_|gho_|xox[abp]-|sk-|eyJ|AIza|-----BEGIN")
+#: Forms of well-known keys. Fixed values.
+KEY_FORM = (
+    r"^(AKIA[0-9A-Z]{16}|gh[po]_[A-Za-z0-9]{20,}|xox[abp]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9]{20,}|"
+    r"AIza[0-9A-Za-z_-]{30,}|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]+)"
+)
 FEATURES = (
     "length entropy capitals smalls digits others changes triples covered distinct hex "
-    "prefix named assigned quoted word_before path_depth path_test"
+    "covered_before covered_after word_before path_depth path_test"
 ).split()
 _FOUND = "array<struct<start:int,end:int,value:string,before:string,after:string>>"
 
@@ -133,19 +146,62 @@ def _search(id_type: pa.DataType):
     return run
 
 
+def triple_cells(text: str) -> np.ndarray:
+    """The cells of all triples of characters, in order."""
+    code = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.int64)
+    return (code[:-2] * 961 + code[1:-1] * 31 + code[2:]) % TRIPLES
+
+
 def _triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of letter triples in counted words: a table of 17,576 numbers per task."""
-    counts = np.zeros(26**3, np.int64)
+    """Counts of letter triples in counted words, a number per cell and task."""
+    counts = np.zeros(TRIPLES)
     for batch in batches:
-        for word, n in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist()):
-            code = np.frombuffer(word.encode(), np.uint8).astype(np.int64) - 97
-            np.add.at(counts, code[:-2] * 676 + code[1:-1] * 26 + code[2:], n)
+        words = batch.column("word").to_pylist()
+        cells = triple_cells("\0".join(words) + "\0\0\0")
+        sizes = np.array([len(word) for word in words]) + 1
+        times = np.repeat(batch.column("n").to_numpy(), sizes)
+        # A triple counts where its word has two more characters.
+        left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(times))
+        inside = left > 3
+        counts += np.bincount(cells[: len(times)][inside], times[inside], TRIPLES)
     at = np.flatnonzero(counts)
-    yield pa.record_batch([pa.array(at), pa.array(counts[at])], names=["triple", "n"])
+    yield pa.record_batch([pa.array(at), pa.array(counts[at].astype(np.int64))], names=["triple", "n"])
+
+
+class Dictionary:
+    """Words as bits: a word is known if both bits of its hash are set."""
+
+    def __init__(self, bits: np.ndarray, lengths: list[int]) -> None:
+        self.bits, self.last = bits, len(bits) * 8 - 1
+        #: The lengths that known words have, longest first.
+        self.lengths = sorted(lengths, reverse=True)
+
+    def __contains__(self, word: str) -> bool:
+        code = xxhash.xxh64_intdigest(word.encode(), 42)
+        for place in (code & self.last, (code >> 32) & self.last):
+            if not self.bits[place >> 3] >> (place & 7) & 1:
+                return False
+        return True
+
+
+def covered(text: str, dictionary: Dictionary) -> int:
+    """Characters in dictionary words: at each place the longest one, and on behind it."""
+    found = 0
+    for run in _LETTERS.finditer(text):
+        letters, at = run[0], 0
+        while at < len(letters):
+            for size in dictionary.lengths:
+                if at + size <= len(letters) and letters[at : at + size] in dictionary:
+                    found += size
+                    at += size
+                    break
+            else:
+                at += 1
+    return found
 
 
 def describe(
-    value: str, before: str, after: str, path: str, likely: np.ndarray, dictionary: set[str]
+    value: str, before: str, after: str, path: str, likely: np.ndarray, dictionary: Dictionary
 ) -> list[float]:
     """The features of a finding, in the order of ``FEATURES``."""
     n = len(value)
@@ -157,22 +213,8 @@ def describe(
     entropy = -sum(c / n * math.log2(c / n) for c in seen.values())
     changes = sum(a != b for a, b in zip(kinds, kinds[1:])) / n
     low = value.lower()
-    codes = [
-        (ord(a) - 97) * 676 + (ord(b) - 97) * 26 + ord(c) - 97
-        for a, b, c in zip(low, low[1:], low[2:])
-        if "a" <= a <= "z" and "a" <= b <= "z" and "a" <= c <= "z"
-    ]
-    triples = float(likely[codes].sum()) / max(1, n - 2) if codes else likely.min(initial=0.0)
-    covered, at = 0, 0
-    while at < n:
-        for size in range(min(12, n - at), 2, -1):
-            if low[at : at + size] in dictionary:
-                covered += size
-                at += size
-                break
-        else:
-            at += 1
-    near = before.rstrip()
+    cells = [triple_cells(run[0]) for run in _LETTERS.finditer(low)]
+    triples = float(likely[np.concatenate(cells)].sum()) / max(1, n - 2) if cells else likely.min(initial=0.0)
     return [
         math.log2(n),
         entropy,
@@ -182,13 +224,11 @@ def describe(
         share[3],
         changes,
         triples,
-        covered / n,
+        covered(low, dictionary) / n,
         len(seen) / n,
         float(all(c in "0123456789abcdefABCDEF" for c in value)),
-        float(bool(_PREFIX.match(value))),
-        float(bool(_NAME.search(before))),
-        float(near.rstrip("\"'").rstrip().endswith(("=", ":"))),
-        float(near.endswith(('"', "'")) and after[:1] in ('"', "'")),
+        covered(before.lower(), dictionary) / max(1, len(before)),
+        covered(after.lower(), dictionary) / max(1, len(after)),
         float(bool(re.search(r"[^\W\d_]{2,}\W*$", before))),
         float(path.count("/")),
         float(bool(_TEST.search(path))),
@@ -213,6 +253,23 @@ def _describe(model, through: list[str]):
     return run
 
 
+def dictionary_of(words: DataFrame) -> Dictionary:
+    """The table of the counted words; tasks set bits, and only the table comes to the driver."""
+    known = words.where(F.col("n") >= LEAST_COUNT)
+    size = known.agg(F.count("*").alias("n"), F.collect_set(F.char_length("word")).alias("lengths")).first()
+    n_bits = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * size["n"]).bit_length()))
+    code = F.xxhash64("word")
+    places = F.explode(F.array(code, F.shiftrightunsigned(code, 32))).alias("place")
+    place = known.select(places).select(F.col("place").bitwiseAND(n_bits - 1).alias("place"))
+    slots = place.groupBy(F.shiftright("place", 6).alias("slot")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("place").bitwiseAND(63).cast("int"))).alias("bits")
+    )
+    table = np.zeros(n_bits // 64, "<i8")
+    found = slots.toArrow()
+    table[found.column("slot").to_numpy()] = found.column("bits").to_numpy()
+    return Dictionary(table.view(np.uint8), size["lengths"])
+
+
 def proposals(docs: DataFrame, scratch: Scratch, doc_id: str, text: str, path: str) -> tuple[DataFrame, DataFrame]:
     """Rows of ``docs`` with what was found in each, and all findings with their features."""
     spark = docs.sparkSession
@@ -231,13 +288,12 @@ def proposals(docs: DataFrame, scratch: Scratch, doc_id: str, text: str, path: s
     words = scratch.settle(
         both.where("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("n")), "words"
     )
-    common = words.orderBy(F.desc("n"), "word").limit(DICTIONARY).collect()
-    counts = np.zeros(26**3)
+    counts = np.zeros(TRIPLES)
     summed = words.mapInArrow(_triples, "triple long, n long").groupBy("triple").agg(F.sum("n").alias("n"))
     for row in summed.collect():
         counts[row["triple"]] = row["n"]
-    likely = np.log2((counts + 0.5) * 26**3 / (counts.sum() + 0.5 * 26**3))
-    model = spark.sparkContext.broadcast((likely, {r["word"] for r in common}))
+    likely = np.log2((counts + 0.5) * TRIPLES / (counts.sum() + 0.5 * TRIPLES))
+    model = spark.sparkContext.broadcast((likely, dictionary_of(words)))
     each = rows.select("row", "path", F.explode("found").alias("f")).select("row", "path", "f.*")
     through = ["row", "path", "start", "end", "value", "before", "after"]
     features = each.mapInArrow(
@@ -251,12 +307,14 @@ def proposals(docs: DataFrame, scratch: Scratch, doc_id: str, text: str, path: s
 def weak_labels(findings: DataFrame) -> DataFrame:
     """Labelled findings where none are given.
 
-    Quoted values assigned to a secret's name are secrets. Plain numbers, and runs of
-    letters, are not. Others stay without a label.
+    Values in the form of a well-known key, and quoted ones assigned to a secret's name, are secrets. Values
+    without such a name before them that are numbers, or letters alone, are not. Others stay without a label.
     """
-    at = {name: F.get("features", F.lit(k)) for k, name in enumerate(FEATURES)}
-    secret = (at["named"] == 1) & (at["assigned"] == 1) & (at["quoted"] == 1)
-    plain = (at["named"] == 0) & ((at["digits"] == 1) | (at["digits"] + at["others"] == 0))
+    value, before, after = F.col("value"), F.col("before"), F.col("after")
+    named = before.rlike(rf"(?i)(?:{NAMES})")
+    quoted = before.rlike("[:=][ \\t]*[\"']$") & after.rlike("^[\"']")
+    secret = value.rlike(KEY_FORM) | (named & quoted)
+    plain = ~named & (value.rlike(r"^\P{L}*$") | value.rlike(r"^[\p{L}/_=+-]*$") & ~value.rlike("[0-9]"))
     label = F.when(secret, 1.0).when(plain, 0.0)
     return findings.select("features", "value", label.alias("label")).where("label IS NOT NULL")
 
