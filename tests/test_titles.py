@@ -120,3 +120,39 @@ def test_many_titles_equal_brute_force(spark, monkeypatch, postings):
         row = got[query_id]
         assert (row["id"], row["match_type"]) == (expected[0], expected[2])
         assert row["similarity"] == pytest.approx(expected[1])
+
+
+def number(dice, digits):
+    return "".join(dice.choices("012", k=digits))
+
+
+def test_many_numbers_meet_by_several_trigrams(spark, monkeypatch):
+    # Three digits make few trigrams, so one alone would bring most titles together.
+    dice = random.Random(5)
+    held = [(f"item {number(dice, 10)} no {number(dice, 6)}", 1990) for _ in range(400)]
+    asked = [(n, held[n][0].replace("item", "tem")) for n in range(0, 400, 4)]
+    asked += [(1000 + n, f"zz{number(dice, 8)}qq") for n in range(50)]
+    pairs, depths = [], titles._depths
+
+    def watched(wanted, offered, level):
+        found = depths(wanted, offered, level)
+        one = wanted.join(offered, ["code", "kind"]).count()
+        sides = [titles._keys(side, found, name) for side, name in ((wanted, "asked_no"), (offered, "held_no"))]
+        met = sides[0].join(sides[1], "key").select("asked_no", "held_no").distinct()
+        pairs.append((one, met.count()))
+        return found
+
+    monkeypatch.setattr(titles, "KEY_COST", 0)
+    monkeypatch.setattr(titles, "_depths", watched)
+    queries = spark.createDataFrame(asked, "query_id int, title string")
+    got = {r["query_id"]: r for r in titles.title_match(table(spark, held), queries).collect()}
+    one, several = map(sum, zip(*pairs))
+    assert several < one / 4
+    for query_id, title in asked:
+        scores = [similarity(t, title) for t, _ in held]
+        best = max(scores)
+        if best >= 0.3:
+            assert got[query_id]["id"] == f"i{scores.index(best):03d}"
+            assert got[query_id]["similarity"] == pytest.approx(best)
+        else:
+            assert query_id not in got
