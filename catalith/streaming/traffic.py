@@ -17,6 +17,8 @@ from catalith import fixed
 from catalith.operators import traffic
 
 LATENESS = "10 minutes"
+# Groups of users that are judged together: one call of Python per group and window, not per user.
+USER_GROUPS = 512
 
 
 def stream_events(
@@ -94,16 +96,20 @@ def quota_rejections(
     The answer does not wait for the window to close: of a micro-batch, the first by time and id are
     let through while there is room. A request that arrives in a later micro-batch than one after it
     is judged when it comes. The state of a user's window is one number, which goes when the
-    watermark passes the window's end; requests later than that are not answered. However many
-    requests a window has, a task holds ``limit`` of them and one Arrow batch.
+    watermark passes the window's end; requests later than that are not answered. Users are
+    judged in ``USER_GROUPS`` groups per window. However many requests a window has, a task
+    holds ``limit`` of each user of a group and one Arrow batch.
     """
     given = requests.schema
     columns = ["request_id", "user_id", "ts"]
     opened = F.window("ts", window)
+    # As text that is never null, so that no id is rounded where others are missing.
+    user = F.coalesce(F.concat(F.lit("="), F.col("user_id").cast("string")), F.lit(""))
     placed = watermarked(requests, lateness).select(
         "request_id",
-        "user_id",
         "ts",
+        user.alias("_user"),
+        F.pmod(F.xxhash64("user_id"), F.lit(USER_GROUPS)).alias("_group"),
         F.unix_micros("ts").alias("_at"),
         F.unix_micros(opened["start"]).alias("_start"),
         F.unix_micros(opened["end"]).alias("_end"),
@@ -115,8 +121,8 @@ def quota_rejections(
         if state.hasTimedOut:
             state.remove()
             return
-        admitted = state.get[0] if state.exists else 0
-        room, end = limit - admitted, 0
+        admitted = dict(zip(*state.get)) if state.exists else {}
+        end = 0
         waiting: pd.DataFrame | None = None
         for part in parts:
             end = int(part["_end"].iloc[0]) // 1000
@@ -124,25 +130,30 @@ def quota_rejections(
                 continue  # the window is closed
             some = part if waiting is None else pd.concat([waiting, part])
             some = some.sort_values(["_at", "request_id"])
-            waiting = some.iloc[:room]
-            refused = some.iloc[room:]
-            yield refused[["request_id", "user_id", "_at", "_start"]]
+            place = some.groupby("_user", sort=False).cumcount()
+            passes = place < limit - some["_user"].map(admitted).fillna(0)
+            waiting = some[passes]
+            refused = some[~passes]
+            if len(refused):
+                yield refused[["request_id", "_user", "_at", "_start"]]
         if waiting is not None:
-            state.update((admitted + len(waiting),))
+            for name, count in waiting["_user"].value_counts().items():
+                admitted[name] = admitted.get(name, 0) + int(count)
+            state.update((list(admitted), list(admitted.values())))
             state.setTimeoutTimestamp(end)
 
     kinds = {name: given[name].dataType.simpleString() for name in columns}
-    refused = placed.groupBy("user_id", "_start").applyInPandasWithState(
+    refused = placed.groupBy("_group", "_start").applyInPandasWithState(
         judge,
-        f"request_id {kinds['request_id']}, user_id {kinds['user_id']}, _at long, _start long",
-        "admitted int",
+        f"request_id {kinds['request_id']}, _user string, _at long, _start long",
+        "users array<string>, admitted array<int>",
         "append",
         GroupStateTimeout.EventTimeTimeout,
     )
     times = {"ts": "_at", "window_start": "_start"}
     return refused.select(
         "request_id",
-        "user_id",
+        F.when(F.col("_user") != "", F.substring("_user", 2, 2**31 - 1)).cast(kinds["user_id"]).alias("user_id"),
         *(F.timestamp_micros(micros).cast(kinds["ts"]).alias(name) for name, micros in times.items()),
     )
 

@@ -229,3 +229,28 @@ def test_an_alarm_that_is_still_on_has_not_gone_off(spark):
     source, batch = written(spark, entries, 3)
     got = run_stream(spark, source, batch.schema, stream.alarm_changes)
     assert {(r["state"], r["at"].replace(tzinfo=None)) for r in got.collect()} == {("on", at(2))}
+
+
+def test_stream_judges_users_in_groups(spark, monkeypatch):
+    monkeypatch.setattr(stream, "USER_GROUPS", 2)
+    entries = [(k * 7 % 1500, k % 700, "a", 0.1, False) for k in range(3000)]
+    source, batch = written(spark, entries, 3)
+    path, state = scratch_path(spark, "out"), scratch_path(spark, "state")
+    arriving = stream.stream_events(spark, source, batch.schema, per_trigger=1)
+    out = stream.quota_rejections(arriving, limit=2, window="1 hour")
+    going = out.writeStream.format("parquet").option("path", path).option("checkpointLocation", state)
+    going = going.trigger(availableNow=True).start()
+    going.awaitTermination()
+    states = max(p["stateOperators"][0]["numRowsTotal"] for p in going.recentProgress if p["stateOperators"])
+    assert states <= 2  # one state per group and window, not one per user
+    got, wanted = spark.read.schema(out.schema).parquet(path), traffic.quota_rejections(batch, limit=2, window="1 hour")
+    assert got.count() == wanted.count() > 1000 and got.exceptAll(wanted).isEmpty()
+
+
+def test_stream_keeps_large_and_missing_users(spark):
+    source = scratch_path(spark, "log")
+    large = 2**60 + 1
+    entries = [(k, START + dt.timedelta(seconds=k), u, "a", 0.1, False) for k, u in enumerate([large, None] * 3)]
+    spark.createDataFrame(entries, SCHEMA).coalesce(1).write.parquet(source)
+    got = run_stream(spark, source, spark.read.parquet(source).schema, stream.quota_rejections, limit=2)
+    assert {(r["request_id"], r["user_id"]) for r in got.collect()} == {(4, large), (5, None)}
