@@ -313,3 +313,10 @@ def test_violations_are_counted(corpus):
     found = search.hybrid_search(corpus, [1.0, 0.0])
     audit = rows(stats.filter_violations(found, search.Filters("Action", 1990, 7.0, "R")))
     assert audit == [{"rows": 5, "violations": 4}]
+
+
+def test_sentences_of_one_file_are_dealt_out(spark):
+    asked = spark.range(0, 2000, 1, 1).selectExpr("id AS query_id", "concat('drama of the 90s ', id) AS query")
+    found = search.extract_filters(asked)
+    assert found.rdd.getNumPartitions() > 1
+    assert found.where("genre_filter = 'Drama' AND decade = 1990").count() == 2000
