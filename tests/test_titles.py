@@ -156,3 +156,39 @@ def test_many_numbers_meet_by_several_trigrams(spark, monkeypatch):
             assert got[query_id]["similarity"] == pytest.approx(best)
         else:
             assert query_id not in got
+
+
+@pytest.mark.parametrize("words", [1, 2])
+def test_outlines_refuse_most_pairs_that_share_a_key(spark, monkeypatch, words):
+    dice = random.Random(8)
+
+    def digits(n):
+        return "".join(dice.choices("0123456789", k=n))
+
+    held = [(f"customer {digits(10)} number {digits(8)}", 1990) for _ in range(300)]
+    asked = [(n, held[n][0].replace("customer", "ustomer")) for n in range(0, 300, 3)]
+    asked += [(1000 + n, f"customer {digits(10)} number {digits(8)}") for n in range(30)]
+    asked += [(2000 + n, f"zz{digits(8)}qq") for n in range(30)]
+    counts, met = [], titles._met
+
+    def watched(wanted, offered, level):
+        pairs = met(wanted, offered, level)
+        meet = wanted.join(offered, ["key", "part"]).select("asked_no", "held_no").distinct()
+        if level > 0.5:
+            counts.append((meet.count(), pairs.count()))
+        return pairs
+
+    monkeypatch.setattr(titles, "OUTLINE_WORDS", words)
+    monkeypatch.setattr(titles, "_met", watched)
+    queries = spark.createDataFrame(asked, "query_id int, title string")
+    got = {r["query_id"]: r for r in titles.title_match(table(spark, held), queries).collect()}
+    meet, compared = map(sum, zip(*counts))
+    assert 100 <= compared < meet / 4
+    for query_id, title in asked:
+        scores = [similarity(t, title) for t, _ in held]
+        best = max(scores)
+        if best >= 0.3:
+            assert got[query_id]["id"] == f"i{scores.index(best):03d}"
+            assert got[query_id]["similarity"] == pytest.approx(best)
+        else:
+            assert query_id not in got
